@@ -7,13 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspan.llm import exact_dedup
+from vecspan.llm import exact_dedup, mixing, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(_documents(spark, sf_dir))
+
+
+#: Words as regular expression, the same in Java and RE2.
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
+OP1_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), sources AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)
+), levels AS (
+  SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) OVER w, 0)) /
+            (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM sources WINDOW w AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * (SELECT arg_min(level, 3.0::DOUBLE * source_size / weight) FROM levels WHERE level * weight <= 3.0::DOUBLE * source_size)) AS target
+  FROM levels
+), placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target + 0.5) AS need,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.size ROWS UNBOUNDED PRECEDING) - s.size AS pos
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, coalesce(target, 0) AS target,
+       (greatest(0, least(size, need - pos)) + greatest(0, least(size, need - source_size - pos)) + greatest(0, least(size, need - 2 * source_size - pos)))::BIGINT AS taken
+FROM placed
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -25,5 +57,46 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_exact_dedup": op6_exact_dedup}
-SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality.quality_verdicts(_documents(spark, sf_dir))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP8_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+g AS (SELECT row, i, array_to_string(words[i:i + 4], chr(1)) AS gram FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+r AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, gram) > 1),
+c AS (SELECT row, count(DISTINCT i + k) AS n FROM r, range(0, 5) AS o(k) GROUP BY row),
+f AS (
+  SELECT w.row, doc_id, source, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN c ON w.row = c.row
+), v AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         [(n_words < 10)::INT, (100 * n_repeat_words > 20 * n_words)::INT, (10 * n_symbols > n_words)::INT,
+          (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT, (100 * n_dup_lines > 30 * n_lines)::INT] AS fails FROM f
+), h AS (
+  SELECT source, k, count(*) AS n, sum(fails[k]) AS bad FROM v, range(1, 6) AS o(k) GROUP BY source, k
+), m AS (
+  SELECT k, least(greatest(avg(bad / n), 1e-6), 1 - 1e-6) AS mean, var_pop(bad / n) AS var FROM h GROUP BY k
+), s AS (
+  SELECT source, max((bad + mean * strength) / (n + strength)) <= 0.5 AS host_kept
+  FROM h JOIN (SELECT k, mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1e6) ELSE 1e6 END AS strength FROM m) p ON h.k = p.k GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
+FROM v JOIN s ON v.source IS NOT DISTINCT FROM s.source
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op8_quality_rules": op8_quality_rules,
+}
+SQL: dict[str, str] = {
+    "op1_source_mixing": OP1_SQL,
+    "op6_exact_dedup": OP6_SQL,
+    "op8_quality_rules": OP8_SQL,
+}
