@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspan.llm import exact_dedup, mixing, quality
+from vecspan.llm import exact_dedup, mixing, packing, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +90,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v JOIN s ON v.source IS NOT DISTINCT FROM s.source
 """
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 SQL: dict[str, str] = {
     "op1_source_mixing": OP1_SQL,
