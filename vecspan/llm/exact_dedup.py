@@ -10,8 +10,9 @@ gather in one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspan.llm.common import materialize, sqrt_buckets
@@ -28,6 +29,36 @@ def _levels(n: int) -> int:
     return max(1, math.ceil(math.log2(sqrt_buckets(n)) / FAN_BITS)) if n > 1 else 1
 
 
+def merge_up(rows: DataFrame, key: list[str], best: Callable[[Column], Column]) -> tuple[DataFrame, list[DataFrame], int]:
+    """(top, run tables, levels): top has key, best and n, a row per key.
+
+    rows is a materialized table with key and mark (a struct); best is F.max or F.min.
+    """
+    levels = _levels(rows.count())
+    up = with_runs(rows, levels).groupBy("run", *key).agg(best(F.col("mark")).alias("best"), F.count("*").alias("n"))
+    tables = []
+    for _ in range(levels):
+        tables.append(up := materialize(up, "run"))
+        merged = up.withColumn("run", F.shiftright("run", FAN_BITS))
+        up = merged.groupBy("run", *key).agg(best(F.col("best")).alias("best"), F.sum("n").alias("n"))
+    return up.drop("run"), tables, levels
+
+
+def with_runs(rows: DataFrame, levels: int) -> DataFrame:
+    """Deal rows into 2**(FAN_BITS * levels) runs by the hash of mark.row."""
+    return rows.withColumn("run", F.shiftrightunsigned(F.xxhash64("mark.row"), 64 - FAN_BITS * levels))
+
+
+def hand_down(rows: DataFrame, top: DataFrame, key: list[str], tables: list[DataFrame], levels: int) -> DataFrame:
+    """rows with the columns of top (a row per key), brought back level by level."""
+    final = top.withColumn("run", F.lit(0).cast("long"))
+    for table in reversed(tables):
+        child = table.select(F.col("run").alias("below"), F.shiftright("run", FAN_BITS).alias("run"), *key)
+        final = child.join(final, ["run", *key]).drop("run").withColumnRenamed("below", "run")
+        final = materialize(final, "won")
+    return with_runs(rows, levels).join(final, ["run", *key]).drop("run")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -37,32 +68,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
         F.unhex(F.sha2(text, 256)).alias("sha"),
         F.length(text).cast("long").alias("n_chars"),
         F.xxhash64(text).alias("check64"),
-        F.monotonically_increasing_id().alias("row"),
+        F.struct(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row")).alias("mark"),
     )
     rows = materialize(rows, "digests")
-    levels = _levels(rows.count())
-    rows = rows.withColumn("run", F.shiftrightunsigned(F.xxhash64("row"), 64 - FAN_BITS * levels) if FAN_BITS * levels < 64 else F.lit(0))
-    best = F.max(F.struct("doc_id", "row"))
-    up = rows.groupBy("run", *KEY).agg(best.alias("best"), F.count("*").alias("n"))
-    tables = []
-    for _ in range(levels):
-        tables.append(up := materialize(up, "run"))
-        merged = up.withColumn("run", F.shiftright("run", FAN_BITS))
-        up = merged.groupBy("run", *KEY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-    final = up.select("run", *KEY, F.col("best").alias("win"), F.col("n").alias("group_size"))
-    for table in reversed(tables):
-        child = table.select(F.col("run").alias("below"), F.shiftright("run", FAN_BITS).alias("run"), *KEY)
-        final = child.join(final, ["run", *KEY]).select(F.col("below").alias("run"), *KEY, "win", "group_size")
-        final = materialize(final, "won")
-    return rows.join(final, ["run", *KEY]).select(
-        "doc_id",
-        F.col("win.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("win.row")).alias("kept"),
+    top, tables, levels = merge_up(rows, KEY, F.max)
+    return hand_down(rows, top, KEY, tables, levels).select(
+        "mark.doc_id",
+        F.col("best.doc_id").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        (F.col("mark.row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
