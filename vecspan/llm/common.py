@@ -22,17 +22,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and read it back.
-
-    Lineage is cut without depending on any executor staying alive. The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared scratch folder, deleted when the driver's JVM ends."""
     path = f"{scratch_dir(spark)}/vecspan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
+    """Write df as Parquet in the shared scratch folder and read it back.
+
+    Lineage is cut without depending on any executor staying alive.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", copies: int = 64) -> DataFrame:

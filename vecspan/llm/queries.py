@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspan.llm import exact_dedup, mixing, near_dedup, packing, quality, toxicity
+from vecspan.llm import exact_dedup, mixing, near_dedup, packing, quality, toxicity, training_order
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,11 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = training_order.materialize_order(_documents(spark, sf_dir))
+    return rows.select("slot", "shard", "place", "doc_id", "piece", "n_tokens", "ids_crc32", F.crc32("ids").alias("row_crc32"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality.quality_verdicts(_documents(spark, sf_dir))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_training_order": op7_training_order,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_near_dedup": op10_near_dedup,
