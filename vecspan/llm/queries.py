@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspan.llm import exact_dedup, language, mixing, near_dedup, packing, quality, toxicity, training_order
+from vecspan.llm import exact_dedup, language, mixing, near_dedup, packing, quality, substring_dedup, toxicity, training_order
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,25 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_spans(_documents(spark, sf_dir))
+
+
+OP4_SQL = """
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+u AS (
+  SELECT doc_id, i - 1 AS line, lines[i] AS unit, list_filter(string_split_regex(lines[i], '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words,
+         coalesce(list_sum(list_transform(lines[1:i - 1], lambda x: length(x) + 1)), 0) AS first
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM t)
+), r AS (
+  SELECT *, row_number() OVER w AS rank, first_value(doc_id) OVER w AS kept_id, first_value(line) OVER w AS kept_line,
+         count(*) OVER (PARTITION BY array_to_string(words, ' ')) AS copies
+  FROM u WHERE len(words) >= 8 WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, line)
+)
+SELECT doc_id, line, first::INT AS begin, (first + length(unit))::INT AS "end", len(words)::INT AS n_words, kept_id, kept_line, copies FROM r WHERE rank > 1
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -121,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_training_order": op7_training_order,
     "op8_quality_rules": op8_quality_rules,
@@ -129,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_source_mixing": OP1_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
 }
