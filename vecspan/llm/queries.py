@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspan.llm import exact_dedup, language, mixing, near_dedup, packing, quality, substring_dedup, toxicity, training_order
+from vecspan.llm import exact_dedup, language, licenses, mixing, near_dedup, packing, quality, substring_dedup, toxicity, training_order
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,38 @@ SELECT doc_id, line, first::INT AS begin, (first + length(unit))::INT AS "end",
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir)).drop("blocks")
+
+
+def _op5_sql() -> str:
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    lower = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"({t.split()}, '{label}')" for t, label in licenses.TEMPLATES.items())
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, {lower} AS text FROM documents),
+w AS (SELECT row, doc_id, text, regexp_extract_all(text, '{word}') AS words FROM t),
+p(phrase, label) AS (VALUES {phrases}),
+b AS (
+  SELECT row, i - 1 AS start, label FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE contains(text, 'license') OR contains(text, 'cc')), p
+  WHERE words[i:i + len(phrase) - 1] = phrase
+), base AS (
+  SELECT row, count(*) AS n, min(start) AS first, max(start) AS last, list_sort(list_distinct(list(label))) AS labels FROM b GROUP BY row
+), tpl(words, label) AS (VALUES {templates}),
+l AS (SELECT row, list_distinct(regexp_extract_all(line, '{word}')) AS words FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM w)),
+m AS (
+  SELECT row, tpl.label, len(list_intersect(l.words, tpl.words)) / len(list_distinct(tpl.words)) AS containment FROM l, tpl
+  WHERE len(list_intersect(l.words, tpl.words)) >= ceil(0.8 * len(list_distinct(tpl.words)) - 1e-9)
+), method AS (SELECT row, list(label) AS labels, max(containment) AS best FROM m GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word,
+       array_to_string(coalesce(base.labels, []), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(method.labels, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
+FROM w LEFT JOIN base ON w.row = base.row LEFT JOIN method ON w.row = method.row
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -141,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_training_order": op7_training_order,
     "op8_quality_rules": op8_quality_rules,
@@ -150,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_source_mixing": OP1_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op5_license_scan": _op5_sql(),
     "op6_exact_dedup": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
 }
