@@ -131,12 +131,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def taken_words(docs: DataFrame, **options: object) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken (words in the mixture, repeats counted)."""
+    return _taken(docs, **options).drop("row")
+
+
+def _taken(docs: DataFrame, **options: object) -> DataFrame:
     mixture, documents = mix(docs, **options)
     taken = mixture.select("row", F.col("n_words").alias("taken"))
     base = documents.withColumn("taken", F.lit(0).cast("long"))
     both = base.unionByName(taken, allowMissingColumns=True)
     keep = [F.max(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
-    return both.groupBy("row").agg(*keep, F.sum("taken").alias("taken")).drop("row")
+    return both.groupBy("row").agg(*keep, F.sum("taken").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
@@ -146,7 +150,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the mix does not reach gives no row; one without a word is kept, once. Other columns stay as they are.
     """
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = taken_words(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col="_row", **options)
+    taken = _taken(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col="_row", **options)
     passes = taken.select(
         F.col("row").alias("_row"),
         F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div greatest(size, 1)")).cast("int").alias("_whole"),
