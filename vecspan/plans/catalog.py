@@ -191,3 +191,299 @@ def _(spark, d):
     ref = iv.where("id % 2 = 0")
     hyp = iv.where("id % 3 <> 0").withColumn("b", F.col("b") + 300).withColumn("e", F.col("e") + 900)
     return I.error_rate(ref, hyp, ["rec"])
+
+
+# --- data directories ------------------------------------------------------------------------------------
+
+_GOOD = "good AS (SELECT 'u' || doc_id AS utt FROM labels WHERE quality = 1)"
+
+
+def _good(spark, d):
+    return R.table(spark, d, "labels").where("quality = 1").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("utt"))
+
+
+@query("f01_keep_keys", f"WITH {R.UTT}, {_GOOD} SELECT * FROM utt WHERE utt IN (SELECT utt FROM good)")
+def _(spark, d):
+    return T.keep_keys(R.utterances(spark, d), _good(spark, d), "utt")
+
+
+@query("f01_exclude_keys", f"WITH {R.UTT}, {_GOOD} SELECT * FROM utt WHERE utt NOT IN (SELECT utt FROM good)")
+def _(spark, d):
+    return T.keep_keys(R.utterances(spark, d), _good(spark, d), "utt", exclude=True)
+
+
+@query("f02_keep_speakers", f"WITH {R.UTT} SELECT * FROM utt WHERE spk IN (SELECT spk FROM utt GROUP BY spk HAVING max(dur) > 150)")
+def _(spark, d):
+    u = R.utterances(spark, d)
+    return T.keep_keys(u, u.groupBy("spk").agg(F.max("dur").alias("m")).where("m > 150"), "spk")
+
+
+@query("f03_prefix_rewrite", "SELECT page_id, regexp_replace(url, '^https?://', '/corpus/') AS path FROM pages")
+def _(spark, d):
+    return R.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "/corpus/").alias("path"))
+
+
+@query("f04_duration_filter", f"WITH {R.UTT} SELECT utt, spk FROM utt WHERE dur > 5.0")
+def _(spark, d):
+    u = R.utterances(spark, d)
+    return T.longer_than(u.select("utt", "spk"), u.select("utt", "dur"), "utt", 5.0)
+
+
+@query("f05_min_utterances", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 12)")
+def _(spark, d):
+    return T.at_least(R.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 12)
+
+
+@query("f06_length_filter", f"WITH {R.UTT} SELECT utt, CASE WHEN dur > 30 THEN 30.0 ELSE dur END::DOUBLE AS kept FROM utt WHERE dur >= 1.0")
+def _(spark, d):
+    return R.utterances(spark, d).where("dur >= 1.0").select("utt", F.when(F.col("dur") > 30, 30.0).otherwise(F.col("dur")).alias("kept"))
+
+
+@query("f07_min_segment", f"WITH {R.IV} SELECT * FROM iv WHERE e - b >= 250")
+def _(spark, d):
+    return R.intervals(spark, d).where("e - b >= 250")
+
+
+@query("f08_speaker_duration", f"WITH {R.UTT} SELECT spk, round(sum(dur), 6) AS total FROM utt GROUP BY spk HAVING sum(dur) >= 900")
+def _(spark, d):
+    return r6(R.utterances(spark, d).groupBy("spk").agg(F.sum("dur").alias("total")).where("total >= 900"), "total")
+
+
+@query("f12_bands", f"WITH {R.UTT}, b AS (SELECT *, CASE WHEN dur > 2 AND dur < 6 THEN 'short' WHEN dur > 6 THEN 'long' END AS band FROM utt) SELECT * FROM b WHERE band IS NOT NULL AND spk IN (SELECT spk FROM b WHERE band IS NOT NULL GROUP BY spk HAVING count(DISTINCT band) = 2)")
+def _(spark, d):
+    return T.bands(R.utterances(spark, d), "spk")
+
+
+@query("f13_value_set", "SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'click')")
+def _(spark, d):
+    return R.table(spark, d, "events").where(F.col("event_type").isin("view", "click")).select("event_id", "event_type")
+
+
+@query("f14_id_range", f"WITH {R.UTT} SELECT utt FROM utt WHERE utt < 'u500'")
+def _(spark, d):
+    return R.utterances(spark, d).where("utt < 'u500'").select("utt")
+
+
+@query("f15_label_recode", "SELECT doc_id, CASE WHEN quality = 1 THEN 'target' ELSE 'nontarget' END AS label FROM labels")
+def _(spark, d):
+    return R.table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "target").otherwise("nontarget").alias("label"))
+
+
+@query("f16_key_from_path", "SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/')[1] AS host FROM pages")
+def _(spark, d):
+    return R.table(spark, d, "pages").select("page_id", F.element_at(F.split(F.regexp_replace("url", "^https?://", ""), "/"), 1).alias("host"))
+
+
+@query("f18_valid_durations", f"WITH {R.UTT} SELECT utt, dur FROM utt WHERE dur > 0")
+def _(spark, d):
+    return R.utterances(spark, d).select("utt", F.expr("try_cast(cast(dur as string) as double)").alias("dur")).where("dur > 0")
+
+
+@query("j02_raw_list_inner", f"WITH {R.UTT} SELECT utt, spk, quality FROM utt JOIN labels ON utt = 'u' || doc_id")
+def _(spark, d):
+    lab = R.table(spark, d, "labels").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("utt"), "quality")
+    return R.utterances(spark, d).select("utt", "spk").join(lab, "utt")
+
+
+@query("j02_shard_list_left", f"WITH {R.UTT} SELECT utt, spk, quality FROM utt LEFT JOIN labels ON utt = 'u' || doc_id")
+def _(spark, d):
+    lab = R.table(spark, d, "labels").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("utt"), "quality")
+    return R.utterances(spark, d).select("utt", "spk").join(lab, "utt", "left")
+
+
+@query("j06_encode", f"WITH {R.UTT} SELECT utt, spk, dense_rank() OVER (ORDER BY spk)::INT - 1 AS label FROM utt")
+def _(spark, d):
+    return T.encode(R.utterances(spark, d).select("utt", "spk"), "spk")
+
+
+@query("j18_lookup_chain", "SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def _(spark, d):
+    o, c, n = (R.table(spark, d, t) for t in ("orders", "customer", "nation"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "n_name")
+
+
+@query("f19_route_by_language", f"WITH {R.UTT} SELECT lang AS route, count(*) AS n FROM utt GROUP BY lang")
+def _(spark, d):
+    return R.utterances(spark, d).groupBy(F.col("lang").alias("route")).agg(F.count("*").alias("n"))
+
+
+_CHAIN = """ut AS (SELECT o_orderkey AS utt, o_custkey AS spk, o_custkey % 31 AS rec FROM orders), sp AS (SELECT c_custkey AS spk FROM customer WHERE c_acctbal > 0), rc AS (SELECT n_nationkey AS rec FROM nation),
+good AS (SELECT * FROM ut WHERE spk IN (SELECT spk FROM sp) AND rec IN (SELECT rec FROM rc))"""
+
+
+def _chain(spark, d):
+    o = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("utt"), F.col("o_custkey").alias("spk"), (F.col("o_custkey") % 31).cast("int").alias("rec"))
+    return T.repair(o, R.table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("spk")), R.table(spark, d, "nation").select(F.col("n_nationkey").alias("rec")))
+
+
+@query("j20_repair_utterances", f"WITH {_CHAIN} SELECT utt, spk, rec::INT AS rec FROM good")
+def _(spark, d):
+    return _chain(spark, d)[0].select("utt", "spk", "rec")
+
+
+@query("j20_repair_speakers", f"WITH {_CHAIN} SELECT spk FROM sp WHERE spk IN (SELECT spk FROM good)")
+def _(spark, d):
+    return _chain(spark, d)[1]
+
+
+@query("j20_repair_recordings", f"WITH {_CHAIN} SELECT rec FROM rc WHERE rec IN (SELECT rec FROM good)")
+def _(spark, d):
+    return _chain(spark, d)[2]
+
+
+@query("u01_combine", "SELECT r_regionkey AS key, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation ORDER BY key")
+def _(spark, d):
+    a = R.table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    return T.combine([a, R.table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))], "key")
+
+
+@query("u02_identity_rows", f"WITH {R.UTT}, {_GOOD} SELECT utt, 'known' AS uniq FROM good UNION ALL SELECT utt, utt FROM utt WHERE utt NOT IN (SELECT utt FROM good)")
+def _(spark, d):
+    good = _good(spark, d)
+    return good.select("utt", F.lit("known").alias("uniq")).unionByName(R.utterances(spark, d).join(good, "utt", "left_anti").select("utt", F.col("utt").alias("uniq")))
+
+
+@query("u04_sort_unique", "SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey")
+def _(spark, d):
+    return T.first_of_key(R.table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
+
+
+@query("s05_last_wins", "SELECT l_orderkey, arg_max(l_partkey, (l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY l_orderkey")
+def _(spark, d):
+    return T.last_wins(R.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_partkey")
+
+
+@query("u05_subset_random", f"WITH {R.UTT} SELECT utt, spk FROM utt ORDER BY md5('7:' || utt), utt LIMIT 50")
+def _(spark, d):
+    return T.sample_n(R.utterances(spark, d).select("utt", "spk"), 50, "utt", 7)
+
+
+@query("u05_subset_shortest", f"WITH {R.UTT} SELECT utt, dur FROM utt ORDER BY dur, utt LIMIT 50")
+def _(spark, d):
+    return R.utterances(spark, d).select("utt", "dur").orderBy("dur", "utt").limit(50)
+
+
+@query("u05_subset_per_speaker", f"WITH {R.UTT} SELECT utt, spk FROM utt QUALIFY row_number() OVER (PARTITION BY spk ORDER BY utt) <= 3")
+def _(spark, d):
+    return T.per_group(R.utterances(spark, d).select("utt", "spk"), "spk", 3, ["utt"])
+
+
+@query("u06_stride_subset", f"""WITH {R.UTT}, l AS (SELECT spk, list(utt ORDER BY utt) AS utts FROM utt GROUP BY spk), x AS (SELECT spk, greatest(1, len(utts) // 5) AS s, unnest(utts) AS utt, generate_subscripts(utts, 1) - 1 AS pos FROM l)
+SELECT utt, spk FROM x WHERE pos % s = 0 AND pos < s * 5""")
+def _(spark, d):
+    return T.stride_subset(T.by_speaker(R.utterances(spark, d)), 5)
+
+
+@query("u07_speaker_prefix", f"WITH {R.UTT}, n AS (SELECT spk, count(*) AS n FROM utt GROUP BY spk), p AS (SELECT spk, coalesce(sum(n) OVER (ORDER BY spk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT utt, spk FROM utt WHERE spk IN (SELECT spk FROM p WHERE before < 120)")
+def _(spark, d):
+    return T.speaker_prefix(R.utterances(spark, d).select("utt", "spk"), 120)
+
+
+@query("u08_copies", f"WITH {R.UTT} SELECT utt || '_copy-' || k AS utt, spk FROM utt, range(0, 4) r(k)")
+def _(spark, d):
+    return T.copies(R.utterances(spark, d).select("utt", "spk"), 3)
+
+
+@query("u10_dummy_column", f"WITH {R.UTT} SELECT utt, 'unk' AS spk FROM utt")
+def _(spark, d):
+    return R.utterances(spark, d).select("utt", F.lit("unk").alias("spk"))
+
+
+@query("a01_group_by_speaker", f"WITH {R.UTT} SELECT spk, string_agg(utt, ' ' ORDER BY utt) AS utts FROM utt GROUP BY spk")
+def _(spark, d):
+    return T.by_speaker(R.utterances(spark, d)).select("spk", F.array_join("utts", " ").alias("utts"))
+
+
+@query("a02_explode_speakers", f"WITH {R.UTT} SELECT utt, spk FROM utt")
+def _(spark, d):
+    return T.by_utterance(T.by_speaker(R.utterances(spark, d)))
+
+
+@query("a03_voiced_duration", f"WITH {R.IV} SELECT rec, (sum(e - b) / 1000.0)::DOUBLE AS dur FROM iv GROUP BY rec")
+def _(spark, d):
+    return R.intervals(spark, d).groupBy("rec").agg((F.sum(F.col("e") - F.col("b")) / 1000.0).alias("dur"))
+
+
+@query("a15_longest_per_speaker", f"WITH {R.UTT} SELECT spk, utt, dur FROM utt QUALIFY row_number() OVER (PARTITION BY spk ORDER BY dur DESC, utt) = 1")
+def _(spark, d):
+    return T.longest(R.utterances(spark, d), "spk", "dur", "utt")
+
+
+@query("a17_batch_summary", f"WITH {R.UTT} SELECT min(dur) AS lo, max(dur) AS hi, round(avg(dur), 6) AS mean, round(stddev_pop(dur), 6) AS sd, count(DISTINCT spk) AS speakers FROM utt")
+def _(spark, d):
+    return r6(R.utterances(spark, d).agg(F.min("dur").alias("lo"), F.max("dur").alias("hi"), F.avg("dur").alias("mean"), F.stddev_pop("dur").alias("sd"), F.countDistinct("spk").alias("speakers")), "mean", "sd")
+
+
+@query("a18_majority_speaker", f"WITH {R.IV}, t AS (SELECT rec, label, sum(e - b) AS w FROM iv GROUP BY ALL) SELECT rec, label, w::BIGINT AS total FROM t QUALIFY row_number() OVER (PARTITION BY rec ORDER BY w DESC, label) = 1")
+def _(spark, d):
+    return T.majority(R.intervals(spark, d).withColumn("w0", F.col("e") - F.col("b")), "rec", "label", "w0")
+
+
+@query("a24_corpus_statistics", f"WITH {R.UTT} SELECT count(*) AS n_utt, count(DISTINCT spk) AS n_spk, round(sum(dur), 6) AS total FROM utt")
+def _(spark, d):
+    return r6(R.utterances(spark, d).agg(F.count("*").alias("n_utt"), F.countDistinct("spk").alias("n_spk"), F.sum("dur").alias("total")), "total")
+
+
+@query("k02_score_text", f"WITH {R.SCORES} SELECT key, key || ' ' || cond || ' ' || printf('%.5f', score) || ' ' || CASE WHEN target THEN 'target' ELSE 'nontarget' END AS line FROM sc")
+def _(spark, d):
+    s = R.target_scores(spark, d)
+    return s.select("key", F.format_string("%s %s %.5f %s", F.col("key").cast("string"), "cond", "score", F.when(F.col("target"), "target").otherwise("nontarget")).alias("line"))
+
+
+@query("k03_rttm_text", f"WITH {R.IV} SELECT id, 'SPEAKER ' || rec || ' 1 ' || printf('%.3f', (b % 86400000) / 1000.0) || ' ' || printf('%.3f', (e - b) / 1000.0) || ' <NA> <NA> ' || label || ' <NA> <NA>' AS line FROM iv")
+def _(spark, d):
+    from vecspan.sources.text import rttm_line
+
+    iv = R.intervals(spark, d)
+    return iv.select("id", rttm_line(F.col("rec").cast("string"), F.lit(1), F.col("b") % 86400000 / 1000.0, (F.col("e") - F.col("b")) / 1000.0, F.col("label")).alias("line"))
+
+
+@query("k04_segments_text", f"WITH {R.IV} SELECT id, printf('%d-%08d-%08d %d %.3f %.3f', rec, b % 86400000, b % 86400000 + e - b, rec, (b % 86400000) / 1000.0, (b % 86400000 + e - b) / 1000.0) AS line FROM iv")
+def _(spark, d):
+    from vecspan.sources.text import segment_line
+
+    b = F.col("b") % 86400000
+    return R.intervals(spark, d).select("id", segment_line(F.col("rec").cast("string"), b, b + F.col("e") - F.col("b")).alias("line"))
+
+
+@query("k05_json_lines", f"WITH {R.UTT} SELECT '{{\"key\":\"' || utt || '\",\"spk\":\"' || spk || '\"}}' AS line FROM utt")
+def _(spark, d):
+    return R.utterances(spark, d).select(F.to_json(F.struct(F.col("utt").alias("key"), "spk")).alias("line"))
+
+
+@query("k06_shard_ids", f"WITH {R.UTT} SELECT utt, ((row_number() OVER (ORDER BY md5('3:' || utt)) - 1) // 100)::BIGINT AS shard FROM utt")
+def _(spark, d):
+    u = R.utterances(spark, d).select("utt", F.md5(F.concat(F.lit("3:"), "utt")).alias("h"))
+    return T.shard_ids(u, ["h"], 100).select("utt", "shard")
+
+
+@query("s08_by_recording", f"WITH {R.IV} SELECT string_split(rec || '-' || id, '-')[1] AS rec, count(*) AS n FROM iv GROUP BY 1")
+def _(spark, d):
+    key = F.concat_ws("-", F.col("rec").cast("string"), F.col("id").cast("string"))
+    return R.intervals(spark, d).groupBy(F.element_at(F.split(key, "-"), 1).alias("rec")).agg(F.count("*").alias("n"))
+
+
+@query("s12_decode_sub_segments", f"WITH {R.IV} SELECT id, rec::VARCHAR AS rec, (b % 86400000 + 0 * 10) / 1000.0::DOUBLE AS begin, (b % 86400000 + 150 * 10) / 1000.0::DOUBLE AS \"end\" FROM iv")
+def _(spark, d):
+    from vecspan.sources.text import decode_sub_segment
+
+    b = F.col("b") % 86400000
+    key = F.format_string("%s-%08d-%08d-%08d-%08d", F.col("rec").cast("string"), b, b + F.col("e") - F.col("b"), F.lit(0), F.lit(150))
+    part = decode_sub_segment(key)
+    return R.intervals(spark, d).select("id", part["rec"].alias("rec"), part["begin"].alias("begin"), part["end"].alias("end"))
+
+
+@query("s20_result_names", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '([0-9]+)', 1) AS number FROM pages")
+def _(spark, d):
+    return R.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"), F.regexp_extract("url", "([0-9]+)", 1).alias("number"))
+
+
+@query("s21_landmark_frames", "SELECT event_id, round_even(value * 25 / 10, 0)::BIGINT AS frame FROM events")
+def _(spark, d):
+    return R.table(spark, d, "events").select("event_id", F.bround(F.col("value") * 25 / 10).cast("long").alias("frame"))
+
+
+@query("s24_path_key", "SELECT page_id, array_to_string(list_slice(string_split(url, '/'), -3, -1), '/') AS key FROM pages")
+def _(spark, d):
+    parts = F.split("url", "/")
+    return R.table(spark, d, "pages").select("page_id", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), 3), "/").alias("key"))
