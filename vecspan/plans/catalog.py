@@ -487,3 +487,480 @@ def _(spark, d):
 def _(spark, d):
     parts = F.split("url", "/")
     return R.table(spark, d, "pages").select("page_id", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), 3), "/").alias("key"))
+
+
+# --- vectors ---------------------------------------------------------------------------------------------
+
+_PAIR = f"{R.VEC}, pr AS (SELECT a.utt AS enroll, b.utt AS test, a.v AS x, b.v AS y, a.spk = b.spk AS target FROM vec a JOIN vec b ON a.utt < b.utt AND a.utt < 60 AND b.utt < 60)"
+
+
+def _pairs(spark, d):
+    v = R.vectors(spark, d, 60)
+    a, b = v.select(F.col("utt").alias("enroll"), F.col("v").alias("x"), F.col("spk").alias("sa")), v.select(F.col("utt").alias("test"), F.col("v").alias("y"), F.col("spk").alias("sb"))
+    return a.join(b, F.col("enroll") < F.col("test")).withColumn("target", F.col("sa") == F.col("sb"))
+
+
+@query("v01_l2_normalise", f"WITH {R.VEC} SELECT utt, round(list_sum(list_transform(v, lambda x: x * 3 / sqrt(list_inner_product(v, v) * 9))), 6) AS total FROM vec")
+def _(spark, d):
+    v = V.l2_normalise(F.transform("v", lambda x: x * 3))
+    return R.vectors(spark, d).select("utt", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("v02_length_normalise", f"WITH {R.VEC} SELECT utt, round(v[1] * sqrt(len(v)) / sqrt(list_inner_product(v, v)), 6) AS first FROM vec")
+def _(spark, d):
+    return R.vectors(spark, d).select("utt", F.round(V.length_normalise(F.col("v"))[0], 6).alias("first"))
+
+
+@query("v03_cosine", f"WITH {_PAIR} SELECT enroll, test, round(list_cosine_similarity(x, y), 6) AS cos, round((list_cosine_similarity(x, y) + 1) / 2, 6) AS cos01 FROM pr")
+def _(spark, d):
+    return _pairs(spark, d).select("enroll", "test", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("cos"), F.round(V.cosine01(F.col("x"), F.col("y")), 6).alias("cos01"))
+
+
+@query("v05_dot_magnitude", f"WITH {_PAIR} SELECT enroll, test, round(list_inner_product(x, y), 6) AS dot, round(sqrt(list_inner_product(x, x)), 6) AS mag FROM pr")
+def _(spark, d):
+    return _pairs(spark, d).select("enroll", "test", F.round(V.dot(F.col("x"), F.col("y")), 6).alias("dot"), F.round(V.magnitude(F.col("x")), 6).alias("mag"))
+
+
+@query("v06_mean_subtract", f"WITH {R.VEC}, m AS (SELECT i, avg(v[i]) AS m FROM vec, range(1, 65) r(i) GROUP BY i) SELECT utt, round(sum((v[i] - m) * (v[i] - m)), 6) AS energy FROM vec, m GROUP BY utt")
+def _(spark, d):
+    v = R.vectors(spark, d)
+    mean = S.mean_vectors(v, []).first()["v"]
+    x = V.subtract(F.col("v"), F.array(*[F.lit(m) for m in mean]))
+    return v.select("utt", F.round(V.dot(x, x), 6).alias("energy"))
+
+
+@query("v07_affine", f"WITH {R.VEC} SELECT utt, round(list_sum(list_transform(v, lambda x: x - 0.5)), 6) AS p0, round(list_sum(list_transform(v[1:32], lambda x: x - 0.5)) - list_sum(list_transform(v[33:64], lambda x: x - 0.5)), 6) AS p1 FROM vec")
+def _(spark, d):
+    p = V.affine(F.col("v"), [0.5] * 64, [[1.0] * 64, [1.0] * 32 + [-1.0] * 32])
+    return R.vectors(spark, d).select("utt", F.round(p[0], 6).alias("p0"), F.round(p[1], 6).alias("p1"))
+
+
+@query("v09_plda_llr", f"""
+WITH {_PAIR}, t AS (SELECT enroll, test, x[i] AS u, y[i] AS v, 1.0 / i AS p FROM pr, range(1, 65) r(i))
+SELECT enroll, test, round(sum(-0.5 * (ln(1 + p / (3 * p + 1)) + (v - 3 * p / (3 * p + 1) * u) ** 2 / (1 + p / (3 * p + 1))) + 0.5 * (ln(1 + p) + v ** 2 / (1 + p))), 6) AS llr FROM t GROUP BY enroll, test""")
+def _(spark, d):
+    psi = F.array(*[F.lit(1.0 / i) for i in range(1, 65)])
+    return _pairs(spark, d).select("enroll", "test", F.round(V.plda_llr(F.col("x"), F.col("y"), psi, F.lit(3.0)), 6).alias("llr"))
+
+
+@query("v10_angles", f"WITH {_PAIR} SELECT enroll, test, round(acos(greatest(-1, least(1, list_cosine_similarity(x, y)))), 6) AS angle, round(((degrees(atan2(x[2], x[1]))::DECIMAL(18, 9) % 360 + 360) % 360)::DOUBLE, 6) AS azimuth FROM pr")
+def _(spark, d):
+    return _pairs(spark, d).select("enroll", "test", F.round(V.angle(F.col("x"), F.col("y")), 6).alias("angle"), F.round(V.azimuth(F.col("x")[0], F.col("x")[1]), 6).alias("azimuth"))
+
+
+@query("v11_cyclic_resize", f"WITH {R.VEC} SELECT utt, i, round(v[(i % 64) + 1], 6) AS x FROM vec, range(0, 100) r(i)")
+def _(spark, d):
+    return R.vectors(spark, d).select("utt", F.posexplode(V.cyclic_resize(F.col("v"), 100)).alias("i", "x")).select("utt", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+_START = "floor(('0x' || substr(md5('5:' || utt), 1, 8))::BIGINT / 4294967296.0 * (64 - 16 + 1))::INT"
+
+
+@query("v12_chunk", f"WITH {R.VEC} SELECT utt, round(list_sum(v[{_START} + 1:{_START} + 16]), 6) AS total FROM vec")
+def _(spark, d):
+    c = V.chunk(F.col("v"), 16, F.lit(5), F.col("utt"))
+    return R.vectors(spark, d).select("utt", F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("v13_crops", f"WITH {R.VEC}, s AS (SELECT utt, v, k, floor(('0x' || substr(md5('5:' || utt || ':' || k), 1, 8))::BIGINT / 4294967296.0 * (64 - 16 + 1))::INT AS s FROM vec, range(0, 3) r(k)) SELECT utt, k, round(list_sum(v[s + 1:s + 16]), 6) AS total FROM s")
+def _(spark, d):
+    c = V.crops(F.col("v"), 16, 3, F.lit(5), F.col("utt"))
+    out = R.vectors(spark, d).select("utt", F.posexplode(c).alias("k", "c"))
+    return out.select("utt", F.col("k").cast("long").alias("k"), F.round(F.aggregate("c", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("d_mel_scale", "SELECT event_id, round(2595 * log10(1 + value * 10 / 700), 6) AS mel, round(1127 * ln(1 + value * 10 / 700), 6) AS mel_ln FROM events")
+def _(spark, d):
+    hz = F.col("value") * 10
+    return R.table(spark, d, "events").select("event_id", F.round(V.mel(hz), 6).alias("mel"), F.round(V.mel_natural(hz), 6).alias("mel_ln"))
+
+
+@query("d05_cmvn", f"WITH {R.VEC}, l AS (SELECT spk, i, v[i] AS x FROM vec, range(1, 65) r(i)), s AS (SELECT spk, i, avg(x) AS m, sqrt(var_samp(x) + 1e-7) AS sd FROM l GROUP BY ALL) SELECT utt, round(sum((v[i] - m) / sd), 5) AS total FROM vec JOIN s USING (spk) GROUP BY utt")
+def _(spark, d):
+    from vecspan.operators.signal import cmvn
+
+    out = cmvn(R.vectors(spark, d), ["spk"], "utt")
+    return out.select("utt", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("d10_pooled_statistics", f"WITH {R.VEC} SELECT spk, i::INT AS i, round(avg(v[i + 1]), 6) AS mean, round(sqrt(var_samp(v[i + 1]) + 1e-7), 6) AS sd FROM vec, range(0, 64) r(i) GROUP BY spk, i")
+def _(spark, d):
+    from vecspan.operators.signal import pooled_statistics
+
+    return r6(pooled_statistics(R.vectors(spark, d), ["spk"]), "mean", "sd")
+
+
+# --- trials, scores, metrics -----------------------------------------------------------------------------
+
+
+@query("j08_all_pairs", "SELECT a.s_suppkey AS enroll, b.s_suppkey AS test, a.s_nationkey = b.s_nationkey AS target FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
+def _(spark, d):
+    return S.pairs(R.table(spark, d, "supplier"), "s_suppkey", "s_nationkey")
+
+
+@query("j09_target_pairs", f"WITH {R.VEC} SELECT a.utt AS enroll, b.utt AS test, true AS target FROM vec a JOIN vec b ON a.spk = b.spk AND a.utt < b.utt")
+def _(spark, d):
+    return S.pairs(R.vectors(spark, d), "utt", "spk", same=True)
+
+
+@query("j10_nontarget_pairs", f"WITH {R.VEC} SELECT a.utt AS enroll, b.utt AS test, false AS target FROM vec a JOIN vec b ON a.spk <> b.spk AND a.utt < b.utt WHERE a.utt < 80 AND b.utt < 80")
+def _(spark, d):
+    return S.pairs(R.vectors(spark, d, 80), "utt", "spk", same=False)
+
+
+@query("b01_cosine_scoring", f"WITH {_PAIR}, m AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(v[i]) AS m FROM vec, range(1, 65) r(i) GROUP BY i)), c AS (SELECT enroll, test, target, list_transform(x, lambda a, i: a - m[i]) AS x, list_transform(y, lambda a, i: a - m[i]) AS y FROM pr, m) SELECT enroll, test, target, round(list_cosine_similarity(x, y), 6) AS score FROM c")
+def _(spark, d):
+    mean = S.mean_vectors(R.vectors(spark, d), []).first()["v"]
+    v = R.vectors(spark, d, 60)
+    return r6(S.score(S.pairs(v, "utt", "spk"), v, mean=mean), "score").select("enroll", "test", "target", "score")
+
+
+@query("a05_speaker_means", f"WITH {R.VEC} SELECT spk, i::INT AS i, round(avg(v[i + 1]), 6) AS x FROM vec, range(0, 64) r(i) GROUP BY spk, i")
+def _(spark, d):
+    return S.mean_vectors(R.vectors(spark, d), ["spk"]).select("spk", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("a06_enrolment", f"WITH {R.VEC}, m AS (SELECT spk, i, avg(v[i + 1]) AS x FROM vec, range(0, 64) r(i) GROUP BY spk, i) SELECT spk, i::INT AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY spk)), 6) AS x FROM m")
+def _(spark, d):
+    return S.enrol(R.vectors(spark, d)).select("spk", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("a07_covariance", f"WITH {R.VEC}, l AS (SELECT v[1:4] AS v FROM vec) SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round(avg(v[i] * v[j]) - avg(v[i]) * avg(v[j]), 6) AS cov FROM l, range(1, 5) r(i), range(1, 5) q(j) GROUP BY i, j")
+def _(spark, d):
+    from vecspan.operators.backends import moments
+
+    n, mean, second = moments(R.vectors(spark, d).withColumn("v", F.slice("v", 1, 4)))
+    cov = second / n - mean[:, None] * mean[None, :]
+    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6)) for i in range(4) for j in range(4)], "i int, j int, cov double")
+
+
+_COHORT = f"{_PAIR}, co AS (SELECT utt AS c, v FROM vec WHERE utt BETWEEN 100 AND 139), cs AS (SELECT vec.utt, list_cosine_similarity(vec.v, co.v) AS s FROM vec, co WHERE vec.utt < 60), tn AS (SELECT utt, avg(s) AS mu, stddev_pop(s) AS sd FROM (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY utt ORDER BY s DESC) <= 10) GROUP BY utt)"
+
+
+def _cohort(spark, d):
+    return [r["v"] for r in R.vectors(spark, d).where("utt between 100 and 139").orderBy("utt").collect()]
+
+
+@query("a09_cohort_statistics", f"WITH {_COHORT} SELECT utt, round(mu, 6) AS mu, round(sd, 6) AS sd FROM tn")
+def _(spark, d):
+    return r6(S.cohort_statistics(R.vectors(spark, d, 60), _cohort(spark, d), 10), "mu", "sd")
+
+
+@query("a09_cohort_statistics_blocks", f"WITH {_COHORT} SELECT utt, round(mu, 6) AS mu, round(sd, 6) AS sd FROM tn")
+def _(spark, d):
+    cohort = R.vectors(spark, d).where("utt between 100 and 139").select(F.col("utt").alias("cohort"), "v")
+    return r6(S.cohort_statistics_join(R.vectors(spark, d, 60), cohort, 10), "mu", "sd")
+
+
+@query("b02_asnorm", f"WITH {_COHORT} SELECT enroll, test, round(0.5 * ((list_cosine_similarity(x, y) - a.mu) / a.sd + (list_cosine_similarity(x, y) - b.mu) / b.sd), 5) AS norm_score FROM pr JOIN tn a ON enroll = a.utt JOIN tn b ON test = b.utt")
+def _(spark, d):
+    v = R.vectors(spark, d, 60)
+    stats = S.cohort_statistics(v, _cohort(spark, d), 10)
+    out = S.normalise_scores(S.score(S.pairs(v, "utt", "spk"), v), stats, stats)
+    return out.select("enroll", "test", F.round("norm_score", 5).alias("norm_score"))
+
+
+@query("b02_snorm", f"WITH {_COHORT}, al AS (SELECT utt, avg(s) AS mu, stddev_pop(s) AS sd FROM cs GROUP BY utt) SELECT enroll, test, round(0.5 * ((list_cosine_similarity(x, y) - a.mu) / a.sd + (list_cosine_similarity(x, y) - b.mu) / b.sd), 5) AS norm_score FROM pr JOIN al a ON enroll = a.utt JOIN al b ON test = b.utt")
+def _(spark, d):
+    v = R.vectors(spark, d, 60)
+    stats = S.cohort_statistics(v, _cohort(spark, d), None)
+    out = S.normalise_scores(S.score(S.pairs(v, "utt", "spk"), v), stats, stats)
+    return out.select("enroll", "test", F.round("norm_score", 5).alias("norm_score"))
+
+
+@query("b03_calibration_factors", f"WITH {_COHORT}, ft AS (SELECT utt, mu, least(utt * 1.5, 40.0)::DOUBLE AS dur FROM tn) SELECT enroll, test, round(least(a.dur, b.dur), 6) AS dur_min, round(greatest(a.dur, b.dur), 6) AS dur_max, round(abs(a.dur - b.dur), 6) AS dur_diff, round(greatest(a.dur, b.dur) / nullif(least(a.dur, b.dur), 0), 6) AS dur_ratio, round(abs(a.mu - b.mu), 6) AS mu_diff FROM pr JOIN ft a ON enroll = a.utt JOIN ft b ON test = b.utt")
+def _(spark, d):
+    v = R.vectors(spark, d, 60)
+    feats = S.cohort_statistics(v, _cohort(spark, d), 10).withColumn("dur", F.col("utt") * 1.5)
+    out = S.calibration_factors(S.pairs(v, "utt", "spk"), feats, ["dur", "mu"], caps={"dur": 40.0})
+    return r6(out.select("enroll", "test", "dur_min", "dur_max", "dur_diff", "dur_ratio", "mu_diff"), "dur_min", "dur_max", "dur_diff", "dur_ratio", "mu_diff")
+
+
+@query("b04_cllr", f"WITH {R.SCORES} SELECT round((avg(ln(1 + exp(-score))) FILTER (WHERE target) + avg(ln(1 + exp(score))) FILTER (WHERE NOT target)) / (2 * ln(2)), 6) AS cllr FROM sc")
+def _(spark, d):
+    return r6(M.cllr(R.target_scores(spark, d)), "cllr")
+
+
+@query("b05_calibration_fit")
+def _(spark, d):
+    s = R.target_scores(spark, d).select("key", "score", "target")
+    w, b = S.fit_calibration(s, ["score"])
+    return S.apply_linear(s, ["score"], w, b)
+
+
+@query("b06_linear_calibration", f"WITH {R.SCORES} SELECT key, round(0.7 * score - 0.2, 6) AS calibrated FROM sc")
+def _(spark, d):
+    return S.apply_linear(R.target_scores(spark, d), ["score"], [0.7], -0.2).select("key", F.round("calibrated", 6).alias("calibrated"))
+
+
+_DET = f"""{R.SCORES}, dt AS (SELECT key, score, target, row_number() OVER w AS pos, sum(target::INT) OVER w / sum(target::INT) OVER () AS fnr, 1 - sum(1 - target::INT) OVER w / sum(1 - target::INT) OVER () AS fpr
+FROM sc WINDOW w AS (ORDER BY score, target, key ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("w10_det_sweep", f"WITH {_DET} SELECT key, pos, round(fnr, 6) AS fnr, round(fpr, 6) AS fpr FROM dt")
+def _(spark, d):
+    return r6(M.det_sweep(R.target_scores(spark, d), ["key"]).select("key", "pos", "fnr", "fpr"), "fnr", "fpr")
+
+
+@query("w11_eer", f"WITH {_DET}, p AS (SELECT arg_min((fnr, fpr, score), pos) FILTER (WHERE fnr - fpr >= 0) AS a, arg_max((fnr, fpr, score), pos) FILTER (WHERE fnr - fpr < 0) AS b FROM dt) SELECT round(a[1] + (a[1] - a[2]) / (b[2] - a[2] - (b[1] - a[1])) * (b[1] - a[1]), 6) AS eer, round(a[3], 6) AS threshold FROM p")
+def _(spark, d):
+    return r6(M.eer(M.det_sweep(R.target_scores(spark, d), ["key"])), "eer", "threshold")
+
+
+@query("w12_min_dcf", f"WITH {_DET} SELECT round(min(0.01 * fnr + 0.99 * fpr), 6) AS min_dcf_raw, round(min(0.01 * fnr + 0.99 * fpr) / 0.01, 6) AS min_dcf FROM dt")
+def _(spark, d):
+    return r6(M.min_dcf(M.det_sweep(R.target_scores(spark, d), ["key"])), "min_dcf_raw", "min_dcf")
+
+
+@query("entry_verification_eer", f"""WITH {R.VEC}, pr AS (SELECT a.utt * 1000 + b.utt AS key, list_cosine_similarity(a.v, b.v) AS score, a.spk = b.spk AS target FROM vec a JOIN vec b ON a.utt < b.utt AND a.utt < 200 AND b.utt < 200),
+dt AS (SELECT row_number() OVER w AS pos, score, sum(target::INT) OVER w / sum(target::INT) OVER () AS fnr, 1 - sum(1 - target::INT) OVER w / sum(1 - target::INT) OVER () AS fpr FROM pr WINDOW w AS (ORDER BY score, target, key ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT arg_min((fnr, fpr), pos) FILTER (WHERE fnr - fpr >= 0) AS a, arg_max((fnr, fpr), pos) FILTER (WHERE fnr - fpr < 0) AS b, min(0.01 * fnr + 0.99 * fpr) / 0.01 AS dcf FROM dt)
+SELECT round(a[1] + (a[1] - a[2]) / (b[2] - a[2] - (b[1] - a[1])) * (b[1] - a[1]), 4) AS eer, round(dcf, 4) AS min_dcf FROM p""")
+def verification(spark, d):
+    """The flagship: trials among the first 200 vectors, cosine scores, error sweep, EER and detection cost."""
+    v = R.vectors(spark, d, 200)
+    sweep = M.det_sweep(S.score(S.pairs(v, "utt", "spk"), v), ["enroll", "test"])
+    return M.eer(sweep).join(M.min_dcf(sweep), F.lit(True)).select(F.round("eer", 4).alias("eer"), F.round("min_dcf", 4).alias("min_dcf"))
+
+
+@query("a22_histogram_rates", f"WITH {R.SCORES}, x AS (SELECT *, least(99, floor((score - (SELECT min(score) FROM sc)) / (SELECT max(score) - min(score) FROM sc) * 100))::INT AS bin FROM sc), g AS (SELECT bin, sum(target::INT) AS t, sum(1 - target::INT) AS n FROM x GROUP BY bin) SELECT bin, round(sum(t) OVER (ORDER BY bin) / sum(t) OVER (), 6) AS miss, round(1 - sum(n) OVER (ORDER BY bin) / sum(n) OVER (), 6) AS false_alarm FROM g")
+def _(spark, d):
+    return r6(M.histogram_rates(R.target_scores(spark, d), 100), "miss", "false_alarm")
+
+
+@query("a23_equalised_weights", f"WITH {R.SCORES}, c AS (SELECT target, cond, count(*) AS n FROM sc GROUP BY ALL), w AS (SELECT target, cond, max(n) OVER (PARTITION BY target) / n AS weight FROM c) SELECT key, round(weight, 6) AS weight FROM sc JOIN w USING (target, cond)")
+def _(spark, d):
+    return r6(M.equalised_weights(R.target_scores(spark, d), "cond").select("key", "weight"), "weight")
+
+
+_ID = f"""{R.VEC}, tr AS (SELECT utt AS trial, utt AS probe, spk AS true_spk FROM vec WHERE utt < 40), en AS (SELECT trial, vec.spk, vec.utt FROM tr, vec WHERE vec.utt BETWEEN 200 AND 259),
+gs AS (SELECT trial, en.spk, max(list_cosine_similarity(p.v, g.v)) AS mx FROM en JOIN vec g ON g.utt = en.utt JOIN vec p ON p.utt = trial GROUP BY trial, en.spk),
+rk AS (SELECT trial, true_spk, spk, mx, row_number() OVER (PARTITION BY trial ORDER BY round(mx, 9) DESC, spk) AS rank FROM gs JOIN tr USING (trial))"""
+
+
+def _identify(spark, d, strategy):
+    v = R.vectors(spark, d)
+    trials = v.where("utt < 40").select(F.col("utt").alias("trial"), F.col("utt").alias("probe"), F.col("spk").alias("true_spk"))
+    gallery = v.where("utt between 200 and 259").select("spk", "utt")
+    enrolments = trials.select("trial").join(F.broadcast(gallery), F.lit(True))
+    scores = S.gallery_scores(trials, enrolments, v, strategy).withColumn("score", F.round("score", 9))
+    return S.rank_gallery(scores, "trial").join(trials.select("trial", "true_spk"), "trial")
+
+
+@query("b14_gallery_max", f"WITH {_ID} SELECT trial, spk, round(mx, 6) AS score, rank::INT AS rank FROM rk")
+def _(spark, d):
+    return r6(_identify(spark, d, "max").select("trial", "spk", "score", "rank"), "score")
+
+
+@query("b14_gallery_mean", f"""WITH {R.VEC}, g AS (SELECT spk, list(m ORDER BY i) AS g FROM (SELECT spk, i, avg(v[i]) AS m FROM vec, range(1, 65) r(i) WHERE utt BETWEEN 200 AND 259 GROUP BY spk, i) GROUP BY spk)
+SELECT utt AS trial, g.spk, round(list_cosine_similarity(v, g), 6) AS score FROM vec, g WHERE utt < 40""")
+def _(spark, d):
+    return r6(_identify(spark, d, "mean").select("trial", "spk", "score"), "score")
+
+
+@query("a10_top_k_accuracy", f"WITH {_ID}, h AS (SELECT trial, min(rank) FILTER (WHERE spk = true_spk) AS at FROM rk GROUP BY trial) SELECT count(*) AS num_trials, count(h.at) AS num_closed_set, count(*) - count(h.at) AS num_open_set, round(avg((h.at <= 1)::INT), 6) AS top_1, round(avg((h.at <= 5)::INT), 6) AS top_5 FROM h".replace("AS at", "AS \"at\"").replace("h.at", "h.\"at\""))
+def _(spark, d):
+    return r6(M.top_k_accuracy(_identify(spark, d, "max"), [1, 5]), "top_1", "top_5")
+
+
+@query("a11_confusion", f"WITH {_ID} SELECT true_spk, spk AS pred, count(*) AS n FROM rk WHERE rank = 1 GROUP BY ALL")
+def _(spark, d):
+    return M.confusion(_identify(spark, d, "max").where("rank = 1").withColumnRenamed("spk", "pred"))
+
+
+@query("a13_most_confused", f"WITH {_ID}, c AS (SELECT true_spk, spk AS pred, count(*) AS n FROM rk WHERE rank = 1 GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY true_spk)::BIGINT AS row_total FROM c) SELECT * FROM t WHERE true_spk <> pred ORDER BY n DESC, true_spk, pred LIMIT 10")
+def _(spark, d):
+    return M.most_confused(M.confusion(_identify(spark, d, "max").where("rank = 1").withColumnRenamed("spk", "pred")), 10)
+
+
+@query("t01_best_speaker", f"WITH {_ID} SELECT trial, spk, round(mx, 6) AS score FROM rk WHERE rank = 1 AND mx >= 0.2")
+def _(spark, d):
+    return r6(S.best_speaker(_identify(spark, d, "max").select("trial", "spk", "score"), "trial", threshold=0.2), "score")
+
+
+@query("t04_hard_negatives", f"WITH {_ID}, n AS (SELECT trial, spk, row_number() OVER (PARTITION BY trial ORDER BY round(mx, 9) DESC, spk) AS rank FROM gs JOIN tr USING (trial) WHERE spk <> true_spk) SELECT trial, spk, rank::INT AS rank FROM n WHERE rank <= 3")
+def _(spark, d):
+    s = _identify(spark, d, "max").drop("rank")
+    return S.hard_negatives(s, "trial", F.col("spk") == F.col("true_spk"), 3, "spk").select("trial", "spk", "rank")
+
+
+@query("b17_register", f"WITH {R.VEC}, g AS (SELECT spk, min(utt) AS utt FROM vec WHERE spk < 5 GROUP BY spk), n AS (SELECT spk, max(utt) AS utt FROM vec GROUP BY spk) SELECT * FROM g UNION ALL SELECT * FROM n WHERE spk NOT IN (SELECT spk FROM g)")
+def _(spark, d):
+    v = R.vectors(spark, d)
+    return S.register(v.where("spk < 5").groupBy("spk").agg(F.min("utt").alias("utt")), v.groupBy("spk").agg(F.max("utt").alias("utt")))
+
+
+@query("a14_sweep_table", "SELECT user_id % 3 AS g, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS click, round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS view FROM events GROUP BY 1")
+def _(spark, d):
+    e = R.table(spark, d, "events").where(F.col("event_type").isin("click", "view"))
+    m = e.groupBy((F.col("user_id") % 3).alias("g"), "event_type").agg(F.round(F.avg("value"), 6).alias("m"))
+    return M.sweep_table(m, ["g"], "event_type", "m")
+
+
+@query("t05_epoch_order", f"WITH {R.UTT}, e AS (SELECT utt, k FROM utt, range(0, 2) r(k)), o AS (SELECT utt, k, row_number() OVER (PARTITION BY k ORDER BY md5(k || ':' || utt)) - 1 AS rn FROM e) SELECT utt, k, rn % 4 AS worker FROM o")
+def _(spark, d):
+    from vecspan.plans.prefix import running_sums
+
+    u = R.utterances(spark, d).select("utt", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("k"))
+    u = u.withColumn("h", F.md5(F.concat_ws(":", F.col("k").cast("string"), "utt"))).withColumn("b", F.conv(F.substring("h", 1, 2), 16, 10).cast("int"))
+    return running_sums(u, "b", ["h"], {"rn": F.lit(1)}, ["k"]).select("utt", "k", ((F.col("rn") - 1) % 4).cast("long").alias("worker"))
+
+
+@query("t13_jitter", "SELECT event_id, round(value * (0.9 + 0.2 * (('0x' || substr(md5('11:' || event_id), 1, 8))::BIGINT / 4294967296.0)), 6) AS jittered FROM events")
+def _(spark, d):
+    return r6(T.jitter(R.table(spark, d, "events").select("event_id", "value"), "value", 0.1, F.lit(11), F.col("event_id")).select("event_id", "jittered"), "jittered")
+
+
+@query("m04_schedules", "SELECT i AS it, round(0.1 * exp(i / 1000.0 * ln(0.0001 / 0.1)), 9) AS exp_lr, round(CASE WHEN i < 100 THEN 0.1 * i / 100 ELSE 0.0001 + 0.0999 * 0.5 * (1 + cos(pi() * (i - 100) / 900)) END, 9) AS cos_lr, round(0.001 + 0.099 * greatest(0, 1 - abs(i / 100.0 - 2 * floor(1 + i / 200.0) + 1)) / 2 ** (floor(1 + i / 200.0) - 1), 9) AS tri_lr, round(CASE WHEN i < 200 THEN 0 WHEN i >= 600 THEN 0.2 ELSE 0.2 * (i - 200) / 400 END, 9) AS margin FROM range(0, 1000) r(i)")
+def _(spark, d):
+    from vecspan.functions import schedules as C
+
+    it = F.col("it")
+    return spark.range(1000).select(
+        F.col("id").alias("it"),
+    ).select("it", *[F.round(c, 9).alias(n) for n, c in (("exp_lr", C.exponential_decrease(it, 1000, 0.1, 0.0001)), ("cos_lr", C.warmup_cosine(it, 100, 1000, 0.1, 0.0001)), ("tri_lr", C.triangular2(it, 100, 0.001, 0.1)), ("margin", C.margin_curve(it, 200, 600, 0.0, 0.2, "linear")))])
+
+
+@query("m05_margin_logits", f"WITH {_PAIR}, c AS (SELECT enroll, test, target, list_cosine_similarity(x, y) AS c FROM pr) SELECT enroll, test, round(32 * CASE WHEN target THEN c - 0.2 ELSE c END, 4) AS am, round(32 * CASE WHEN NOT target THEN c WHEN c > cos(pi() - 0.2) THEN c * cos(0.2) - sqrt(greatest(0, 1 - c * c)) * sin(0.2) ELSE c - sin(pi() - 0.2) * 0.2 END, 4) AS aam FROM c")
+def _(spark, d):
+    p = _pairs(spark, d).withColumn("c", V.cosine(F.col("x"), F.col("y")))
+    c, t = F.col("c"), F.col("target")
+    return p.select("enroll", "test", F.round(V.margin_logits(c, t, "am", 0.2, 32.0), 4).alias("am"), F.round(V.margin_logits(c, t, "aam", 0.2, 32.0), 4).alias("aam"))
+
+
+@query("j15_nearest_azimuth", "SELECT event_id, arg_min(a, (least(abs(value % 360 - a), 360 - abs(value % 360 - a)), a))::INT AS nearest FROM events, (VALUES (10), (80), (170), (300)) r(a) GROUP BY event_id")
+def _(spark, d):
+    refs = F.array(*[F.lit(a) for a in (10, 80, 170, 300)])
+    near = F.array_min(F.transform(refs, lambda a: F.struct(V.circular_distance(F.col("value") % 360, a.cast("double")).alias("dist"), a.alias("a"))))
+    return R.table(spark, d, "events").select("event_id", near["a"].alias("nearest"))
+
+
+@query("w15_crossing_time", f"WITH {_TURNS}, c AS (SELECT conv_id, role, turn, onset, n, sum(n) OVER (PARTITION BY conv_id, role ORDER BY turn) AS total FROM tu) SELECT conv_id, role, min(onset + 300 - (total - n))::BIGINT AS t FROM c WHERE total >= 300 GROUP BY conv_id, role")
+def _(spark, d):
+    t = _turns(spark, d)
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    t = t.withColumn("total", F.sum("n").over(w)).where("total >= 300")
+    return t.groupBy("conv_id", "role").agg(F.min(F.col("onset") + 300 - (F.col("total") - F.col("n"))).alias("t"))
+
+
+@query("w14_presence", f"WITH {_FRAMES} SELECT rec, frame::INT AS frame, sum((cls > 0)::INT) OVER (PARTITION BY rec ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 0.5 * least(10, frame + 1) AS shown FROM fr")
+def _(spark, d):
+    w = Window.partitionBy("rec").orderBy("frame").rowsBetween(-9, 0)
+    return _frames(spark, d).select("rec", "frame", (F.sum((F.col("cls") > 0).cast("int")).over(w) >= 0.5 * F.least(F.lit(10), F.col("frame") + 1)).alias("shown"))
+
+
+@query("a20_bounding_boxes", f"WITH {R.VEC} SELECT spk, greatest(0, floor(min(v[1]) * 100 + 50 - 4))::INT AS x0, least(100, floor(max(v[1]) * 100 + 50 + 4))::INT AS x1 FROM vec GROUP BY spk")
+def _(spark, d):
+    x = F.col("v")[0] * 100 + 50
+    return R.vectors(spark, d).groupBy("spk").agg(F.greatest(F.lit(0), F.floor(F.min(x) - 4)).cast("int").alias("x0"), F.least(F.lit(100), F.floor(F.max(x) + 4)).cast("int").alias("x1"))
+
+
+# --- clustering, back-ends, streams ----------------------------------------------------------------------
+
+
+def _grouped_vectors(spark, d):
+    return R.vectors(spark, d).withColumn("rec", F.col("utt") % 20)
+
+
+@query("c01_spectral_clusters")
+def _(spark, d):
+    from vecspan.operators.clustering import cluster_groups
+
+    return cluster_groups(_grouped_vectors(spark, d), "rec", "utt", "spectral")
+
+
+@query("c04_linkage_clusters")
+def _(spark, d):
+    from vecspan.operators.clustering import cluster_groups
+
+    return cluster_groups(_grouped_vectors(spark, d), "rec", "utt", "linkage", threshold=0.45)
+
+
+@query("c06_online_clusters")
+def _(spark, d):
+    from vecspan.operators.clustering import cluster_groups
+
+    return cluster_groups(_grouped_vectors(spark, d), "rec", "utt", "online", threshold=0.2)
+
+
+@query("c07_label_mapping")
+def _(spark, d):
+    from vecspan.operators.clustering import map_labels
+
+    iv = R.intervals(spark, d)
+    return map_labels(I.overlap_totals(iv.where("id % 2 = 0"), iv.where("id % 2 = 1"), ["rec"]), "rec")
+
+
+@query("c08_identify_by_recording", f"WITH {R.VEC}, g AS (SELECT utt % 20 AS rec, spk, min(utt) AS gu FROM vec GROUP BY ALL), s AS (SELECT v.utt % 20 AS rec, v.utt, g.spk, list_cosine_similarity(v.v, w.v) AS c FROM vec v JOIN g ON v.utt % 20 = g.rec JOIN vec w ON w.utt = g.gu) SELECT rec, utt, spk, round(c, 6) AS score FROM s WHERE c >= 0.1 QUALIFY row_number() OVER (PARTITION BY utt ORDER BY c DESC, spk) = 1")
+def _(spark, d):
+    v = _grouped_vectors(spark, d)
+    unit = v.select("rec", "utt", "spk", V.l2_normalise(F.col("v")).alias("v"))
+    gallery = T.first_of_key(unit.withColumn("k", F.struct("rec", "spk")).select("k", "utt"), "k").select("k.rec", "k.spk", "utt")
+    gallery = gallery.join(unit.select("utt", F.col("v").alias("g")), "utt").drop("utt")
+    s = unit.select("rec", "utt", "v").join(gallery, "rec").select("rec", "utt", "spk", V.dot(F.col("v"), F.col("g")).alias("score"))
+    return r6(S.best_speaker(s, "utt", threshold=0.1).withColumn("rec", F.col("utt") % 20), "score")
+
+
+@query("b07_lda")
+def _(spark, d):
+    from vecspan.operators import backends as B
+
+    v = R.vectors(spark, d)
+    return B.transform_vectors(v, *B.fit_lda(v, 8))
+
+
+@query("b09_chain")
+def _(spark, d):
+    from vecspan.operators import chain
+
+    v = R.vectors(spark, d)
+    return chain.apply(chain.fit("mean-subtract | whitening | length-norm", v), v)
+
+
+@query("b10_plda_scores")
+def _(spark, d):
+    from vecspan.operators import backends as B
+
+    v = R.vectors(spark, d)
+    m = B.fit_plda(v, 3)
+    t = B.transform_vectors(R.vectors(spark, d, 60), m["mu"], m["transform"].T)
+    psi = F.array(*[F.lit(float(p)) for p in m["psi"]])
+    trials = S.pairs(R.vectors(spark, d, 60), "utt", "spk")
+    e, p = t.select(F.col("utt").alias("enroll"), F.col("v").alias("x")), t.select(F.col("utt").alias("test"), F.col("v").alias("y"))
+    return trials.join(e, "enroll").join(p, "test").select("enroll", "test", "target", V.plda_llr(F.col("x"), F.col("y"), psi, F.lit(1.0)).alias("llr"))
+
+
+@query("st01_hopping_counts", "SELECT epoch_us(time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES) // 1000000 AS begin, event_type, count(*) AS n FROM events, range(0, 2) r(k) GROUP BY ALL")
+def _(spark, d):
+    from vecspan.streaming.online import hopping_counts
+
+    out = hopping_counts(R.table(spark, d, "events").withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))")), "ts", "event_type", late=None)
+    return out.select(F.unix_seconds("window.start").alias("begin"), "event_type", "n")
+
+
+@query("w09_speech_hysteresis")
+def _(spark, d):
+    from vecspan.operators.clustering import hysteresis
+
+    def run(pdf):
+        import pandas as pd
+
+        found = hysteresis(pdf.sort_values("frame")["p"].tolist(), silence=2, speech=3)
+        return pd.DataFrame([(pdf["rec"].iloc[0], s, e) for s, e in found], columns=["rec", "b", "e"])
+
+    p = _frames(spark, d).withColumn("p", F.when(F.col("cls") == 0, 0.1).when(F.col("cls") == 1, 0.8).otherwise(0.45))
+    return p.groupBy("rec").applyInPandas(run, "rec long, b long, e long")
+
+
+@query("w18_balanced_groups")
+def _(spark, d):
+    from vecspan.operators.clustering import balance_durations
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("utt")
+        groups = balance_durations(pdf["dur"].tolist(), 20.0)
+        return pd.DataFrame([(pdf["spk"].iloc[0], f"{pdf['utt'].iloc[s]}-comb{e - s}", pdf["utt"].iloc[s:e].tolist()) for s, e in groups], columns=["spk", "new_utt", "utts"])
+
+    return R.utterances(spark, d).groupBy("spk").applyInPandas(run, "spk string, new_utt string, utts array<string>")
