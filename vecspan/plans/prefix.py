@@ -12,8 +12,7 @@ def range_bucket(df: DataFrame, key: str, buckets: int, out: str = "bucket") ->
     cuts = sorted(set(df.approxQuantile(key, probes, 0.5 / buckets))) if probes else []
     if not cuts:
         return df.withColumn(out, F.lit(0))
-    above = F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(key))
-    return df.withColumn(out, F.size(above))
+    return df.withColumn(out, sum(((F.col(key) > float(c)).cast("int") for c in cuts), F.lit(0)))
 
 
 def running_sums(df: DataFrame, bucket: str, order: list[Column | str], sums: dict[str, Column], group: list[str] | None = None) -> DataFrame:
