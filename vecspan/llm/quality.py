@@ -12,12 +12,12 @@ SPACE = "[\\x20\\x09-\\x0D]"
 WINDOW = 5
 
 #: Document rules whose failures are counted by host. Each is true where a document fails.
-RULES: dict[str, Column] = {
-    "few_words": F.col("n_words") < 10,
-    "repetition": 100 * F.col("n_repeat_words") > 20 * F.col("n_words"),
-    "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
-    "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
-    "dup_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+RULES = {
+    "few_words": "n_words < 10",
+    "repetition": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
+    "dup_lines": "100 * n_dup_lines > 30 * n_lines",
 }
 
 #: A host whose shrunk failure rate of any rule is above this is rejected.
@@ -101,7 +101,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     host = F.col("source") if host is None else host
     rows = text_features(docs.select(F.col(id_col).alias("doc_id"), host.cast("string").alias("host"), F.col(text_col).alias("body")), F.col("body"))
-    rows = rows.drop("body").select("*", *[c.alias(f"fail_{r}") for r, c in RULES.items()])
+    rows = rows.drop("body").select("*", *[F.expr(rule).alias(f"fail_{r}") for r, rule in RULES.items()])
     rows = rows.withColumn("host", F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit("")))
     rows = materialize(rows, "features")
     verdicts = materialize(host_verdicts(rows, max_rate).select("host", "host_kept"), "verdicts")
