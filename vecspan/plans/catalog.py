@@ -964,3 +964,189 @@ def _(spark, d):
         return pd.DataFrame([(pdf["spk"].iloc[0], f"{pdf['utt'].iloc[s]}-comb{e - s}", pdf["utt"].iloc[s:e].tolist()) for s, e in groups], columns=["spk", "new_utt", "utts"])
 
     return R.utterances(spark, d).groupBy("spk").applyInPandas(run, "spk string, new_utt string, utts array<string>")
+
+
+# --- trial sampling, further lookups and checks ----------------------------------------------------------
+
+_SPK = "spk10 AS (SELECT source AS spk FROM documents GROUP BY source HAVING count(*) >= 3)"
+
+
+def _pools(spark, d):
+    from vecspan.operators import trials as TR
+
+    u = R.utterances(spark, d).select("utt", "spk")
+    eligible = T.at_least(u, "spk", 3).select("spk").distinct()
+    return u, TR.sample_pools(eligible, 30, 5, 13)
+
+
+_POOLS = f"{_SPK}, po AS (SELECT t AS trial, spk, row_number() OVER (PARTITION BY t ORDER BY md5('13:' || t || ':' || spk)) AS position FROM range(1, 31) r(t), spk10)"
+
+
+@query("f09_eligible_speakers", f"WITH {_SPK} SELECT spk FROM spk10")
+def _(spark, d):
+    return T.at_least(R.utterances(spark, d), "spk", 3).select("spk").distinct()
+
+
+@query("t07_sample_pools", f"WITH {_POOLS} SELECT trial, position::INT AS position, spk FROM po WHERE position <= 5")
+def _(spark, d):
+    return _pools(spark, d)[1]
+
+
+@query("t08_realise_trials", f"WITH {R.UTT}, {_POOLS}, x AS (SELECT trial, position, utt.spk, utt, row_number() OVER (PARTITION BY trial, utt.spk ORDER BY md5('14:' || trial || ':' || utt), utt) AS rn FROM po JOIN utt ON po.spk = utt.spk WHERE position <= 5) SELECT trial, spk, utt, CASE WHEN position = 1 AND rn = 1 THEN 'probe' ELSE 'enroll' END AS role FROM x WHERE rn <= 2 + (position = 1)::INT")
+def _(spark, d):
+    from vecspan.operators import trials as TR
+
+    u, pools = _pools(spark, d)
+    return TR.realise(pools, u, 2, 14)
+
+
+_BANDS = "bd AS (SELECT utt, spk, CASE WHEN dur > 2 AND dur < 6 THEN 'short' WHEN dur > 6 THEN 'long' END AS band FROM utt), ls AS (SELECT spk, list(utt ORDER BY utt) FILTER (WHERE band = 'short') AS short, list(utt ORDER BY utt) FILTER (WHERE band = 'long') AS long FROM bd WHERE spk IN (SELECT spk FROM bd WHERE band IS NOT NULL GROUP BY spk HAVING count(DISTINCT band) = 2) GROUP BY spk)"
+
+
+@query("t10_calibration_trials", f"""WITH {R.UTT}, {_BANDS}, k AS (SELECT spk, k::INT AS k, a, b, CASE a WHEN 'short' THEN short ELSE long END AS la, CASE b WHEN 'short' THEN short ELSE long END AS lb FROM ls, range(1, 4) r(k), (VALUES ('short', 'short'), ('short', 'long'), ('long', 'long')) q(a, b))
+SELECT spk, k, a || '-' || b AS kind, la[('0x' || substr(md5('9:' || spk || ':' || k || ':' || a || ':' || b || ':a'), 1, 8))::BIGINT % len(la) + 1] AS enroll, lb[('0x' || substr(md5('9:' || spk || ':' || k || ':' || a || ':' || b || ':b'), 1, 8))::BIGINT % len(lb) + 1] AS test FROM k""")
+def _(spark, d):
+    from vecspan.operators import trials as TR
+
+    return TR.calibration_trials(T.bands(R.utterances(spark, d), "spk"), 3, 9)
+
+
+@query("t06_block_shuffle", f"WITH {R.UTT}, n AS (SELECT utt, (row_number() OVER (ORDER BY md5('1:' || utt)) - 1) // 250 AS block FROM utt) SELECT utt, block::BIGINT AS block, row_number() OVER (PARTITION BY block ORDER BY md5('2:' || utt))::INT AS place FROM n")
+def _(spark, d):
+    u = R.utterances(spark, d).select("utt", F.md5(F.concat(F.lit("1:"), "utt")).alias("h"))
+    blocks = T.shard_ids(u, ["h"], 250).withColumnRenamed("shard", "block")
+    return blocks.select("utt", "block", F.row_number().over(Window.partitionBy("block").orderBy(F.md5(F.concat(F.lit("2:"), "utt")))).alias("place"))
+
+
+@query("j04_left_with_unmatched", f"WITH {R.VEC} SELECT utt, CASE WHEN utt % 7 = 0 THEN NULL ELSE spk END AS spk, round((SELECT avg(v[1]) FROM vec), 6) AS mean_first FROM vec")
+def _(spark, d):
+    v = R.vectors(spark, d)
+    known = v.where("utt % 7 <> 0").select("utt", "spk")
+    mean = v.agg(F.round(F.avg(F.col("v")[0]), 6).alias("m")).first()["m"]
+    return v.select("utt").join(known, "utt", "left").withColumn("mean_first", F.lit(mean))
+
+
+@query("j05_trial_rewrite", f"WITH {R.UTT} SELECT l.doc_id, utt.spk AS path FROM labels l JOIN utt ON utt.utt = 'u' || l.doc_id")
+def _(spark, d):
+    lab = R.table(spark, d, "labels").select("doc_id", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("utt"))
+    return lab.join(R.utterances(spark, d), "utt").select("doc_id", F.col("spk").alias("path"))
+
+
+@query("j07_gallery_lookup", f"WITH {R.IV}, m AS (SELECT rec, list(DISTINCT label) AS spks FROM iv GROUP BY rec), x AS (SELECT rec, unnest(spks) AS spk FROM m) SELECT rec, spk, length(spk) AS size FROM x WHERE spk <> 'error'")
+def _(spark, d):
+    iv = R.intervals(spark, d)
+    meetings = iv.groupBy("rec").agg(F.collect_set("label").alias("spks")).select("rec", F.explode("spks").alias("spk"))
+    gallery = iv.select(F.col("label").alias("spk")).distinct().where("spk <> 'error'").withColumn("size", F.length("spk").cast("long"))
+    return meetings.join(gallery, "spk").select("rec", "spk", "size")
+
+
+@query("j17_matched_subset", f"WITH {R.UTT} SELECT spk FROM utt GROUP BY spk HAVING count(DISTINCT lang) = (SELECT count(DISTINCT lang) FROM utt)")
+def _(spark, d):
+    u = R.utterances(spark, d)
+    n = u.agg(F.countDistinct("lang").alias("n")).first()["n"]
+    return u.groupBy("spk").agg(F.countDistinct("lang").alias("n")).where(F.col("n") == n).select("spk")
+
+
+@query("j21_inverse_map", "SELECT n_name AS speaker, r_name AS face FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, d):
+    n, r = R.table(spark, d, "nation"), R.table(spark, d, "region")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("speaker"), F.col("r_name").alias("face"))
+
+
+@query("s04_utterances_by_speaker", f"WITH {R.UTT} SELECT spk, count(*) AS n, min(utt) AS first FROM utt GROUP BY spk")
+def _(spark, d):
+    return T.by_speaker(R.utterances(spark, d)).select("spk", F.size("utts").cast("long").alias("n"), F.col("utts")[0].alias("first"))
+
+
+@query("s07_needed_vectors", f"WITH {R.VEC} SELECT utt, round(v[1], 6) AS first FROM vec WHERE utt IN (SELECT doc_id FROM labels)")
+def _(spark, d):
+    need = R.table(spark, d, "labels").select(F.col("doc_id").alias("utt"))
+    return R.vectors(spark, d).join(need, "utt", "left_semi").select("utt", F.round(F.col("v")[0], 6).alias("first"))
+
+
+@query("u03_segment_rows", f"WITH {R.IV} SELECT rec || '-' || id AS seg, rec, b, e FROM iv WHERE id % 2 = 0 UNION ALL SELECT rec || '-whole', rec, min(b), max(e) FROM iv GROUP BY rec")
+def _(spark, d):
+    iv = R.intervals(spark, d)
+    rec = F.col("rec").cast("string")
+    own = iv.where("id % 2 = 0").select(F.concat_ws("-", rec, F.col("id").cast("string")).alias("seg"), "rec", "b", "e")
+    whole = iv.groupBy("rec").agg(F.min("b").alias("b"), F.max("e").alias("e")).select(F.concat(rec, F.lit("-whole")).alias("seg"), "rec", "b", "e")
+    return own.unionByName(whole)
+
+
+@query("u09_shard_union", "SELECT count(*) AS n FROM orders")
+def _(spark, d):
+    o = R.table(spark, d, "orders").select("o_orderkey")
+    return T.combine([o.where(F.col("o_orderkey") % 4 == k) for k in range(4)], "o_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("a04_global_mean", f"WITH {R.VEC} SELECT i::INT AS i, round(avg(v[i + 1]), 6) AS x FROM vec, range(0, 64) r(i) GROUP BY i")
+def _(spark, d):
+    return S.mean_vectors(R.vectors(spark, d), []).select(F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("a08_speaker_sums", f"WITH {R.VEC} SELECT spk, count(*) AS n, round(sum(v[1]), 6) AS t0, round(sum(v[1] * v[2]), 6) AS s01 FROM vec GROUP BY spk")
+def _(spark, d):
+    from vecspan.operators.backends import grouped_moments
+
+    m = grouped_moments(R.vectors(spark, d), ["spk"])
+    return m.select("spk", "n", F.round(F.col("total")[0], 6).alias("t0"), F.round(F.col("second")[1], 6).alias("s01"))
+
+
+@query("a19_member_cosine", f"WITH {R.VEC}, m AS (SELECT spk, list(m ORDER BY i) AS c FROM (SELECT spk, i, avg(v[i]) AS m FROM vec, range(1, 65) r(i) GROUP BY spk, i) GROUP BY spk) SELECT utt, round(list_cosine_similarity(v, c), 6) AS cos FROM vec JOIN m USING (spk)")
+def _(spark, d):
+    v = R.vectors(spark, d)
+    c = S.enrol(v).withColumnRenamed("v", "c")
+    return v.join(c, "spk").select("utt", F.round(V.dot(V.l2_normalise(F.col("v")), F.col("c")), 6).alias("cos"))
+
+
+@query("a25_total_duration", f"WITH {R.UTT} SELECT round(sum(dur), 6) AS total, count(*) AS n FROM utt")
+def _(spark, d):
+    return r6(R.utterances(spark, d).agg(F.sum("dur").alias("total"), F.count("*").alias("n")), "total")
+
+
+@query("b11_multisession", f"WITH {R.VEC}, e AS (SELECT spk, count(*) AS n FROM vec WHERE utt >= 100 GROUP BY spk) SELECT utt, spk, n FROM e JOIN (SELECT utt FROM vec WHERE utt < 20) t ON true")
+def _(spark, d):
+    v = R.vectors(spark, d)
+    e = v.where("utt >= 100").groupBy("spk").agg(F.count("*").alias("n"))
+    return v.where("utt < 20").select("utt").join(F.broadcast(e), F.lit(True)).select("utt", "spk", "n")
+
+
+@query("b16_two_speaker_sweep", f"WITH {R.VEC}, p AS (SELECT a.spk AS s1, b.spk AS s2 FROM (SELECT DISTINCT spk FROM vec) a JOIN (SELECT DISTINCT spk FROM vec) b ON a.spk < b.spk) SELECT s1, s2, e AS enrol_dur, q AS probe_dur FROM p, (VALUES (2), (5)) x(e), (VALUES (1), (3)) y(q)")
+def _(spark, d):
+    s = R.vectors(spark, d).select("spk").distinct()
+    p = s.select(F.col("spk").alias("s1")).join(s.select(F.col("spk").alias("s2")), F.col("s1") < F.col("s2"))
+    grid = F.array(*[F.struct(F.lit(e).alias("enrol_dur"), F.lit(q).alias("probe_dur")) for e in (2, 5) for q in (1, 3)])
+    return p.select("s1", "s2", F.inline(grid))
+
+
+@query("m03_timeline_intervals", f"WITH {_TURNS} SELECT conv_id, role, onset::BIGINT AS b, (onset + n)::BIGINT AS e FROM tu WHERE n > 0")
+def _(spark, d):
+    return _turns(spark, d).where("n > 0").select("conv_id", "role", F.col("onset").alias("b"), (F.col("onset") + F.col("n")).alias("e"))
+
+
+@query("m09_epoch_size", "SELECT count(*) // 4 // 16 AS batches FROM documents")
+def _(spark, d):
+    return R.table(spark, d, "documents").agg(F.expr("count(*) div 4 div 16").alias("batches"))
+
+
+@query("w13_metrics_by_condition", f"WITH {R.SCORES} SELECT cond, count(*) AS n, sum(target::INT)::BIGINT AS n_target, round(avg(score) FILTER (WHERE target), 6) AS mean_target FROM sc GROUP BY cond")
+def _(spark, d):
+    s = R.target_scores(spark, d)
+    return r6(s.groupBy("cond").agg(F.count("*").alias("n"), F.sum(F.col("target").cast("long")).alias("n_target"), F.avg(F.when(F.col("target"), F.col("score"))).alias("mean_target")), "mean_target")
+
+
+@query("w19_best_ranges", f"""WITH {_TURNS}, s AS (SELECT conv_id, turn AS pos, onset AS b, onset + n AS e FROM tu), r AS (SELECT x.conv_id, x.pos AS i, y.pos AS j, y.e - x.b AS len FROM s x JOIN s y ON x.conv_id = y.conv_id AND x.pos <= y.pos)
+SELECT conv_id, i, j, abs(len - 400)::DOUBLE AS off FROM r WHERE len BETWEEN 280 AND 520 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY abs(len - 400), i, j) <= 3""")
+def _(spark, d):
+    from vecspan.operators.trials import best_ranges
+
+    t = _turns(spark, d).select("conv_id", F.col("turn").alias("pos"), F.col("onset").alias("b"), (F.col("onset") + F.col("n")).alias("e"))
+    return best_ranges(t, "conv_id", 400.0)
+
+
+@query("g05_fixed_chunks", f"WITH {R.UTT}, n AS (SELECT utt, 1 + ((dur * 1600)::BIGINT - 400) // 160 AS frames FROM utt WHERE dur * 1600 >= 400) SELECT utt, k AS chunk, k * 200 AS first, least(frames, (k + 1) * 200) AS last FROM (SELECT utt, frames, unnest(range(0, (frames + 199) // 200)) AS k FROM n)")
+def _(spark, d):
+    n = F.round(F.col("dur") * 1600).cast("long")
+    u = R.utterances(spark, d).withColumn("s", n).where("s >= 400").withColumn("frames", F.expr("1 + (s - 400) div 160"))
+    u = u.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(frames + 199) div 200 - 1"))))
+    return u.select("utt", "chunk", (F.col("chunk") * 200).alias("first"), F.least("frames", (F.col("chunk") + 1) * 200).alias("last"))
