@@ -79,8 +79,6 @@ def cohort_statistics_join(vecs: DataFrame, cohort: DataFrame, top_n: int | None
 
     A row per (key, block) with the block's top_n scores reaches the shuffle, not one per pair.
     """
-    import pyarrow as pa  # noqa: F401
-
     size = 1024
     packed = cohort.select(F.pmod(F.xxhash64(cohort_key), F.lit(1 << 20)).alias("h"), F.col(vec).alias("c"))
     n = max(1, -(-cohort.count() // size))
