@@ -63,7 +63,6 @@ def test_exact_groups(spark, odd, empty):
 def test_mixing(spark, odd, empty):
     rows = mixing.taken_words(odd).collect()
     assert len(rows) == len(ODD)
-    assert sum(r["size"] for r in rows) == pytest.approx(sum({r["source_size"]: r["target"] for r in rows}.values()), rel=0.01) or True
     for r in rows:
         assert 0 <= r["taken"] <= 3 * r["size"]
     by = defaultdict(int)
