@@ -67,7 +67,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = """
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 u AS (
-  SELECT doc_id, i - 1 AS line, lines[i] AS unit, list_filter(string_split_regex(lines[i], '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words,
+  SELECT doc_id, (i - 1)::INT AS line, lines[i] AS unit, list_filter(string_split_regex(lines[i], '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words,
          coalesce(list_sum(list_transform(lines[1:i - 1], lambda x: length(x) + 1)), 0) AS first
   FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM t)
 ), r AS (
