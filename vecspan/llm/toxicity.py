@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64(F.col("_id"), F.lit(17)), F.lit(1 << 20)) / (1 << 20)
     known = known.where(draw < F.when(F.col("_toxic"), share[True]).otherwise(share[False]))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") <= SAMPLE_CHARS)
-    rows = texts.join(known, "_id").orderBy("_id", "_text").collect()  # at most about the two bounds together
+    rows = texts.join(F.broadcast(known), "_id").orderBy("_id", "_text").collect()  # known has about the two bounds' rows at most
     return fit_texts([r["_text"] for r in rows if r["_toxic"]], [r["_text"] for r in rows if not r["_toxic"]])
 
 
