@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample that the classifier is fitted on: documents of either kind, characters of one.
-TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 1500, 3000, 30_000
+TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 700, 1500, 30_000
 
 WINDOW_WORDS = 16
 ORDINARY_DICT, TOXIC_DICT = 16_384, 4_096
@@ -30,6 +30,8 @@ ORDINARY_DICT, TOXIC_DICT = 16_384, 4_096
 #: ordinary text, with a log-likelihood ratio of at least LEAST.
 GRAMS = (5, 6, 7, 8)
 MORE, LEAST, MOST_PIECES = 6, 25.0, 200
+#: Compression level; the compressor does not find matches in a dictionary's last bytes, so these are padding.
+LEVEL, PAD = 3, b"\n" * 16
 THRESHOLD = 0.3
 #: A window of at least this saving (bytes) counts as toxic in the features and in n_toxic.
 SAVING = 3
@@ -89,7 +91,6 @@ def toxic_pieces(toxic: list[str], ordinary: list[str]) -> bytes:
     for word, n in counts[0].items():
         for gram in _grams(word):
             seen[gram] += n
-            holders[gram].add(word)
     for word, n in counts[1].items():
         for gram in _grams(word):
             if gram in seen:
@@ -102,6 +103,10 @@ def toxic_pieces(toxic: list[str], ordinary: list[str]) -> bytes:
 
     heap = [(-v, g) for g in in_docs if (v := telling(g)) > LEAST]
     heapq.heapify(heap)
+    able = {g for _, g in heap}
+    for word in counts[0]:
+        for gram in able.intersection(_grams(word)):
+            holders[gram].add(word)
     pieces: list[str] = []
     while heap and len(pieces) < MOST_PIECES:
         value, gram = heapq.heappop(heap)
@@ -133,9 +138,9 @@ class ToxicityModel:
         import zstandard
 
         def compressor(content: bytes):
-            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=3)
-            return zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+            raw = zstandard.ZstdCompressionDict(content + PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=LEVEL)
+            return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
         plain, both = compressor(self.ordinary), compressor(self.ordinary + self.toxic)
         return lambda window: len(plain(window)) - len(both(window))
