@@ -291,6 +291,50 @@ def test_near_groups_against_brute_force(spark, odd, empty):
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.drop_near_copies(empty).count() == 0
 
 
+def edited(words, n, r, kind="sub"):
+    """words with n edits at places drawn from all over the text: substitutions, or deletions."""
+    gone = set(r.sample(range(len(words)), n))
+    return [f"new{r.random()}" if i in gone else w for i, w in enumerate(words) if kind == "sub" or i not in gone]
+
+
+def hashed(words):
+    known = near_dedup._WordHash()
+    return np.array([known[w] for w in words], np.uint64)
+
+
+@pytest.mark.parametrize("n, n_edits, kind", [(26, 5, "sub"), (50, 10, "sub"), (100, 20, "sub"), (100, 20, "del"), (400, 80, "sub")])
+def test_sketches_find_texts_at_the_threshold(n, n_edits, kind):
+    r = random.Random(n)
+    found = 0
+    for t in range(100):
+        a = [f"w{t}x{i}" for i in range(n)]
+        b = edited(a, n_edits, r, kind)
+        found += bool(set(near_dedup.sketch_keys(hashed(a))) & set(near_dedup.sketch_keys(hashed(b))))
+    assert found >= 95
+
+
+def test_segments_find_every_short_pair():
+    r = random.Random(3)
+    for _ in range(3000):
+        a = [str(r.randrange(6)) for _ in range(r.randint(1, near_dedup.SHORT_WORDS))]
+        b = a[:]
+        for _ in range(r.randint(0, near_dedup._limit(len(a)) + 2)):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randrange(2)] = [str(r.randrange(6))] * r.randrange(2)
+        if b and near_dedup.similar(a, b):
+            assert set(near_dedup.sketch_keys(hashed(a))) & set(near_dedup.sketch_keys(hashed(b))), (a, b)
+
+
+def test_near_groups_at_the_threshold(spark):
+    r = random.Random(8)
+    texts = []
+    for t, (n, n_edits) in enumerate([(6, 1), (10, 2), (20, 3), (20, 4), (50, 8), (100, 20), (400, 80)] * 4):
+        a = [f"w{t}x{i}" for i in range(n)]
+        texts += [" ".join(a), " ".join(edited(a, n_edits, r)).replace(".", "")]
+    rows = near_dedup.near_groups(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["group_id"] for r in rows} == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["v"]: r["comp"] for r in near_dedup.components(links).collect()}
