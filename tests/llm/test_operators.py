@@ -335,6 +335,24 @@ def test_near_groups_at_the_threshold(spark):
     assert {r["doc_id"]: r["group_id"] for r in rows} == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_near_groups_among_unlike_texts_with_a_passage_in_common(spark):
+    """Pairs at 0.8 that agree in nothing but the passage, which all the others hold too."""
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"a{t}x{i}" for i in range(40)]) for t in range(60)]
+    for t in range(8):
+        own = [f"b{t}x{i}" for i in range(40)]
+        texts += [" ".join(passage + own), " ".join(passage + [w if i % 2 else f"c{w}" for i, w in enumerate(own)])]
+    rows = near_dedup.near_groups(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["group_id"] for r in rows} == dict(enumerate(brute_groups(texts)))
+
+
+def test_pairs_apart_are_all_pairs(spark):
+    rows = [(k, r, 100 if r else 10, r // 3) for k in (1, 2) for r in range(20)] + [(3, 30, 5, 30), (3, 31, 5, 30)]
+    members = spark.createDataFrame(rows, "key long, row long, n_words long, comp long")
+    got = [tuple(p) for p in near_dedup._pairs_apart(members, block=4).collect()]
+    assert sorted(got) == [(a, b) for a in range(1, 20) for b in range(a + 1, 20) if a // 3 != b // 3]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["v"]: r["comp"] for r in near_dedup.components(links).collect()}
