@@ -291,6 +291,26 @@ def test_near_groups_against_brute_force(spark, odd, empty):
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.drop_near_copies(empty).count() == 0
 
 
+def test_license_scan_wrapped(spark):
+    """Notices over two and more lines, at any width, and one with a tenth of its words missing."""
+    long = [t for t in licenses.TEMPLATES if len(t.split()) > 10]
+    texts = []
+    for t in long:
+        words = t.split()
+        for width in (1, 3, 6, 12):
+            lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            if not any(len(set(x.split()) & set(words)) >= 0.8 * len(set(words)) for x in lines):
+                texts.append((t, "some words before\n\n# " + "\n# ".join(lines) + "\n\nand some after"))
+        texts.append((t, "\n".join([" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 + 1 :])])))
+    rows = licenses.scan(table(spark, [(i, x, "s") for i, (_, x) in enumerate(texts)])).collect()
+    for r in rows:
+        t, text = texts[r["doc_id"]]
+        hits = [b for b in r["blocks"] if b["template"] == t]
+        assert len(hits) == 1 and licenses.TEMPLATES[t] in r["labels"].split(",") and r["score"] >= 0.8
+        whole = text.startswith("some")
+        assert (hits[0]["line"], hits[0]["begin_word"]) == ((2, 3) if whole else (0, 0)) and (hits[0]["containment"] == 1) >= whole
+
+
 def edited(words, n, r, kind="sub"):
     """words with n edits at places drawn from all over the text: substitutions, or deletions."""
     gone = set(r.sample(range(len(words)), n))

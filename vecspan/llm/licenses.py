@@ -5,6 +5,9 @@ The second is an exact set-similarity join of text blocks (lines) with templates
 first. A block that reaches the overlap o = ceil(THRESHOLD * |template|) must hold one of the template's
 first |template| - o + 1 tokens in that order (prefix filter), must have o tokens (length filter), and from a
 shared token on both must have enough tokens left (positional filter). What remains is verified exactly.
+
+Notices that are wrapped over lines are found by windows of as many words as the template has, at every start that
+holds one of its tokens, in texts that as a whole hold o tokens of it.
 """
 
 from __future__ import annotations
@@ -110,12 +113,46 @@ def prefix_tokens(documents: dict[str, int], templates: dict[str, str] = TEMPLAT
     return sorted(out)
 
 
+def template_windows(rows: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """row, line, last_line, begin_word, template, label, containment of windows over two or more lines that meet the threshold.
+
+    rows has row, words, ends (words up to the end of each line) and held (the templates to look for). A window
+    of the template's number of words that meets the threshold still does when it begins at its first token of
+    the template, so only these starts are tried. Of windows that overlap the first of the best stays.
+    """
+    sets = {t: sorted(set(t.split())) for t in templates}
+    fixed = [(t, s, len(t.split()), math.ceil(threshold * len(s) - 1e-9), templates[t]) for t, s in sets.items()]
+    fixed = F.broadcast(rows.sparkSession.createDataFrame(fixed, "template string, tokens array<string>, n int, need int, label string"))
+    near = rows.select("row", "words", "ends", F.explode("held").alias("template")).join(fixed, "template")
+    starts = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("tokens", w), i)), lambda i: i.isNotNull())
+
+    def window(i: Column) -> Column:
+        last = F.least(i + F.col("n"), F.size("words")) - 1
+        return F.struct(
+            i.alias("begin_word"),
+            F.size(F.array_intersect(F.slice("words", i + 1, F.col("n")), "tokens")).alias("overlap"),
+            F.size(F.filter("ends", lambda e: e <= i)).alias("line"),
+            F.size(F.filter("ends", lambda e: e <= last)).alias("last_line"),
+        )
+
+    def best(found: Column, w: Column) -> Column:
+        last = F.get(found, F.size(found) - 1)
+        apart = last.isNull() | (w["begin_word"] >= last["begin_word"] + F.col("n"))
+        better = F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(w))
+        return F.when(apart, F.concat(found, F.array(w))).when(w["overlap"] > last["overlap"], better).otherwise(found)
+
+    near = near.withColumn("hits", F.filter(F.transform(starts, window), lambda w: (w["overlap"] >= F.col("need")) & (w["line"] < w["last_line"])))
+    none = F.array().cast("array<struct<begin_word:int,overlap:int,line:int,last_line:int>>")
+    near = near.select("row", "template", "label", F.size("tokens").alias("size"), F.explode(F.aggregate("hits", none, best)).alias("w"))
+    return near.select("row", "w.line", "w.last_line", "w.begin_word", "template", "label", (F.col("w.overlap") / F.col("size")).alias("containment"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     n_base counts the places of all phrases; first_word and last_word are the smallest and largest of their
-    starts. blocks lists the matched lines (line, begin_word, template, label, containment). score is 1 with a
-    phrase, else the largest containment, else 0. Null text is empty; it and texts without a word have no
+    starts. blocks lists the matched lines (line, begin_word, template, label, containment), and the windows over
+    several lines none of which matches the template by itself, under their first line. score is 1 with a phrase, else the largest containment, else 0. Null text is empty; it and texts without a word have no
     place and no label (empty strings). Repeated rows each give a row; an empty table gives an empty result.
     Other columns are ignored.
     """
@@ -141,9 +178,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         ),
     )
     blocks = F.when(F.arrays_overlap("words", _literal(prefix)), begin).otherwise(F.array().cast("array<struct<line:int,begin_word:int,words:array<string>>>"))
-    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.sort_array(places).alias("places"), F.array_sort(F.array_distinct(labels)).alias("base"), blocks.alias("near"))
+    rows = rows.withColumn("_held", F.array_intersect(_literal(vocabulary), "words"))
+    needs = {t: math.ceil(threshold * len(set(t.split())) - 1e-9) for t in templates}
+    held = F.array_compact(F.array(*[F.when(F.size(F.array_intersect("_held", _literal(sorted(set(t.split()))))) >= need, F.lit(t)) for t, need in needs.items()]))
+    counts = F.transform(F.split("text", "\n"), lambda x: F.size(words_of(x)))
+    ends = F.transform(counts, lambda _, i: F.aggregate(F.slice(counts, 1, i + 1), F.lit(0), lambda a, b: a + b))
+    wide = F.when((F.size("_wide") > 0) & F.contains("text", F.lit("\n")), F.struct(F.col("words").alias("words"), ends.alias("ends"), F.col("_wide").alias("held")))
+    rows = rows.withColumn("_wide", held)
+    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.sort_array(places).alias("places"), F.array_sort(F.array_distinct(labels)).alias("base"), blocks.alias("near"), wide.alias("wide"))
     rows = materialize(rows, "scanned")
     found = template_blocks(rows.select("row", F.col("near").alias("blocks")), documents, templates, threshold)
+    windows = template_windows(rows.where("wide is not null").select("row", "wide.*"), templates, threshold)
+    lines = found.select("row", "template", F.col("line").alias("at"))
+    same = (windows["row"] == lines["row"]) & (windows["template"] == lines["template"]) & lines["at"].between(windows["line"], windows["last_line"])
+    found = found.unionByName(windows.join(lines, same, "left_anti").drop("last_line"))
     found = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("line", "begin_word", "template", "label", "containment"))).alias("blocks"))
     out = rows.join(found, "row", "left").withColumn("blocks", F.coalesce("blocks", F.array()))
     own = F.transform("blocks", lambda b: b["label"])
