@@ -193,6 +193,17 @@ def _(spark, d):
     return I.error_rate(ref, hyp, ["rec"])
 
 
+@query("der_error_rate_whole", f"""WITH {R.IV}, r AS (SELECT rec, label, b, e FROM iv), h AS (SELECT rec, label, b + 300 AS b, e + 900 AS e FROM iv),
+ev AS (SELECT rec, label, b AS t, 1 AS dr, 0 AS dh FROM r UNION ALL SELECT rec, label, e, -1, 0 FROM r UNION ALL SELECT rec, label, b, 0, 1 FROM h UNION ALL SELECT rec, label, e, 0, -1 FROM h),
+c AS (SELECT DISTINCT rec, t, lead(t) OVER (PARTITION BY rec ORDER BY t) AS t2 FROM (SELECT DISTINCT rec, t FROM ev)),
+s AS (SELECT c.rec, c.t, c.t2, (SELECT count(DISTINCT label) FROM r WHERE r.rec = c.rec AND r.b <= c.t AND c.t < r.e) AS nr, (SELECT count(DISTINCT label) FROM h WHERE h.rec = c.rec AND h.b <= c.t AND c.t < h.e) AS nh,
+  (SELECT count(DISTINCT r.label) FROM r JOIN h ON r.rec = h.rec AND r.label = h.label WHERE r.rec = c.rec AND r.b <= c.t AND c.t < r.e AND h.b <= c.t AND c.t < h.e) AS ok FROM c WHERE t2 IS NOT NULL)
+SELECT rec, sum(nr * (t2 - t))::BIGINT AS total, sum(greatest(nr - nh, 0) * (t2 - t))::BIGINT AS miss, sum(greatest(nh - nr, 0) * (t2 - t))::BIGINT AS false_alarm, sum((least(nr, nh) - ok) * (t2 - t))::BIGINT AS confusion FROM s GROUP BY rec""")
+def _(spark, d):
+    iv = R.intervals(spark, d)
+    return I.error_rate(iv, iv.withColumn("b", F.col("b") + 300).withColumn("e", F.col("e") + 900), ["rec"])
+
+
 # --- data directories ------------------------------------------------------------------------------------
 
 _GOOD = "good AS (SELECT 'u' || doc_id AS utt FROM labels WHERE quality = 1)"
@@ -887,8 +898,9 @@ def _(spark, d):
 def _(spark, d):
     from vecspan.operators.clustering import map_labels
 
-    iv = R.intervals(spark, d)
-    return map_labels(I.overlap_totals(iv.where("id % 2 = 0"), iv.where("id % 2 = 1"), ["rec"]), "rec")
+    ref = R.intervals(spark, d)
+    hyp = ref.select("id", "rec", F.concat(F.lit("h-"), "label").alias("label"), (F.col("b") + 300).alias("b"), (F.col("e") + 900).alias("e"))
+    return map_labels(I.overlap_totals(ref, hyp, ["rec"]), "rec")
 
 
 @query("c08_identify_by_recording", f"WITH {R.VEC}, g AS (SELECT utt % 20 AS rec, spk, min(utt) AS gu FROM vec GROUP BY ALL), s AS (SELECT v.utt % 20 AS rec, v.utt, g.spk, list_cosine_similarity(v.v, w.v) AS c FROM vec v JOIN g ON v.utt % 20 = g.rec JOIN vec w ON w.utt = g.gu) SELECT rec, utt, spk, round(c, 6) AS score FROM s WHERE c >= 0.1 QUALIFY row_number() OVER (PARTITION BY utt ORDER BY c DESC, spk) = 1")
@@ -1073,6 +1085,15 @@ def _(spark, d):
     return own.unionByName(whole)
 
 
+@query("u03_every_segment_row", f"WITH {R.IV} SELECT rec || '-' || id AS seg, rec, b, e FROM iv UNION ALL SELECT rec || '-whole', rec, min(b), max(e) FROM iv GROUP BY rec")
+def _(spark, d):
+    iv = R.intervals(spark, d)
+    rec = F.col("rec").cast("string")
+    own = iv.select(F.concat_ws("-", rec, F.col("id").cast("string")).alias("seg"), "rec", "b", "e")
+    whole = iv.groupBy("rec").agg(F.min("b").alias("b"), F.max("e").alias("e")).select(F.concat(rec, F.lit("-whole")).alias("seg"), "rec", "b", "e")
+    return own.unionByName(whole)
+
+
 @query("u09_shard_union", "SELECT count(*) AS n FROM orders")
 def _(spark, d):
     o = R.table(spark, d, "orders").select("o_orderkey")
