@@ -291,6 +291,19 @@ def test_near_groups_against_brute_force(spark, odd, empty):
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.drop_near_copies(empty).count() == 0
 
 
+def test_language_learns_every_language(spark):
+    r = random.Random(6)
+    rows = []
+    for k in range(300):
+        own = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(10)]
+        rows += [(5 * k + i, " ".join(r.choices(own, k=20)), f"l{k:03}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == 300 and model.table.size <= language.CELLS
+    got = language.language_spans(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(x["lang"] == x["lang_pred"] for x in got) >= 0.99 * len(rows)
+
+
 def test_license_scan_wrapped(spark):
     """Notices over two and more lines, at any width, and one with a tenth of its words missing."""
     long = [t for t in licenses.TEMPLATES if len(t.split()) > 10]

@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample: documents of each language, and characters of one document.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 30_000
-#: Trigrams are hashed into so many buckets; at most so many languages (the most frequent) are learned.
-BUCKETS, MOST_LANGUAGES = 1 << 15, 256
+#: Trigrams are hashed into so many buckets, or fewer (to LEAST_BUCKETS) where buckets x languages would exceed CELLS.
+BUCKETS, LEAST_BUCKETS, CELLS = 1 << 15, 1 << 10, 1 << 23
 #: Log-likelihood that a change of language must gain.
 SWITCH = 12.0
 #: A language is written in the scripts that hold at least this share of its letters.
 SCRIPT_SHARE = 0.02
-#: Words of one block of documents that are labelled together, and words a worker process keeps scores of.
-BLOCK_WORDS, KNOWN_WORDS = 400_000, 400_000
+#: Words of one block of documents that are labelled together, and words a worker process keeps scores of; fewer
+#: where words x languages would exceed SCORES.
+BLOCK_WORDS, KNOWN_WORDS, SCORES = 400_000, 400_000, 100_000_000
 
 UNKNOWN = "und"
 
@@ -57,7 +58,15 @@ def script_of(code_points: np.ndarray) -> np.ndarray:
     return np.where((at >= 0) & (code_points <= _HI[at]), _ID[at], 0)
 
 
-def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def buckets_for(n_languages: int) -> int:
+    """Buckets of a table of so many languages."""
+    n = BUCKETS
+    while n > LEAST_BUCKETS and n * n_languages > CELLS:
+        n //= 2
+    return n
+
+
+def _trigrams(words: list[str], n_buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of each trigram, index of each word's first trigram, first code point); a word of n letters has n."""
     code = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = (code[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (code[1:-1] * np.uint64(0xBF58476D1CE4E5B9)) ^ (code[2:] * np.uint64(0x94D049BB133111EB))
@@ -65,12 +74,12 @@ def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     middle = code[1:-1] != 10
     starts = np.flatnonzero(middle & (code[:-2] == 10))
     first = np.cumsum(middle) - 1
-    return (h[middle] % np.uint64(BUCKETS)).astype(np.int64), first[starts], code[1:-1][starts].astype(np.int64)
+    return (h[middle] % np.uint64(n_buckets)).astype(np.int64), first[starts], code[1:-1][starts].astype(np.int64)
 
 
 @dataclass
 class LanguageModel:
-    """Languages, log-probabilities of trigram buckets (BUCKETS x languages), scripts (script x languages)."""
+    """Languages, log-probabilities of trigram buckets (buckets x languages), scripts (script x languages)."""
 
     languages: list[str]
     table: np.ndarray
@@ -82,11 +91,11 @@ class LanguageModel:
         """Scores of the words, a row each; scores of words met before are kept (see KNOWN_WORDS)."""
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
-        if new and len(known) + len(new) > KNOWN_WORDS:
+        if new and len(known) + len(new) > min(KNOWN_WORDS, SCORES // len(self.languages)):
             known.clear()
             new = list(dict.fromkeys(words))
         if new:
-            buckets, starts, first = _trigrams([w.lower() for w in new])
+            buckets, starts, first = _trigrams([w.lower() for w in new], len(self.table))
             scores = np.add.reduceat(self.table[buckets], starts, axis=0)
             written = self.scripts[script_of(first)]
             scores = np.where(written | ~written.any(axis=1)[:, None], scores, np.float32(-1e4))
@@ -136,14 +145,15 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
     Only rows with a language, and whose crc32(id as text) mod 5 is not 0, are learned from; null ids and
     texts and texts over SAMPLE_CHARS characters are not in the sample. None if there is nothing to learn
-    from. Trigram counts are summed by Spark; the driver gets at most BUCKETS counts of each language.
+    from. Trigram counts are summed by Spark; the driver gets at most one of each bucket and language.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((F.crc32(F.col("id").cast("string")) % 5 != 0) & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return None
+    n_buckets = buckets_for(len(languages))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
     draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) / (1 << 20)
     sample = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
@@ -152,25 +162,25 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         number = {name: k for k, name in enumerate(languages)}
-        total = np.zeros((len(languages), BUCKETS + len(SCRIPTS) + 1), np.int64)
+        total = np.zeros((len(languages), n_buckets + len(SCRIPTS) + 1), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = _WORD.findall(text.as_py().lower())
                 if words:
-                    buckets, _, _ = _trigrams(words)
-                    total[number[lang], :BUCKETS] += np.bincount(buckets, minlength=BUCKETS)
+                    buckets, _, _ = _trigrams(words, n_buckets)
+                    total[number[lang], :n_buckets] += np.bincount(buckets, minlength=n_buckets)
                     code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-                    total[number[lang], BUCKETS:] += np.bincount(script_of(code.astype(np.int64)), minlength=len(SCRIPTS) + 1)
+                    total[number[lang], n_buckets:] += np.bincount(script_of(code.astype(np.int64)), minlength=len(SCRIPTS) + 1)
         which, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[which, bucket], pa.int64())], names=["k", "bucket", "n"])
 
     summed = sample.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
-    total = np.zeros((len(languages), BUCKETS + len(SCRIPTS) + 1))
+    total = np.zeros((len(languages), n_buckets + len(SCRIPTS) + 1))
     got = summed.toPandas()
     total[got["k"], got["bucket"]] = got["n"]
     if not total.any():
         return None
-    grams, letters = total[:, :BUCKETS] + 0.1, total[:, BUCKETS:]
+    grams, letters = total[:, :n_buckets] + 0.1, total[:, n_buckets:]
     table = np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32)
     written = letters / np.maximum(1, letters.sum(axis=1, keepdims=True)) >= SCRIPT_SHARE
     return LanguageModel(languages, np.ascontiguousarray(table), np.ascontiguousarray(written.T))
@@ -187,12 +197,13 @@ def language_spans(docs: DataFrame, model: LanguageModel | None, id_col: str = "
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        block_words = min(BLOCK_WORDS, SCORES // len(model.languages)) if model else BLOCK_WORDS
         span = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
         for batch in batches:
             column, lo, n = batch.column(1), 0, batch.num_rows
             while lo < n:
                 docs, texts, total, hi = [], [], 0, lo
-                while hi < n and (hi == lo or total < BLOCK_WORDS):
+                while hi < n and (hi == lo or total < block_words):
                     texts.append(column[hi].as_py() or "")
                     docs.append(_WORD.findall(texts[-1]) if model else [])
                     total += len(docs[-1])
