@@ -104,6 +104,20 @@ def test_toxicity(spark, odd, empty):
     assert sum(got[i]["predicted"] for i in range(220)) <= 4 and sum(got[i]["predicted"] for i in range(220, 300)) >= 70
     assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(empty, model).count() == 0
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
+    words = toxicity._words(rude[0])
+    savings = model.savings()(rude[0])
+    import zstandard
+
+    def length(content, window):  # brute force: each window alone, with a fresh dictionary
+        how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        raw = zstandard.ZstdCompressionDict(content + toxicity.PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=raw, compression_params=how).compress(window))
+
+    want = [length(model.ordinary + bytes(len(model.toxic)), w) - length(model.ordinary + model.toxic, w) for w in toxicity.windows(words)]
+    assert [w for x in toxicity.windows(words) for w in x.decode().split()] == words
+    assert len(savings) == len(want) and sum(abs(a - b) for a, b in zip(savings, want)) <= len(want)  # a prepared dictionary parses a little differently
+    stems = toxicity.telling_stems([toxicity._words(t) for t in rude], [toxicity._words(t) for t in calm[80:]])
+    assert set(stems) == {w for t in rude for w in toxicity._words(t) if w.startswith("zorkblat")}
     none = toxicity.fit(docs, labels.limit(0))
     assert {x["score"] for x in toxicity.score(odd, none).collect()} == {0.0}
 

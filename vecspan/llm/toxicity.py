@@ -1,10 +1,11 @@
-"""Toxicity by compression distance: what a toxic dictionary saves beyond an ordinary one, window by window.
-
-The ordinary zstandard dictionary is trained on windows of ordinary text. The toxic one is made of the pieces
-of words that recur in toxic documents and hardly in ordinary ones. A window is compressed once with the
-ordinary dictionary and once with the toxic content added to it: everyday words cost the same both times, so
-the difference of the two lengths is what the toxic vocabulary explains. The windows' savings are turned into
-a probability by logistic regression fitted on documents that the dictionaries have not seen.
+"""Toxicity by compression distance: window lengths under two trained zstandard dictionaries.
+
+One dictionary is trained on windows of ordinary text, the other on toxic text less what ordinary text shares with
+it: of each toxic document's words only the stems that are telling (far more frequent in toxic than in ordinary
+documents) are trained on, so that the dictionary is not filled by everyday syllables. A window of the text is
+compressed with the ordinary dictionary and with the toxic one laid behind it (the plain one is padded to the same
+size, so distances cost the same); the difference of the two lengths is what the toxic text explains. The windows'
+savings become a probability by logistic regression, calibrated on documents that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -14,114 +15,141 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample that the classifier is fitted on: documents of either kind, characters of one.
-TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 700, 1500, 30_000
+TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 1500, 3000, 30_000
 
-WINDOW_WORDS = 16
+WINDOW_WORDS = 12
+#: Bytes of the trained dictionaries (zstandard's own parameter), and the trainer's lengths of d-mers and segments.
 ORDINARY_DICT, TOXIC_DICT = 16_384, 4_096
-#: Pieces of words are found by grams of these lengths. A telling one occurs so many times as often as in
-#: ordinary text, with a log-likelihood ratio of at least LEAST.
-GRAMS = (5, 6, 7, 8)
-MORE, LEAST, MOST_PIECES = 6, 25.0, 200
+D_MER, SEGMENT = 6, 64
+#: Lengths of word beginnings, with the space before the word. A telling one occurs so many times as often as in
+#: ordinary text, with a log-likelihood ratio of at least LEAST. Of a word's telling ones the longest that has NEAR
+#: of the best one's ratio is trained on, repeated to SAMPLE_BYTES as the trainer skips shorter samples.
+STEMS = (4, 5, 6, 7, 8, 9, 10)
+MORE, LEAST, SAMPLE_BYTES = 4, 20.0, 24
 #: Compression level; the compressor does not find matches in a dictionary's last bytes, so these are padding.
-LEVEL, PAD = 3, b"\n" * 16
+LEVEL, PAD = 13, b"\n" * 16
+#: Parts of the sample; each is calibrated on with dictionaries trained on the others.
+FOLDS = 4
 THRESHOLD = 0.3
-#: A window of at least this saving (bytes) counts as toxic in the features and in n_toxic.
-SAVING = 3
+#: Savings (bytes) from which a window counts as slightly and as clearly toxic; n_toxic counts the former.
+SAVING, LARGE_SAVING = 3, 5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def windows(text: str | None) -> list[bytes]:
-    """Lower-cased words, joined by single spaces, WINDOW_WORDS to a window."""
-    words = _WORD.findall((text or "").lower())
-    return [f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode() for i in range(0, len(words), WINDOW_WORDS)]
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
-def _grams(word: str) -> set[str]:
-    return {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
+def windows(words: list[str]) -> list[bytes]:
+    """The words joined by single spaces, WINDOW_WORDS to a window."""
+    return [f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode() for i in range(0, len(words), WINDOW_WORDS)]
 
 
-def _one_of_a_kind(texts: list[str]) -> list[str]:
-    """Texts without those that share the least hash of their word triples with an earlier one (near copies)."""
-    seen: dict[int, str] = {}
-    for text in texts:
-        words = _WORD.findall(text.lower())
-        key = min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))))
-        seen.setdefault(key, " ".join(words))
-    return list(seen.values())
+def _stems(word: str) -> set[str]:
+    word = f" {word} "
+    return {word[:n] for n in STEMS if n < len(word)} | {word}
 
 
-def _extended(gram: str, words: Counter) -> str:
-    """The gram with the characters that stand around it in nearly all occurrences."""
-    while True:
-        around: Counter = Counter()
-        total = 0
-        for word, n in words.items():
-            i = word.find(gram)
-            total += n
-            around[word[max(0, i - 1) : i + len(gram)]] += n
-            around[word[i : i + len(gram) + 1]] += n
-        longer = [(n, g) for g, n in around.items() if len(g) > len(gram) and n >= 0.9 * total]
-        if not longer:
-            return gram
-        gram = max(longer)[1]
+def _one_of_a_kind(texts: list[list[str]]) -> list[list[str]]:
+    """Texts without near copies: those that share three of their eight least hashes of word triples with an earlier one."""
+    out: list[list[str]] = []
+    holders: dict[int, list[int]] = {}
+    for words in texts:
+        least = heapq.nsmallest(8, {zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})
+        if max(Counter(k for h in least for k in holders.get(h, ())).values(), default=0) < min(3, len(least)):
+            for h in least:
+                holders.setdefault(h, []).append(len(out))
+            out.append(words)
+    return out
 
 
-def toxic_pieces(toxic: list[str], ordinary: list[str]) -> bytes:
-    """Pieces of words far more frequent in toxic than in ordinary text, the most telling last.
+def telling_stems(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[str, str]:
+    """Toxic documents' words that begin with a telling stem, each with that stem.
 
-    Greedy: the gram of the largest log-likelihood ratio of occurrences is taken and the words that hold it
-    are set aside, until none is telling. Near copies count once.
+    The stem of the largest log-likelihood ratio (of equal ones the longest) takes its words; a further one is
+    telling only by the words that are left.
     """
-    toxic, ordinary = _one_of_a_kind(toxic), _one_of_a_kind(ordinary)
     counts = [Counter(), Counter()]
     for into, texts in zip(counts, (toxic, ordinary), strict=True):
-        for t in texts:
-            into.update({f" {w} ": min(n, 3) for w, n in Counter(t.split()).items()})  # a word repeated at length says no more
-    ratio = max(1, sum(counts[0].values())) / max(1, sum(counts[1].values()))
-    seen, usual, holders = Counter(), Counter(), defaultdict(set)
-    for word, n in counts[0].items():
-        for gram in _grams(word):
-            seen[gram] += n
-    for word, n in counts[1].items():
-        for gram in _grams(word):
-            if gram in seen:
-                usual[gram] += n
-    in_docs = Counter(g for t in toxic for g in set().union(*[_grams(f" {w} ") for w in set(t.split())] or [set()]) if seen[g] >= 4)
-
-    def telling(gram: str) -> float:
-        n, expected = seen[gram], (usual[gram] + 0.5) * ratio
-        return n * math.log(n / expected) - (n - expected) if n >= MORE * expected and in_docs[gram] >= max(3, len(toxic) // 100) else 0.0
-
-    heap = [(-v, g) for g in in_docs if (v := telling(g)) > LEAST]
-    heapq.heapify(heap)
-    able = {g for _, g in heap}
+        for words in texts:
+            into.update({w: min(n, 3) for w, n in Counter(words).items()})  # a word repeated at length says no more
+    ratio = sum(counts[0].values()) / max(1, sum(counts[1].values()))
+    documents = Counter(w for words in toxic for w in set(words))
+    begun, usual = defaultdict(list), Counter()
     for word in counts[0]:
-        for gram in able.intersection(_grams(word)):
-            holders[gram].add(word)
-    pieces: list[str] = []
-    while heap and len(pieces) < MOST_PIECES:
-        value, gram = heapq.heappop(heap)
-        now = telling(gram) if seen[gram] > 0 else 0.0
-        if now < -value:
-            if now > LEAST:
-                heapq.heappush(heap, (-now, gram))
-            continue
-        words = Counter({w: counts[0][w] for w in holders[gram] if counts[0][w] > 0})
-        pieces.append(_extended(gram, words))
-        for word, n in words.items():
-            for g in _grams(word):
-                seen[g] -= n
-            counts[0][word] = 0
-    return "".join(reversed(pieces)).encode()[-TOXIC_DICT:]
+        for stem in _stems(word):
+            begun[stem].append(word)
+    for word, n in counts[1].items():
+        for stem in _stems(word):
+            if stem in begun:
+                usual[stem] += n
+
+    def telling(stem: str, words: list[str]) -> float:
+        n, expected = sum(counts[0][w] for w in words), (usual[stem] + 0.5) * ratio
+        if n < MORE * expected or sum(documents[w] for w in words) < max(3, len(toxic) // 50):
+            return 0.0
+        value = n * math.log(n / expected) - (n - expected)
+        return value if value >= LEAST else 0.0
+
+    out: dict[str, str] = {}
+    for _, _, stem in sorted(((v, len(s), s) for s, words in begun.items() if (v := telling(s, words))), reverse=True):
+        if telling(stem, rest := [w for w in begun[stem] if w not in out]):
+            out.update(dict.fromkeys(rest, stem))
+    return out
+
+
+def toxic_samples(toxic: list[list[str]], telling: dict[str, str]) -> list[bytes]:
+    """What the toxic dictionary is trained on: each document's telling words, cut to their stems."""
+    stems = [telling[w].encode() for words in toxic for w in sorted(set(words)) if w in telling]
+    return [stem * -(-SAMPLE_BYTES // len(stem)) for stem in stems]
+
+
+def _train(size: int, samples: list[bytes], **trainer: int) -> bytes:
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, samples, **trainer).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too few samples to train on: their own text is the dictionary
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary, trained on texts given as words; near copies count once."""
+    toxic, ordinary = _one_of_a_kind(toxic), _one_of_a_kind(ordinary)
+    telling = telling_stems(toxic, ordinary)
+    return _train(ORDINARY_DICT, [w for t in ordinary for w in windows(t)]), _train(TOXIC_DICT, toxic_samples(toxic, telling), d=D_MER, k=SEGMENT)
+
+
+def saver(ordinary: bytes, toxic: bytes) -> Callable[[bytes], int]:
+    """A function from a window to the bytes that the toxic dictionary saves."""
+    import zstandard
+
+    how = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def compressor(content: bytes):
+        raw = zstandard.ZstdCompressionDict(content + PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(compression_params=how)
+        return zstandard.ZstdCompressor(dict_data=raw, compression_params=how).compress
+
+    plain, both = compressor(ordinary + bytes(len(toxic))), compressor(ordinary + toxic)
+    return lambda window: len(plain(window)) - len(both(window))
+
+
+def features(saved: list[int]) -> list[float]:
+    """Of the windows' savings: constant, largest, sum of the next two, counts and shares of toxic windows, number, mean."""
+    n = len(saved)
+    top = sorted((max(0, s) for s in saved), reverse=True)[:3] + [0, 0, 0]
+    counts = [sum(s >= least for s in saved) for least in (SAVING, LARGE_SAVING)]
+    return [1.0, top[0] / 4, (top[1] + top[2]) / 8, *map(math.log1p, counts), *[10 * c / max(10, n) for c in counts], math.log1p(n) / 3, sum(saved) / max(4, n)]
 
 
 @dataclass
@@ -133,17 +161,10 @@ class ToxicityModel:
     weights: list[float]
     base_rate: float
 
-    def savings(self):
-        """A function from a window to the bytes that the toxic content saves."""
-        import zstandard
-
-        def compressor(content: bytes):
-            raw = zstandard.ZstdCompressionDict(content + PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-        plain, both = compressor(self.ordinary), compressor(self.ordinary + self.toxic)
-        return lambda window: len(plain(window)) - len(both(window))
+    def savings(self) -> Callable[[str | None], list[int]]:
+        """A function from a text to the savings of its windows."""
+        saving = saver(self.ordinary, self.toxic)
+        return lambda text: [saving(w) for w in windows(_words(text))]
 
     def probability(self, saved: list[int]) -> float:
         if not self.weights:
@@ -151,67 +172,73 @@ class ToxicityModel:
         return float(1 / (1 + math.exp(-min(50.0, max(-50.0, float(np.dot(self.weights, features(saved))))))))
 
 
-def features(saved: list[int]) -> list[float]:
-    """Of the windows' savings: constant, largest, sum of the next two, toxic windows, any toxic window, share."""
-    top = sorted((max(0, s) for s in saved), reverse=True)[:3] + [0, 0, 0]
-    n = sum(s >= SAVING for s in saved)
-    return [1.0, top[0] / 4, (top[1] + top[2]) / 8, math.log1p(n), float(top[0] >= SAVING), 10 * n / max(10, len(saved))]
+def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Newton steps with a ridge."""
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1]), x.T @ (y - p) - w)
+    return w.tolist()
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    import zstandard
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str, toxic_sample: int, ordinary_sample: int) -> DataFrame:
+    """id, text, toxic, fold (0 to FOLDS - 1) of about the given numbers of labelled documents, by hash of the id."""
+    known = labels.select(F.col(label_id_col).alias("id"), F.col("toxic").alias("flag")).where("flag is not null and id is not null")
+    known = known.groupBy("id").agg((F.max("flag") > 0).alias("toxic")).where(F.crc32(F.col("id").cast("string")) % 4 != 2)
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = {kind: min(1.0, most / max(1, counts.get(kind, 0))) for kind, most in ((True, toxic_sample), (False, ordinary_sample))}
 
-    samples = [w for t in ordinary for w in windows(t)]
-    samples = samples[:: max(1, len(samples) // 20_000)]
-    try:
-        trained = zstandard.train_dictionary(ORDINARY_DICT, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their own text is the dictionary
-        trained = b"".join(samples)[-ORDINARY_DICT:] or b" " * 8
-    return trained, toxic_pieces(toxic, ordinary) or b" " * 8
+    def draw(seed: int) -> Column:
+        return F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 20))
 
+    known = known.where(draw(17) / (1 << 20) < F.when(F.col("toxic"), share[True]).otherwise(share[False]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    return texts.join(F.broadcast(known), "id").withColumn("fold", (draw(18) % FOLDS).cast("int"))  # known has about the two bounds' rows at most
+
+
+_FITTED = "fold int, toxic boolean, features array<double>, ordinary_dict binary, toxic_dict binary, n_toxic long, n_ordinary long"
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Newton steps with a small ridge."""
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
-        w += np.linalg.solve(hessian, x.T @ (y - p) - 0.05 * w)
-    return w.tolist()
 
+def _fit_fold(key: tuple, rows: "pandas.DataFrame") -> "pandas.DataFrame":  # noqa: F821
+    """One of FOLDS + 1 fits: dictionaries of all folds but one, with that fold's features; the last of all folds."""
+    import pandas as pd
 
-def fit_texts(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """Fit dictionaries on all texts; the regression is fitted on either half with the other half's dictionaries."""
-    n = len(toxic) + len(ordinary)
-    rate = len(toxic) / n if n else 0.0
-    if len(toxic) < 4 or len(ordinary) < 4:
-        return ToxicityModel(b" " * 8, b" " * 8, [], rate)
-    x, y = [], []
-    for half in (0, 1):
-        saving = ToxicityModel(*_dictionaries(toxic[half::2], ordinary[half::2]), [], rate).savings()
-        for label, texts in ((1, toxic), (0, ordinary)):
-            for t in texts[1 - half :: 2]:
-                x.append(features([saving(w) for w in windows(t)]))
-                y.append(label)
-    return ToxicityModel(*_dictionaries(toxic, ordinary), _logistic(np.array(x), np.array(y, float)), rate)
+    fold = int(key[0])
+    rows = rows.sort_values(["id", "text"])
+    words = [_words(t) for t in rows["text"]]
+    parts: list[list] = [[], []]
+    mine: list[list] = [[], []]
+    for w, toxic, own in zip(words, rows["toxic"], rows["fold"], strict=True):
+        (mine if own == fold else parts)[int(toxic)].append(w)
+    ordinary, toxic = dictionaries(parts[1], parts[0])
+    if fold == FOLDS:
+        out = [(fold, None, None, ordinary, toxic, len(parts[1]), len(parts[0]))]
+    else:
+        saving = saver(ordinary, toxic)
+        texts = [(t, w) for t in (0, 1) for w in _one_of_a_kind(mine[t])]
+        out = [(fold, bool(t), features([saving(x) for x in windows(w)]), None, None, None, None) for t, w in texts]
+    return pd.DataFrame(out, columns=["fold", "toxic", "features", "ordinary_dict", "toxic_dict", "n_toxic", "n_ordinary"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_sample: int = TOXIC_SAMPLE, ordinary_sample: int = ORDINARY_SAMPLE) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", toxic_sample: int = TOXIC_SAMPLE, ordinary_sample: int = ORDINARY_SAMPLE) -> ToxicityModel:
     """Fit on a sample, by hash of the id, of about toxic_sample and ordinary_sample labelled documents.
 
     Only rows whose crc32(id as text) mod 4 is not 2 are learned from. Rows of one id count once, as toxic if
     any label says so; null ids, labels and texts, and texts over SAMPLE_CHARS characters, are not in the
-    sample. With fewer than 4 documents of either kind every text gets the share of toxic ones as its score.
+    sample. The fits of the folds are tasks of their own, each of the bounded sample. With fewer than 4 documents of
+    either kind every text gets the share of toxic ones as its score.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).alias("_toxic"))
-    known = known.where(F.crc32(F.col("_id").cast("string")) % 4 != 2)
-    counts = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
-    share = {kind: min(1.0, most / max(1, counts.get(kind, 0))) for kind, most in ((True, toxic_sample), (False, ordinary_sample))}
-    draw = F.pmod(F.xxhash64(F.col("_id"), F.lit(17)), F.lit(1 << 20)) / (1 << 20)
-    known = known.where(draw < F.when(F.col("_toxic"), share[True]).otherwise(share[False]))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(known), "_id").orderBy("_id", "_text").collect()  # known has about the two bounds' rows at most
-    return fit_texts([r["_text"] for r in rows if r["_toxic"]], [r["_text"] for r in rows if not r["_toxic"]])
+    sample = labelled_sample(docs, labels, id_col, text_col, label_id_col, toxic_sample, ordinary_sample)
+    copies = sample.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+    rows = copies.groupBy("part").applyInPandas(_fit_fold, _FITTED).collect()
+    whole = next((r for r in rows if r["fold"] == FOLDS), None)
+    n = [whole["n_ordinary"], whole["n_toxic"]] if whole else [0, 0]
+    rate = n[1] / sum(n) if sum(n) else 0.0
+    if min(n) < 4:
+        return ToxicityModel(b"", b"", [], rate)
+    seen = sorted((r["fold"], r["toxic"], r["features"]) for r in rows if r["fold"] != FOLDS)
+    weights = _logistic(np.array([f for _, _, f in seen]), np.array([t for _, t, _ in seen], float))
+    return ToxicityModel(bytes(whole["ordinary_dict"]), bytes(whole["toxic_dict"]), weights, rate)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,13 +251,11 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        saving, probability = model.savings(), model.probability
+        savings, probability = model.savings(), model.probability
         for batch in batches:
-            scores, saved = [], []
-            for text in batch.column(1):
-                saved.append(own := [saving(w) for w in windows(text.as_py())])
-                scores.append(probability(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(saved, pa.list_(pa.int32()))], names=["doc_id", "score", "saved"])
+            saved = [savings(text.as_py()) for text in batch.column(1)]
+            scores = pa.array([probability(s) for s in saved], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores, pa.array(saved, pa.list_(pa.int32()))], names=["doc_id", "score", "saved"])
 
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = ids.mapInArrow(run, "doc_id long, score double, saved array<int>")
@@ -245,16 +270,20 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text is predicted toxic; all columns stay as they are."""
+    """docs without the rows whose text is predicted toxic; all columns stay as they are.
+
+    Null, empty and letterless texts stay unless a text without toxic windows would be rejected; of repeated rows
+    all stay or none; an empty table gives an empty one.
+    """
     schema = docs.schema
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        saving, probability = model.savings(), model.probability
+        savings, probability = model.savings(), model.probability
         for batch in batches:
-            keep = [probability([saving(w) for w in windows(t.as_py())]) < THRESHOLD for t in batch.column(at)]
+            keep = [probability(savings(t.as_py())) < THRESHOLD for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
