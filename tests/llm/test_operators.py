@@ -1,6 +1,7 @@
 """The text operators on small tables: brute force, round trips, and the cases that every one must handle."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -157,14 +158,46 @@ def test_viterbi_against_brute_force():
         assert value(got.tolist()) == pytest.approx(best, abs=1e-2)
 
 
-def test_substring_dedup(odd, empty):
-    rows = {r["doc_id"]: r for r in substring_dedup.dedup_lines(odd.where("doc_id >= 5")).collect()}
-    assert rows[5]["text"] == f"{LINE}\nreleased under the mit license"
+def brute_passages(texts, min_words):
+    """(begin, end) of the runs to remove of each text, texts in rank order."""
+    seen, out = set(), []
+    for text in texts:
+        runs, before = [], False
+        for m in re.finditer(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", text or ""):
+            words = tuple(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", m.group().lower()))
+            if not words:
+                continue
+            if words in seen:
+                if before:
+                    runs[-1] = (runs[-1][0], m.end(), runs[-1][2] + len(words))
+                else:
+                    runs.append((*m.span(), len(words)))
+            before = words in seen
+            seen.add(words)
+        out.append([(b, e) for b, e, n in runs if n >= min_words])
+    return out
+
+
+def test_substring_dedup(spark, odd, empty):
+    rows = {r["doc_id"]: r for r in substring_dedup.dedup_text(odd.where("doc_id >= 5"), min_words=10).collect()}
     text = next(t for d, t, _ in ODD if d == 5)
-    assert [text[s["begin"] : s["end"]] for s in rows[5]["removed"]] == [LINE]
-    spans = substring_dedup.removed_spans(odd).collect()
-    assert len([s for s in spans if s["copies"] == 3]) == 2 and all(s["kept_id"] in (1, 5) for s in spans)
-    assert substring_dedup.removed_spans(empty).count() == 0 and substring_dedup.dedup_lines(empty).count() == 0
+    assert rows[5]["text"] == f"{LINE}\nreleased under the mit license" and not rows[5]["kept"]
+    assert [text[s["begin"] : s["end"]] for s in rows[5]["removed"]] == [LINE + "\n"]
+    assert rows[6]["kept"] and rows[6]["text"] == ODD[7][1]
+    found = substring_dedup.duplicate_passages(odd, min_words=1).collect()
+    assert len(found) == len(ODD) and Counter(r["doc_id"] for r in found if not r["kept"]) == Counter([1, None, 5])
+    assert substring_dedup.duplicate_passages(empty).count() == 0 and substring_dedup.dedup_text(empty).count() == 0
+    r = random.Random(9)
+    sentences = [" ".join(r.choice(["red", "Blue", "green", "Ünder"]) for _ in range(r.randint(0, 12))) + r.choice([". ", "! ", "\n", "\n\n", " "]) for _ in range(60)]
+    texts = ["".join(r.choice(sentences) for _ in range(r.randint(0, 30))) for _ in range(80)] + [None, ""]
+    for least in (1, 20):
+        got = {x["doc_id"]: x for x in substring_dedup.dedup_text(table(spark, [(i, t, "s") for i, t in enumerate(texts)]), min_words=least).collect()}
+        for i, spans in enumerate(brute_passages(texts, least)):
+            assert [(s["begin"], s["end"]) for s in got[i]["removed"]] == spans and got[i]["kept"] == (not spans)
+            left = texts[i]
+            for b, e in reversed(spans):
+                left = left[:b] + left[e:]
+            assert got[i]["text"] == left
 
 
 def test_licenses(odd, empty):

@@ -61,21 +61,38 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removed_spans(_documents(spark, sf_dir))
-
-
-OP4_SQL = """
-WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    found = substring_dedup.duplicate_passages(_documents(spark, sf_dir))
+    words = F.transform("removed", lambda r: r["n_words"].cast("long"))
+    return found.select(
+        "doc_id",
+        "n_units",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + x).alias("removed_words"),
+        F.coalesce(F.array_max(words), F.lit(0)).alias("longest_removed"),
+        F.array_min(F.transform("removed", lambda r: r["begin"].cast("long"))).alias("first_begin"),
+        F.array_max(F.transform("removed", lambda r: r["end"].cast("long"))).alias("last_end"),
+        "kept",
+    )
+
+
+OP4_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '{substring_dedup.PIECE}') AS pieces FROM documents),
+p AS (SELECT row, doc_id, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS piece FROM t),
 u AS (
-  SELECT doc_id, (i - 1)::INT AS line, lines[i] AS unit, list_filter(string_split_regex(lines[i], '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words,
-         coalesce(list_sum(list_transform(lines[1:i - 1], lambda x: length(x) + 1)), 0) AS first
-  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM t)
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY i) AS unit FROM (
+    SELECT row, doc_id, i, regexp_extract_all(lower(piece), '{substring_dedup.WORD}') AS words,
+           sum(length(piece)) OVER (PARTITION BY row ORDER BY i) - length(piece) AS first, sum(length(piece)) OVER (PARTITION BY row ORDER BY i) AS last FROM p
+  ) WHERE len(words) > 0
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id NULLS LAST, row, unit) AS rank FROM u
 ), r AS (
-  SELECT *, row_number() OVER w AS rank, first_value(doc_id) OVER w AS kept_id, first_value(line) OVER w AS kept_line,
-         count(*) OVER (PARTITION BY array_to_string(words, ' ')) AS copies
-  FROM u WHERE len(words) >= 8 WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, line)
-)
-SELECT doc_id, line, first::INT AS begin, (first + length(unit))::INT AS "end", len(words)::INT AS n_words, kept_id, kept_line, copies FROM r WHERE rank > 1
+  SELECT row, sum(len(words)) AS n, min(first) AS first, max(last) AS last FROM (SELECT *, unit - row_number() OVER (PARTITION BY row ORDER BY unit) AS island FROM k WHERE rank > 1)
+  GROUP BY row, island HAVING sum(len(words)) >= {substring_dedup.MIN_WORDS}
+), d AS (SELECT row, count(*) AS n_removed, sum(n) AS removed_words, max(n) AS longest, min(first) AS first, max(last) AS last FROM r GROUP BY row),
+n AS (SELECT row, count(*) AS n_units FROM u GROUP BY row)
+SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_words, 0)::BIGINT AS removed_words,
+       coalesce(longest, 0)::BIGINT AS longest_removed, first::BIGINT AS first_begin, last::BIGINT AS last_end, n_removed IS NULL AS kept
+FROM t LEFT JOIN n ON t.row = n.row LEFT JOIN d ON t.row = d.row
 """
 
 

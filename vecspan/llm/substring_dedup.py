@@ -1,92 +1,111 @@
-"""Substring deduplication by line hashing: of a unit that occurs more than once, the first occurrence stays.
+"""Substring deduplication by unit hashing: of a passage that occurs more than once, the first occurrence stays.
 
-Units are the lines of a text, normalised by trimming and collapsing white space. Their digests are grouped
-globally; the occurrence of the lowest rank (document, then line) is kept and the others are cut out of their
-texts, with their original offsets retained.
+Units are the lines of a text, cut further at the ends of sentences; they are normalised to their lower-case words.
+Their digests are grouped globally and the occurrence of the lowest rank (document, then place) is kept. Neighbouring
+units of a text that all stand earlier elsewhere make up a run: a repeated sentence, line, paragraph or longer
+passage. Runs of at least min_words words are cut out of the text, with their original offsets retained.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspan.llm.common import materialize, sqrt_buckets
+from vecspan.llm.common import BROADCAST_ROWS, materialize
 
-#: Units of fewer words are never removed: short lines repeat without being copies.
-MIN_WORDS = 8
+#: Repeated runs of fewer words stay, as short lines repeat without being copies; 1 removes every repeated unit.
+MIN_WORDS = 25
 
-#: The white space that separates words and is collapsed (fixed values).
-_SPACES = " \t\n\x0b\x0c\r"
+#: Pieces that make up a text: up to the end of a sentence or line. Words: runs of other characters than ASCII's
+#: controls, blanks and punctuation. The same in Java and RE2.
+PIECE = "[^.!?\\n]*[.!?\\n]+|[^.!?\\n]+"
+WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_PIECE, _WORD = re.compile(PIECE), re.compile(WORD)
 
 
-def _units(numbered: DataFrame, min_words: int) -> DataFrame:
-    """row, doc_id, line (from 0), begin, end (characters; the newline is not in it), digest, n_words."""
-    table = str.maketrans(dict.fromkeys(_SPACES[1:], " "))
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def document_units(numbered: DataFrame) -> DataFrame:
+    """row, doc_id, units: of every unit that has a word its digest, number of words, begin and end (characters)."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["row", "doc_id", "line", "begin", "end", "digest", "n_words"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+        fields = [("digest", pa.binary()), ("n_words", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                begin = 0
-                for k, line in enumerate((text.as_py() or "").split("\n")):
-                    words = [w for w in line.translate(table).split(" ") if w]
-                    if len(words) >= min_words:
+            columns: list[list] = [[], [], [], []]
+            ends = [0]
+            for text in batch.column(2):
+                for piece in _PIECE.finditer(text.as_py() or ""):
+                    if words := _WORD.findall(piece.group().lower()):
                         digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        for column, value in zip(out, (row, doc_id, k, begin, begin + len(line), digest, len(words)), strict=True):
+                        for column, value in zip(columns, (digest, len(words), *piece.span())):
                             column.append(value)
-                    begin += len(line) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                ends.append(len(columns[0]))
+            units = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], fields=[pa.field(*f) for f in fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), units)], names=["row", "doc_id", "units"])
 
-    return numbered.select("row", "doc_id", "text").mapInArrow(cut, "row long, doc_id long, line int, begin int, end int, digest binary, n_words int")
+    return numbered.select("row", "doc_id", "text").mapInArrow(cut, "row long, doc_id long, units array<struct<digest: binary, n_words: int, begin: int, end: int>>")
 
 
-def repeated_spans(numbered: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The units to remove: row, doc_id, line, begin, end, n_words, kept_id, kept_line, copies.
+def repeated_units(units: DataFrame) -> DataFrame:
+    """row, unit, n_words, begin, end, kept_id of the units (row, doc_id, unit, digest, ...) that stand earlier elsewhere.
 
-    numbered has row, doc_id and text and is read once. Occurrences rank by doc_id (null last), row and line. Digests are
-    grouped in two steps over a salt of the row, so that a line with a third of all rows does not gather in
-    one task: first the least of each salt, then the least of the salts' firsts.
+    Occurrences rank by doc_id (null last), row and unit. Digests are counted with partial sums; those that occur so
+    often that one task should not hold their rows are few by their number, and are looked up by broadcast.
     """
-    units = materialize(_units(numbered, min_words), "units")
-    salts = sqrt_buckets(units.count())
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line")
-    dealt = units.withColumn("rank", rank).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    part = dealt.groupBy("digest", "salt").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
-    whole = Window.partitionBy("digest")
-    part = part.select("digest", "salt", F.min("first").over(whole).alias("first"), F.sum("n").over(whole).alias("copies"))
-    part = part.where("copies > 1")
-    found = dealt.join(part, ["digest", "salt"]).where("rank <> first")
-    return found.select("row", "doc_id", "line", "begin", "end", "n_words", F.col("first.doc_id").alias("kept_id"), F.col("first.line").alias("kept_line"), "copies")
-
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "unit")
+    counted = units.groupBy("digest").agg(F.count("*").alias("copies"), F.min(rank).alias("first")).where("copies > 1")
+    counted = materialize(counted, "repeats", "zstd")
+    total = counted.agg(F.sum("copies")).first()[0] or 0
+    most = max(10_000, -(-total // BROADCAST_ROWS))  # at most BROADCAST_ROWS digests have more copies
+    hot = F.broadcast(counted.where(F.col("copies") > most))
+    found = units.join(hot, "digest").unionByName(units.join(counted.where(F.col("copies") <= most), "digest"))
+    return found.withColumn("rank", rank).where("rank <> first").select("row", "unit", "n_words", "begin", "end", F.col("first.doc_id").alias("kept_id"))
+
+
+def removed_runs(per_document: DataFrame, min_words: int) -> DataFrame:
+    """row, removed: the runs to cut out, in order, each with begin, end, n_units, n_words and the ids whose text stays."""
+    units = per_document.select("row", "doc_id", F.posexplode("units").alias("unit", "u")).select("row", "doc_id", "unit", "u.*")
+    order = Window.partitionBy("row").orderBy("unit")
+    runs = repeated_units(units).withColumn("island", F.col("unit") - F.row_number().over(order))
+    runs = runs.groupBy("row", "island").agg(
+        F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").cast("int").alias("n_units"),
+        F.sum("n_words").cast("int").alias("n_words"), F.array_sort(F.collect_set("kept_id")).alias("kept_ids"),
+    )
+    run = F.struct("begin", "end", "n_units", "n_words", "kept_ids")
+    return runs.where(F.col("n_words") >= min_words).groupBy("row").agg(F.sort_array(F.collect_list(run)).alias("removed"))
+
+
+def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per input row: doc_id, n_units, removed (runs with begin and end in characters of the original text), kept.
+
+    kept: nothing is removed. Null, empty and wordless texts have no unit. A unit that a text itself repeats stays
+    where it comes first; of repeated rows one keeps its text, the others lose all of it (if it has min_words
+    words). An empty table gives an empty result. Other columns are ignored.
+    """
+    per_document = materialize(document_units(_numbered(docs, id_col, text_col)), "units", "zstd")
+    return _with_removed(per_document, min_words).drop("row")
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+def _with_removed(per_document: DataFrame, min_words: int) -> DataFrame:
+    runs = removed_runs(per_document, min_words)
+    out = per_document.select("row", "doc_id", F.size("units").cast("long").alias("n_units")).join(runs, "row", "left")
+    return out.select("row", "doc_id", "n_units", F.coalesce("removed", F.array()).alias("removed"), F.col("removed").isNull().alias("kept"))
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed unit: doc_id, line, begin, end, n_words, kept_id, kept_line, copies.
 
-    Offsets are characters of the original text. Null and empty texts and lines of fewer than min_words words
-    have no unit; of a line that a text repeats the first stays; of repeated rows one keeps its lines, the
-    others lose them. An empty table gives an empty result. Other columns are ignored.
-    """
-    return repeated_spans(_numbered(docs, id_col, text_col), min_words).drop("row")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per input row: doc_id, text without the removed lines, removed (spans of the original text)."""
-    numbered = materialize(_numbered(docs, id_col, text_col), "numbered")
-    spans = repeated_spans(numbered, min_words)
-    per = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("line", "begin", "end", "kept_id", "kept_line"))).alias("removed"))
-    joined = numbered.join(per, "row", "left")
-    gone = F.transform("removed", lambda s: s["line"])
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(left)
-    return joined.select("doc_id", text.alias("text"), F.coalesce("removed", F.array()).alias("removed"))
+def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per input row: doc_id, text without the removed runs, removed, kept; cases as in duplicate_passages."""
+    numbered = materialize(_numbered(docs, id_col, text_col), "numbered", "zstd")
+    per_document = materialize(document_units(numbered), "units", "zstd")
+    joined = numbered.select("row", "text").join(_with_removed(per_document, min_words), "row")
+    begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["end"]))
+    ends = F.concat(F.transform("removed", lambda r: r["begin"]), F.array(F.length("text")))
+    left = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")
+    return joined.select("doc_id", F.when(F.col("kept"), F.col("text")).otherwise(left).alias("text"), "removed", "kept")
