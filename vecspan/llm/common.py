@@ -14,9 +14,11 @@ BROADCAST_ROWS = 200_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; where that is unset a temporary one, in local mode only."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = f"file://{tempfile.gettempdir()}/vecspan-scratch"
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
@@ -40,18 +42,22 @@ def materialize(df: DataFrame, name: str = "t", compression: str = "snappy") ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", copies: int = 64) -> DataFrame:
-    """Join a large, possibly skewed table to a table with one row per key.
+def bounded_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join a large, possibly skewed table to a table with one row per key (inner, left or left_semi).
 
-    The small side is counted first (it should be a materialized table). Within BROADCAST_ROWS it is
-    broadcast; beyond that it is copied `copies` times over a salt and the big side's rows are dealt over
-    the salts, so that a key with a third of all rows spreads over that many tasks.
+    The small side is counted first (both should be materialized tables). Within BROADCAST_ROWS it is broadcast.
+    Beyond that only the hot keys' rows of it are, of which there are at most BROADCAST_ROWS as each has more than
+    that share of the big side's rows; all other keys are joined by a shuffle of both sides.
     """
     if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), key, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(copies)).cast("int"))
-    return dealt.join(salted, [key, "_salt"], how).drop("_salt")
+    most = max(10_000, big.count() // BROADCAST_ROWS)
+    hot = materialize(big.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key), "hot")
+    rest = big.join(F.broadcast(hot), key, "left_anti").join(small, key, how)
+    if hot.isEmpty():
+        return rest
+    near = big.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(small.join(F.broadcast(hot), key, "left_semi")), key, how)
+    return rest.unionByName(near)
 
 
 def sqrt_buckets(n: int) -> int:
