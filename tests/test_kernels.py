@@ -63,7 +63,11 @@ def test_clusters_of_separate_blobs():
 
 def test_state_machines():
     assert C.hold_filter([0, 1, 0, 1, 1, 1, 1], 2) == [0, 0, 0, 0, 0, 1, 1]
-    assert C.hysteresis([0, 0.9, 0.9, 0.9, 0.1, 0.1, 0.1, 0.9], silence=2, speech=3) == [(1, 4)]
+    assert C.hysteresis([0, 0.9, 0.9, 0.9, 0.1, 0.1, 0.1, 0.9], silence=2, speech=2) == [(1, 4), (7, 8)]
+    assert C.hysteresis([0, 0.9, 0.9, 0.9, 0.1, 0.1, 0.1, 0.9], silence=2, speech=3) == [(7, 8)]  # longer than `speech`; the open one stays
+    assert C.hysteresis([0.9] * 4 + [0.1, 0.4, 0.4, 0.9, 0.9], silence=2, speech=3) == [(0, 9)]  # frames between off and on end nothing
+    assert C.hysteresis([0, 0.9, 0.9, 0.9, 0.1, 0.1, 0.1, 0.9], silence=2, speech=2, pad=2) == [(0, 5), (6, 8)]
+    assert C.hysteresis([0, 0.9, 0.9, 0.9, 0.1, 0.1, 0.1, 0.9], silence=2, speech=2, least=2) == [(1, 4)] and C.hysteresis([]) == []
     assert C.best_subset(np.array([[1, 0.9, 0], [0.9, 1, 0.1], [0, 0.1, 1]]), 2) == (0, 1)
 
 
@@ -132,3 +136,51 @@ def test_metrics_edge_cases(spark):
     assert zero.select(V.cosine(F.col("a"), F.col("b"))).first()[0] is None
     w, b = S.fit_calibration(spark.createDataFrame([(float(i % 10), i % 10 > r) for i in range(200) for r in (3, 5)], "x double, target boolean"), ["x"])
     assert w[0] > 0.5 and b < 0
+
+
+def test_repeated_points_and_windows(spark):
+    intervals = spark.createDataFrame([("r", 0, 10, "x"), ("r", 5, 300, "y")], "rec string, b long, e long, label string")
+    points = spark.createDataFrame([("r", 7), ("r", 7), ("r", 11), ("r", 400), ("q", 7)], "rec string, t long")
+    from vecspan.operators import intervals as I
+
+    got = sorted((r["rec"], r["t"], r["label"] or "") for r in I.label_at(points, intervals, ["rec"], width=64).collect())
+    assert got == [("q", 7, ""), ("r", 7, "x"), ("r", 7, "x"), ("r", 11, "y"), ("r", 400, "")]
+    windows = spark.createDataFrame([("r", 0, 150), ("r", 0, 150), ("r", 0, 90)], "rec string, b long, e long")
+    rows = I.dominant_label(windows, intervals, ["rec"]).collect()
+    assert [(r["label"], r["overlap"]) for r in rows] == [("y", 145), ("y", 145)]
+
+
+def test_labels_without_overlap_keep_their_name(spark):
+    overlaps = spark.createDataFrame([("r", "a", "s1", 5), ("r", "b", "s1", 3)], "rec string, label_a string, label_b string, overlap long")
+    labels = spark.createDataFrame([("r", "a"), ("r", "b"), ("r", "c"), ("q", "d")], "rec string, label_a string")
+    got = {(r["rec"], r["label_a"]): r["mapped"] for r in C.map_labels(overlaps, "rec", labels).collect()}
+    assert got == {("r", "a"): "s1", ("r", "b"): "b", ("r", "c"): "c", ("q", "d"): "d"}
+
+
+def test_curves_and_norms(spark):
+    from vecspan.functions import schedules
+
+    it = spark.range(0, 1001, 100).select(schedules.margin_curve(F.col("id"), 200, 600, 0.0, 0.2).alias("m"), F.col("id"))
+    got = {r["id"]: r["m"] for r in it.collect()}
+    want = lambda k: 0.2 * (1 - np.exp(k / 400 * np.log(1e-3 / (1 + 1e-6))))
+    assert got[100] == 0 and got[600] == got[1000] == 0.2
+    assert got[300] == pytest.approx(0.16443, abs=1e-4) and all(got[200 + k] == pytest.approx(want(k)) for k in (0, 100, 200, 300))
+    v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],)], "v array<double>")
+    rows = v.select(V.l2_normalise(F.col("v")).alias("a"), V.length_normalise(F.col("v")).alias("b")).collect()
+    assert rows[0]["a"] == pytest.approx([0.6, 0.8]) and rows[0]["b"] == pytest.approx([0.6 * 2**0.5, 0.8 * 2**0.5])
+    assert rows[1]["a"] == [None, None] and rows[2]["a"] == []
+
+
+def test_calibration_finds_the_minimum(spark):
+    r = np.random.default_rng(5)
+    x = np.r_[r.normal(2, 1, 300), r.normal(-1, 1.5, 500)] * 0.3 + 4
+    y = np.r_[np.ones(300), np.zeros(500)].astype(bool)
+    w, b = S.fit_calibration(spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, target boolean"), ["x"])
+
+    def cost(w, b):
+        z = np.where(y, 1, -1) * (w * x + b)
+        loss = np.logaddexp(0, -z)
+        return (loss[y].mean() + loss[~y].mean()) / 2
+
+    best = cost(w[0], b)
+    assert all(best <= cost(w[0] + i, b + j) + 1e-9 for i in (-0.01, 0, 0.01) for j in (-0.01, 0, 0.01))

@@ -40,7 +40,7 @@ def margin_curve(it: Column, start: int, end: int, first: float, last: float, ki
     """first before start, last after end, in between linear or an exponential approach."""
     t = (it - start) / (end - start)
     if kind == "exp":
-        between = first + (last - first) * (1 - F.exp(t * math.log(1e-3 / (last + 1e-6))) * 1.0)
+        between = first + (last - first) * (1 - F.exp(t * math.log(1e-3 / (1 + 1e-6))))
     else:
         between = first + (last - first) * t
     return F.when(it < start, F.lit(first)).when(it >= end, F.lit(last)).otherwise(between)

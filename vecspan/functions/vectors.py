@@ -22,14 +22,19 @@ def magnitude(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def _divided(v: Column, by: Column) -> Column:
+    """v / by, where by is worked out once and not anew for every element."""
+    return F.get(F.transform(F.array(by), lambda n: F.transform(v, lambda x: x / n)), 0)
+
+
 def l2_normalise(v: Column) -> Column:
     """v / |v|; null for the zero vector."""
-    return F.transform(v, lambda x: x / F.nullif(magnitude(v), F.lit(0.0)))
+    return _divided(v, F.nullif(magnitude(v), F.lit(0.0)))
 
 
 def length_normalise(v: Column) -> Column:
     """v scaled to length sqrt(dimension)."""
-    return F.transform(v, lambda x: x * F.sqrt(F.size(v).cast("double")) / F.nullif(magnitude(v), F.lit(0.0)))
+    return _divided(v, F.nullif(magnitude(v), F.lit(0.0)) / F.sqrt(F.size(v).cast("double")))
 
 
 def cosine(a: Column, b: Column) -> Column:

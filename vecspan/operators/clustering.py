@@ -193,8 +193,12 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, i) for i, j in pairs) if flip else sorted(pairs)
 
 
-def map_labels(overlaps: DataFrame, group: str) -> DataFrame:
-    """C7 by recording: group, label_a, mapped (label_b). Labels without overlap keep their name."""
+def map_labels(overlaps: DataFrame, group: str, labels: DataFrame | None = None) -> DataFrame:
+    """C7 by recording: group, label_a, mapped: label_a's partner label_b in the assignment of the largest total overlap.
+
+    Pass the overlaps with the names to be replaced as label_a. labels (group, label_a) lists all of these: those
+    without a partner or without any overlap keep their name. Without it only labels that overlap give a row.
+    """
     kind = dict(overlaps.dtypes)[group]
 
     def run(pdf):
@@ -204,7 +208,10 @@ def map_labels(overlaps: DataFrame, group: str) -> DataFrame:
         pairs = {table.index[i]: table.columns[j] for i, j in best_assignment(table.to_numpy()) if table.iat[i, j] > 0}
         return pd.DataFrame([(pdf[group].iloc[0], a, pairs.get(a, a)) for a in table.index], columns=[group, "label_a", "mapped"])
 
-    return overlaps.groupBy(group).applyInPandas(run, f"{group} {kind}, label_a string, mapped string")
+    mapped = overlaps.groupBy(group).applyInPandas(run, f"{group} {kind}, label_a string, mapped string")
+    if labels is None:
+        return mapped
+    return labels.select(group, "label_a").distinct().join(mapped, [group, "label_a"], "left").select(group, "label_a", F.coalesce("mapped", "label_a").alias("mapped"))
 
 
 def balance_durations(durations: list[float], least: float, tolerance: float = 1e-5) -> list[tuple[int, int]]:
@@ -254,25 +261,35 @@ def hold_filter(classes: list[int], hold: int = 75) -> list[int]:
     return out
 
 
-def hysteresis(p: list[float], on: float = 0.5, off: float = 0.35, silence: int = 10, speech: int = 25) -> list[tuple[int, int]]:
-    """Frames [start, end) of speech: it begins at p >= on, ends at the first p < off that `silence` frames
-    follow without p >= on, and is kept if at least `speech` frames long."""
-    out, start, end = [], None, None
+def hysteresis(p: list[float], on: float = 0.5, off: float = 0.35, silence: int = 10, speech: int = 25, pad: int = 0, least: int = 0) -> list[tuple[int, int]]:
+    """Frames [start, end) of speech.
+
+    Speech begins at p >= on. A frame of p < off marks a possible end, which p >= on takes back; speech ends there as
+    soon as another frame of p < off comes `silence` frames or more after it, and counts if it is longer than
+    `speech`. Speech still open at the last frame lasts to the end, however short. Segments grow by `pad` on both sides
+    and share a gap that is too small for it; those shorter than `least` are dropped last.
+    """
+    found: list[list[int]] = []
+    start = end = None
     for i, x in enumerate(p):
-        if start is None:
-            if x >= on:
-                start, end = i, None
-        elif x >= on:
+        if x >= on:
             end = None
-        else:
-            if x < off and end is None:
-                end = i
-            if end is not None and i - end >= silence:
-                out.append((start, end))
+            start = i if start is None else start
+        elif x < off and start is not None:
+            end = i if end is None else end
+            if i - end >= silence:
+                if end - start > speech:
+                    found.append([start, end])
                 start = end = None
     if start is not None:
-        out.append((start, len(p) if end is None else end))
-    return [(s, e) for s, e in out if e - s >= speech]
+        found.append([start, len(p)])
+    for left, right in zip(found, found[1:]):
+        gap = right[0] - left[1]
+        grow = gap // 2 if gap < 2 * pad else pad
+        left[1], right[0] = left[1] + grow, max(0, right[0] - grow)
+    if found:
+        found[0][0], found[-1][1] = max(0, found[0][0] - pad), min(len(p), found[-1][1] + pad)
+    return [(s, e) for s, e in found if e - s >= least]
 
 
 def best_subset(sim: np.ndarray, size: int, closest: bool = True) -> tuple[int, ...]:

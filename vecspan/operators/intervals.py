@@ -109,25 +109,31 @@ def overlap_totals(left: DataFrame, right: DataFrame, group: list[str], label: s
     return pairs.groupBy(*group, "label_a", "label_b").agg(F.sum(shared).alias("overlap"))
 
 
-def label_at(points: DataFrame, intervals: DataFrame, group: list[str], t: str = "t", label: str = "label") -> DataFrame:
-    """The label of the first interval (by begin, end, label) that holds each point, both ends closed; null if none."""
-    p = points.withColumn("_pb", F.col(t) - 1).withColumn("_pe", F.col(t) + 1)
-    i = intervals.select(*group, F.col("b").alias("ib"), F.col("e").alias("ie"), F.col(label).alias("label"))
-    pairs = range_join(p, i, group, ("_pb", "_pe"), ("ib", "ie"), how="left")
-    keys = points.columns
-    inside = (F.col("ib") <= F.col(t)) & (F.col(t) <= F.col("ie"))
-    found = F.min(F.when(inside, F.struct("ib", "ie", "label")))
-    return pairs.groupBy(*keys).agg(found.alias("f")).select(*keys, F.col("f.label").alias("label"))
+def label_at(points: DataFrame, intervals: DataFrame, group: list[str], t: str = "t", label: str = "label", width: int = 1 << 22) -> DataFrame:
+    """The label of the first interval (by begin, end, label) that holds each point, both ends closed; null if none.
+
+    One row per row of points, repeated ones too. A point is in one time bucket, an interval in all that it touches.
+    """
+    p = points.withColumn("_point", F.monotonically_increasing_id()).withColumn("_bucket", F.floor(F.col(t) / width).cast("long"))
+    i = intervals.select(*group, F.col("b").alias("_ib"), F.col("e").alias("_ie"), F.col(label).alias("_label")).where("_ib <= _ie")
+    i = i.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_ib") / width).cast("long"), F.floor(F.col("_ie") / width).cast("long"))))
+    pairs = p.join(i, [*group, "_bucket"], "left")
+    inside = (F.col("_ib") <= F.col(t)) & (F.col(t) <= F.col("_ie"))
+    found = F.min(F.when(inside, F.struct("_ib", "_ie", "_label")))
+    return pairs.groupBy("_point", *points.columns).agg(found.alias("_f")).select(*points.columns, F.col("_f._label").alias("label"))
 
 
 def dominant_label(windows: DataFrame, intervals: DataFrame, group: list[str], min_overlap: int = 100, label: str = "label") -> DataFrame:
-    """The label with the most overlap with each window (ties: the smaller label), if at least min_overlap."""
-    i = intervals.select(*group, F.col("b").alias("ib"), F.col("e").alias("ie"), F.col(label).alias("label"))
+    """The label with the most overlap with each window (ties: the smaller label), if at least min_overlap.
+
+    Repeated windows each give a row.
+    """
+    i = intervals.select(*group, F.col("b").alias("_ib"), F.col("e").alias("_ie"), F.col(label).alias("_label"))
     keys = windows.columns
-    pairs = range_join(windows, i, group, ("b", "e"), ("ib", "ie"))
-    total = pairs.groupBy(*keys, "label").agg(F.sum(F.least("e", "ie") - F.greatest("b", "ib")).alias("overlap"))
-    best = total.groupBy(*keys).agg(F.min(F.struct((-F.col("overlap")).alias("o"), "label")).alias("m"))
-    return best.select(*keys, F.col("m.label").alias("label"), (-F.col("m.o")).alias("overlap")).where(F.col("overlap") >= min_overlap)
+    pairs = range_join(windows.withColumn("_window", F.monotonically_increasing_id()), i, group, ("b", "e"), ("_ib", "_ie"))
+    total = pairs.groupBy("_window", *keys, "_label").agg(F.sum(F.least("e", "_ie") - F.greatest("b", "_ib")).alias("_overlap"))
+    best = total.groupBy("_window", *keys).agg(F.min(F.struct((-F.col("_overlap")).alias("o"), "_label")).alias("_m"))
+    return best.select(*keys, F.col("_m._label").alias("label"), (-F.col("_m.o")).alias("overlap")).where(F.col("overlap") >= min_overlap)
 
 
 def active_at(points: DataFrame, intervals: DataFrame, group: list[str], t: str = "t", label: str = "label") -> DataFrame:

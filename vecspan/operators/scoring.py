@@ -132,33 +132,47 @@ def calibration_factors(scores: DataFrame, features: DataFrame, columns: list[st
     return out.drop(*[f"_{s}_{c}" for s in ("enroll", "test") for c in columns])
 
 
-def fit_calibration(df: DataFrame, features: list[str], target: str = "target", steps: int = 50, rate: float = 1.0, gain: float = 1e-4) -> tuple[list[float], float]:
-    """(weights, bias) that minimise the calibration cost; Newton steps on distributed sums.
+def fit_calibration(df: DataFrame, features: list[str], target: str = "target", steps: int = 50, gain: float = 1e-9) -> tuple[list[float], float]:
+    """(weights, bias) that minimise the calibration cost; damped Newton steps on distributed sums.
 
-    A step aggregates the gradient and the second derivatives of both classes, a row of (d + 1)**2 numbers.
+    A step aggregates the cost, the gradient and the second derivatives of both classes, a row of (d + 1)**2 numbers.
+    Steps that do not lower the cost are halved; the best weights met are returned. Without rows of either class
+    the weights are the initial ones.
     """
     import numpy as np
 
     d = len(features)
     x = [F.col(f).cast("double") for f in features] + [F.lit(1.0)]
-    w = np.r_[np.full(d, 1.0 / max(1, d)), 0.0]
-    before = None
-    for _ in range(steps):
+
+    def evaluate(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         z = sum((F.lit(float(a)) * c for a, c in zip(w, x, strict=True)), F.lit(0.0))
         y = F.when(F.col(target), 1.0).otherwise(-1.0)
-        p = 1 / (1 + F.exp(y * z))
-        rows = df.select(F.col(target).alias("_t"), F.log1p(F.exp(-y * z)).alias("_l"), p.alias("_p"), y.alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(x)])
+        rows = df.select(F.col(target).alias("_t"), (y * z).alias("_m"), y.alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(x)])
+        rows = rows.withColumn("_l", F.greatest(-F.col("_m"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_m")))).withColumn("_p", 1 / (1 + F.exp(F.col("_m"))))
         curve = F.col("_p") * (1 - F.col("_p"))
         sums = [F.avg("_l").alias("l")] + [F.avg(-F.col("_y") * F.col("_p") * F.col(f"_x{i}")).alias(f"g{i}") for i in range(d + 1)]
         sums += [F.avg(curve * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"h{i}_{j}") for i in range(d + 1) for j in range(i, d + 1)]
-        got = rows.groupBy("_t").agg(*sums).collect()
-        cost = sum(r["l"] for r in got) / 2
+        got = rows.where("_t is not null").groupBy("_t").agg(*sums).collect()
+        if len(got) < 2:
+            return 0.0, np.zeros(d + 1), np.eye(d + 1)
         g = np.array([sum(r[f"g{i}"] for r in got) / 2 for i in range(d + 1)])
         h = np.array([[sum(r[f"h{min(i, j)}_{max(i, j)}"] for r in got) / 2 for j in range(d + 1)] for i in range(d + 1)])
-        if before is not None and before - cost < gain:
+        return sum(r["l"] for r in got) / 2, g, h
+
+    w = np.r_[np.full(d, 1.0 / max(1, d)), 0.0]
+    cost, g, h = evaluate(w)
+    for _ in range(steps):
+        step, size = np.linalg.solve(h + 1e-9 * np.eye(d + 1), g), 1.0
+        tried = evaluate(w - step)
+        while tried[0] > cost and size > 1e-6:
+            size /= 2
+            tried = evaluate(w - size * step)
+        if tried[0] > cost:
+            break
+        better = cost - tried[0]
+        w, (cost, g, h) = w - size * step, tried
+        if better < gain:
             break
-        before = cost
-        w = w - rate * np.linalg.solve(h + 1e-9 * np.eye(d + 1), g)
     return w[:-1].tolist(), float(w[-1])
 
 

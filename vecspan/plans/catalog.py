@@ -900,7 +900,7 @@ def _(spark, d):
 
     ref = R.intervals(spark, d)
     hyp = ref.select("id", "rec", F.concat(F.lit("h-"), "label").alias("label"), (F.col("b") + 300).alias("b"), (F.col("e") + 900).alias("e"))
-    return map_labels(I.overlap_totals(ref, hyp, ["rec"]), "rec")
+    return map_labels(I.overlap_totals(ref, hyp, ["rec"]), "rec", ref.select("rec", F.col("label").alias("label_a")))
 
 
 @query("c08_identify_by_recording", f"WITH {R.VEC}, g AS (SELECT utt % 20 AS rec, spk, min(utt) AS gu FROM vec GROUP BY ALL), s AS (SELECT v.utt % 20 AS rec, v.utt, g.spk, list_cosine_similarity(v.v, w.v) AS c FROM vec v JOIN g ON v.utt % 20 = g.rec JOIN vec w ON w.utt = g.gu) SELECT rec, utt, spk, round(c, 6) AS score FROM s WHERE c >= 0.1 QUALIFY row_number() OVER (PARTITION BY utt ORDER BY c DESC, spk) = 1")
