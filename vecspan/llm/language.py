@@ -49,7 +49,8 @@ SCRIPTS = {
 _BOUNDS = sorted((lo, hi, k + 1) for k, ranges in enumerate(SCRIPTS.values()) for lo, hi in ranges)
 _LO, _HI, _ID = (np.array(x) for x in zip(*_BOUNDS))
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: of what counts as a word character, all numbers (also fractions, powers, Roman ones) are left out.
+_WORD = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
 
 
 def script_of(code_points: np.ndarray) -> np.ndarray:
