@@ -13,12 +13,12 @@ import corpus_pipeline
 from vecspan.llm import exact_dedup, language, licenses, mixing, near_dedup, packing, quality, substring_dedup, toxicity, training_order
 from vecspan.llm.tokens import encoder
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, run long, h string, words string, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, run long, h string, words string, label string, _row long, _id long, _sha string, row_number long, kept_id long, cut_words int"
 
 
 def table(spark, rows):
     """Documents with columns that clash with names used inside the operators."""
-    return spark.createDataFrame([(d, t, "en", s, 0, 7, 7, "h", "w", "l") for d, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, "en", s, 0, 7, 7, "h", "w", "l", 7, 7, "s", 7, 7, 7) for d, t, s in rows], SCHEMA)
 
 
 LINE = "one two three four five six seven eight nine ten"
@@ -76,6 +76,10 @@ def test_mixing(spark, odd, empty):
     assert mixed.columns == odd.columns
     total = sum(len((r["text"] or "").split()) for r in mixed.collect())
     assert total == sum(r["taken"] for r in rows)
+    assert {(r["_row"], r["row_number"], r["cut_words"]) for r in mixed.collect()} == {(7, 7, 7)}
+    long = "\n".join(f"w{i}  x\ty" for i in range(40)) + "\n"
+    cut = {r["text"] for r in mixing.mixed_documents(table(spark, [(1, long, "a"), (2, "z " * 30, "b"), (3, "v " * 30, "c")])).collect()}
+    assert all(t == "" or any(w.startswith(t) for w in (long, "z " * 30, "v " * 30)) for t in cut)
     again = mixing.taken_words(odd).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
@@ -488,3 +492,19 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             assert sum(r["length"] for r in at.collect()) == sum(len(encoder().encode(r["text"])) // 4 + 1 for r in before)
     rerun = corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect()
     assert sorted(map(str, rerun)) == sorted(map(str, at.drop("sequence_id", "offset").collect()))
+
+
+def test_numbers_are_no_letters(spark):
+    model = language.LanguageModel(["a", "b"], np.zeros((language.BUCKETS, 2), np.float32), np.ones((len(language.SCRIPTS) + 1, 2), bool))
+    rows = spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "①"), (3, "12_3"), (4, "x²y")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.language_spans(rows, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] in ("a", "b")
+
+
+def test_bad_hosts_are_rejected(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(100 * h + i, "too short" if h == 7 and i % 10 < 6 or i == 3 else good, f"h{h}") for h in range(20) for i in range(40)]
+    rows += [(9001, "too short", "tiny"), (9002, good, "tiny"), (9003, good, None)]
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(table(spark, rows)).collect()}
+    assert {r["host"] for r in got.values() if not r["host_kept"]} == {"h7"}
+    assert not got[709]["kept"] and not got[709]["base_failed"] and got[9002]["kept"] and not got[9001]["kept"] and got[9003]["kept"]

@@ -24,6 +24,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until none is a column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared scratch folder, deleted when the driver's JVM ends."""
     path = f"{scratch_dir(spark)}/vecspan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspan.llm.common import materialize, sqrt_buckets
+from vecspan.llm.common import fresh_names, materialize, sqrt_buckets
 
 #: Binomial rounds merged in one exchange: 2**5 runs meet.
 FAN_BITS = 5
@@ -89,12 +89,18 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Repeated rows with the same id and text leave one row.
     """
-    kept = materialize(exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "group_size"), "kept")
+    own_id, own_sha = fresh_names(docs, "kept_id", "kept_sha")
+    kept = exact_groups(docs, id_col, text_col).where("kept")
+    kept = materialize(kept.select(F.col("doc_id").alias("right_id"), F.col("text_sha256").alias("right_sha"), F.col("group_size").alias("right_size")), "kept")
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    left = docs.withColumn("_sha", sha).withColumn("_id", F.col(id_col))
-    on = (left["_id"].eqNullSafe(kept["_id"])) & (left["_sha"] == kept["_sha"])
-    out = left.join(kept, on, "left_semi")
-    again = left.select("_id", "_sha").join(kept.where("group_size > 1"), on, "left_semi").groupBy("_id", "_sha").count()
+    left = docs.withColumn(own_sha, sha).withColumn(own_id, F.col(id_col))
+
+    def on(table: DataFrame) -> Column:
+        return table[own_id].eqNullSafe(kept["right_id"]) & (table[own_sha] == kept["right_sha"])
+
+    out = left.join(kept, on(left), "left_semi")
+    ids = left.select(own_id, own_sha)
+    again = ids.join(kept.where("right_size > 1"), on(ids), "left_semi").groupBy(own_id, own_sha).count()
     if not again.where("count > 1").isEmpty():
-        out = out.dropDuplicates(["_id", "_sha"])
-    return out.drop("_id", "_sha")
+        out = out.dropDuplicates([own_id, own_sha])
+    return out.drop(own_id, own_sha)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspan.llm.common import bounded_join, hash_bucket, materialize, running_offset, sqrt_buckets
+from vecspan.llm.common import bounded_join, fresh_names, hash_bucket, materialize, running_offset, sqrt_buckets
 
 #: Weights dealt in turn to the sources in code point order.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -146,18 +146,19 @@ def _taken(docs: DataFrame, **options: object) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
     """docs as the mix takes them: every pass over a document gives a row, the last pass cut to the words taken.
 
-    A whole pass has the text as it is; a cut one has its first words, joined by one space. A document that
-    the mix does not reach gives no row; one without a word is kept, once. Other columns stay as they are.
+    A whole pass has the text as it is; a cut one has it up to the end of its last word. A document that the mix does
+    not reach gives no row; one without a word is kept, once. Other columns stay as they are.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = _taken(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col="_row", **options)
+    row, n_whole, n_cut, one_pass = fresh_names(docs, "row_number", "whole_passes", "cut_words", "one_pass")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = _taken(rows, id_col=id_col, text_col=text_col, source_col=source_col, row_col=row, **options)
     passes = taken.select(
-        F.col("row").alias("_row"),
-        F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div greatest(size, 1)")).cast("int").alias("_whole"),
-        F.when(F.col("size") > 0, F.col("taken") % F.greatest("size", F.lit(1))).otherwise(0).cast("int").alias("_cut"),
+        F.col("row").alias(row),
+        F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div greatest(size, 1)")).cast("int").alias(n_whole),
+        F.when(F.col("size") > 0, F.col("taken") % F.greatest("size", F.lit(1))).otherwise(0).cast("int").alias(n_cut),
     )
-    out = rows.join(passes.where("_whole > 0 or _cut > 0"), "_row")
-    out = out.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_whole") - F.when(F.col("_cut") > 0, 0).otherwise(1))))
-    words = F.slice(F.array_remove(F.split(F.col(text_col), "[\\x20\\x09-\\x0D]+"), ""), 1, F.col("_cut"))
-    text = F.when(F.col("_pass") == F.col("_whole"), F.array_join(words, " ")).otherwise(F.col(text_col))
+    out = rows.join(passes.where((F.col(n_whole) > 0) | (F.col(n_cut) > 0)), row)
+    out = out.withColumn(one_pass, F.explode(F.sequence(F.lit(0), F.col(n_whole) - F.when(F.col(n_cut) > 0, 0).otherwise(1))))
+    words = F.slice(F.split(F.col(text_col), "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])"), 1, F.col(n_cut))
+    text = F.when(F.col(one_pass) == F.col(n_whole), F.array_join(words, "")).otherwise(F.col(text_col))
     return out.withColumn(text_col, text).select(*docs.columns)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,9 @@ RULES = {
     "dup_lines": "100 * n_dup_lines > 30 * n_lines",
 }
 
-#: A host whose shrunk failure rate of any rule is above this is rejected.
-MAX_HOST_RATE = 0.5
+#: A host is rejected if its shrunk failure rate of any rule is above the rule's limit: the prior's mean, some of its
+#: standard deviations and a margin, and MAX_HOST_RATE at most.
+PRIOR_DEVIATIONS, MARGIN, MAX_HOST_RATE = 3.0, 0.05, 0.5
 
 
 def text_features(df: DataFrame, text: Column) -> DataFrame:
@@ -67,8 +71,9 @@ def host_verdicts(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
     """One row per host: host, n_docs, fail_<rule> counts, rate_<rule> shrunk rates, host_kept.
 
     docs has host and one boolean column fail_<rule> per rule. The prior of each rule is a beta
-    distribution with the mean and variance of the hosts' raw rates (method of moments); a host's rate is
-    the posterior mean, so that hosts of few documents are drawn towards the mean. The null host is a host.
+    distribution with the mean of the hosts' raw rates and their variance less what chance alone gives hosts of
+    their sizes (method of moments); a host's rate is the posterior mean, so that hosts of few documents are drawn
+    towards the mean. A host is rejected if a rate lies far out in the prior. The null host is a host.
     """
     names = list(RULES)
     hosts = docs.groupBy("host").agg(
@@ -80,15 +85,19 @@ def host_verdicts(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
     moments = hosts.agg(
         *[F.avg(raw[r]).alias(f"m_{r}") for r in names],
         *[F.var_pop(raw[r]).alias(f"v_{r}") for r in names],
+        F.avg(1 / F.col("n_docs")).alias("per_doc"),
     ).first()
-    rates = []
+    rates, limits = [], []
     for r in names:
         mean, var = moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0
         mean = min(max(mean, 1e-6), 1 - 1e-6)
-        strength = min(max(mean * (1 - mean) / var - 1, 1.0), 1e6) if var > 0 else 1e6
+        between = var - mean * (1 - mean) * (moments["per_doc"] or 0.0)
+        strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6) if between > 0 else 1e6
+        limits.append(min(max_rate, mean + PRIOR_DEVIATIONS * math.sqrt(mean * (1 - mean) / (strength + 1)) + MARGIN))
         rates.append(((F.col(f"fail_{r}") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))).alias(f"rate_{r}"))
     hosts = hosts.select("*", *rates)
-    return hosts.withColumn("host_kept", F.greatest(*[F.col(f"rate_{r}") for r in names]) <= max_rate)
+    within = [F.col(f"rate_{r}") <= limit for r, limit in zip(names, limits, strict=True)]
+    return hosts.withColumn("host_kept", reduce(Column.__and__, within))
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, max_rate: float = MAX_HOST_RATE) -> DataFrame:

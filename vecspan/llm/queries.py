@@ -168,10 +168,12 @@ f AS (
 ), h AS (
   SELECT source, k, count(*) AS n, sum(fails[k]) AS bad FROM v, range(1, 6) AS o(k) GROUP BY source, k
 ), m AS (
-  SELECT k, least(greatest(avg(bad / n), 1e-6), 1 - 1e-6) AS mean, var_pop(bad / n) AS var FROM h GROUP BY k
+  SELECT *, var - mean * (1 - mean) * per_doc AS between_hosts FROM (
+    SELECT k, least(greatest(avg(bad / n), 1e-6), 1 - 1e-6) AS mean, var_pop(bad / n) AS var, avg(1 / n) AS per_doc FROM h GROUP BY k
+  )
 ), s AS (
-  SELECT source, max((bad + mean * strength) / (n + strength)) <= 0.5 AS host_kept
-  FROM h JOIN (SELECT k, mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1e6) ELSE 1e6 END AS strength FROM m) p ON h.k = p.k GROUP BY source
+  SELECT source, bool_and((bad + mean * strength) / (n + strength) <= least(0.5, mean + 3 * sqrt(mean * (1 - mean) / (strength + 1)) + 0.05)) AS host_kept
+  FROM h JOIN (SELECT k, mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, 1), 1e6) ELSE 1e6 END AS strength FROM m) p ON h.k = p.k GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
 FROM v JOIN s ON v.source IS NOT DISTINCT FROM s.source
