@@ -39,6 +39,32 @@ def pairs(df: DataFrame, key: str, spk: str, same: bool | None = None, on: list[
     return joined.select(*on, "enroll", "test", target.alias("target"))
 
 
+def query_pairs(queries: DataFrame, rows: DataFrame, key: str = "utt", spk: str = "spk", vec: str = "v", block: int = 512) -> DataFrame:
+    """Every query against every row of another key: enroll, test, spk (the row's), target, x, y.
+
+    Both sides are dealt into blocks and a cell of the grid joins one block of queries with one of rows, so neither
+    side gathers in one task nor is broadcast whole, and scores are worked out where the vectors meet.
+    """
+    n_queries, n_rows = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // (8 * block)))
+    place = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = queries.select(F.col(key).alias("enroll"), F.col(spk).alias("_spk"), F.col(vec).alias("x"), place(n_queries).alias("_i"), every(n_rows).alias("_j"))
+    b = rows.select(F.col(key).alias("test"), spk, F.col(vec).alias("y"), place(n_rows).alias("_j"), every(n_queries).alias("_i"))
+    both = a.join(b, ["_i", "_j"]).where("enroll <> test")
+    return both.select("enroll", "test", F.col(spk).alias("spk"), (F.col("_spk") == F.col(spk)).alias("target"), "x", "y")
+
+
+def score_queries(queries: DataFrame, rows: DataFrame, mean: list[float] | None = None, key: str = "utt", spk: str = "spk", vec: str = "v") -> DataFrame:
+    """B1 of every query against every other row: enroll, test, spk, target, score. Vectors are normalised once each."""
+
+    def unit(df: DataFrame) -> DataFrame:
+        v = V.as_double(F.col(vec))
+        v = V.subtract(v, F.array(*[F.lit(float(x)) for x in mean])) if mean else v
+        return df.select(key, spk, V.l2_normalise(v).alias(vec))
+
+    return query_pairs(unit(queries), unit(rows), key, spk, vec).withColumn("score", V.dot(F.col("x"), F.col("y"))).drop("x", "y")
+
+
 def score(trials: DataFrame, enrol_vec: DataFrame, test_vec: DataFrame | None = None, mean: list[float] | None = None, key: str = "utt", vec: str = "v", strict: bool = False) -> DataFrame:
     """Cosine of each trial; vectors are normalised once, before the joins.
 

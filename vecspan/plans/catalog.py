@@ -502,13 +502,12 @@ def _(spark, d):
 
 # --- vectors ---------------------------------------------------------------------------------------------
 
-_PAIR = f"{R.VEC}, pr AS (SELECT a.utt AS enroll, b.utt AS test, a.v AS x, b.v AS y, a.spk = b.spk AS target FROM vec a JOIN vec b ON a.utt < b.utt AND a.utt < 60 AND b.utt < 60)"
+_PAIR = f"{R.VEC}, pr AS (SELECT a.utt AS enroll, b.utt AS test, a.v AS x, b.v AS y, a.spk = b.spk AS target FROM vec a JOIN vec b ON a.utt % 50 = 0 AND a.utt <> b.utt)"
 
 
 def _pairs(spark, d):
-    v = R.vectors(spark, d, 60)
-    a, b = v.select(F.col("utt").alias("enroll"), F.col("v").alias("x"), F.col("spk").alias("sa")), v.select(F.col("utt").alias("test"), F.col("v").alias("y"), F.col("spk").alias("sb"))
-    return a.join(b, F.col("enroll") < F.col("test")).withColumn("target", F.col("sa") == F.col("sb"))
+    v = R.vectors(spark, d)
+    return S.query_pairs(v.where(R.QUERY), v)
 
 
 @query("v01_l2_normalise", f"WITH {R.VEC} SELECT utt, round(list_sum(list_transform(v, lambda x: x * 3 / sqrt(list_inner_product(v, v) * 9))), 6) AS total FROM vec")
@@ -614,16 +613,16 @@ def _(spark, d):
     return S.pairs(R.vectors(spark, d), "utt", "spk", same=True)
 
 
-@query("j10_nontarget_pairs", f"WITH {R.VEC} SELECT a.utt AS enroll, b.utt AS test, false AS target FROM vec a JOIN vec b ON a.spk <> b.spk AND a.utt < b.utt WHERE a.utt < 80 AND b.utt < 80")
+@query("j10_nontarget_pairs", f"WITH {R.VEC} SELECT a.utt AS enroll, b.utt AS test, false AS target FROM vec a JOIN vec b ON a.spk <> b.spk AND a.utt <> b.utt WHERE a.utt % 50 = 0")
 def _(spark, d):
-    return S.pairs(R.vectors(spark, d, 80), "utt", "spk", same=False)
+    return _pairs(spark, d).where(~F.col("target")).select("enroll", "test", "target")
 
 
 @query("b01_cosine_scoring", f"WITH {_PAIR}, m AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(v[i]) AS m FROM vec, range(1, 65) r(i) GROUP BY i)), c AS (SELECT enroll, test, target, list_transform(x, lambda a, i: a - m[i]) AS x, list_transform(y, lambda a, i: a - m[i]) AS y FROM pr, m) SELECT enroll, test, target, round(list_cosine_similarity(x, y), 6) AS score FROM c")
 def _(spark, d):
     mean = S.mean_vectors(R.vectors(spark, d), []).first()["v"]
-    v = R.vectors(spark, d, 60)
-    return r6(S.score(S.pairs(v, "utt", "spk"), v, mean=mean), "score").select("enroll", "test", "target", "score")
+    v = R.vectors(spark, d)
+    return r6(S.score_queries(v.where(R.QUERY), v, mean=mean), "score").select("enroll", "test", "target", "score")
 
 
 @query("a05_speaker_means", f"WITH {R.VEC} SELECT spk, i::INT AS i, round(avg(v[i + 1]), 6) AS x FROM vec, range(0, 64) r(i) GROUP BY spk, i")
@@ -636,54 +635,56 @@ def _(spark, d):
     return S.enrol(R.vectors(spark, d)).select("spk", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("a07_covariance", f"WITH {R.VEC}, l AS (SELECT v[1:4] AS v FROM vec) SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round(avg(v[i] * v[j]) - avg(v[i]) * avg(v[j]), 6) AS cov FROM l, range(1, 5) r(i), range(1, 5) q(j) GROUP BY i, j")
+@query("a07_covariance", f"WITH {R.VEC} SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round(avg(v[i] * v[j]) - avg(v[i]) * avg(v[j]), 6) AS cov FROM vec, range(1, 65) r(i), range(1, 65) q(j) GROUP BY i, j")
 def _(spark, d):
     from vecspan.operators.backends import moments
 
-    n, mean, second = moments(R.vectors(spark, d).withColumn("v", F.slice("v", 1, 4)))
+    n, mean, second = moments(R.vectors(spark, d))
     cov = second / n - mean[:, None] * mean[None, :]
-    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6)) for i in range(4) for j in range(4)], "i int, j int, cov double")
+    return spark.createDataFrame([(i, j, round(float(x), 6)) for i, row in enumerate(cov) for j, x in enumerate(row)], "i int, j int, cov double")
 
 
-_COHORT = f"{_PAIR}, co AS (SELECT utt AS c, v FROM vec WHERE utt BETWEEN 100 AND 139), cs AS (SELECT vec.utt, list_cosine_similarity(vec.v, co.v) AS s FROM vec, co WHERE vec.utt < 60), tn AS (SELECT utt, avg(s) AS mu, stddev_pop(s) AS sd FROM (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY utt ORDER BY s DESC) <= 10) GROUP BY utt)"
+_COHORT = f"{_PAIR}, co AS (SELECT spk AS c, list(m ORDER BY i) AS v FROM (SELECT spk, i, avg(v[i]) AS m FROM vec, range(1, 65) r(i) GROUP BY spk, i) GROUP BY spk), cs AS (SELECT vec.utt, list_cosine_similarity(vec.v, co.v) AS s FROM vec, co), tn AS (SELECT utt, avg(s) AS mu, stddev_pop(s) AS sd FROM (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY utt ORDER BY s DESC) <= 5) GROUP BY utt)"
 
 
-def _cohort(spark, d):
-    return [r["v"] for r in R.vectors(spark, d).where("utt between 100 and 139").orderBy("utt").collect()]
+def _statistics(spark, d, top_n):
+    """Every vector against the cohort, which are the means of all speakers."""
+    v = R.vectors(spark, d)
+    return S.cohort_statistics_join(v, S.mean_vectors(v, ["spk"]).withColumnRenamed("spk", "cohort"), top_n)
 
 
 @query("a09_cohort_statistics", f"WITH {_COHORT} SELECT utt, round(mu, 6) AS mu, round(sd, 6) AS sd FROM tn")
 def _(spark, d):
-    return r6(S.cohort_statistics(R.vectors(spark, d, 60), _cohort(spark, d), 10), "mu", "sd")
+    v = R.vectors(spark, d)
+    return r6(S.cohort_statistics(v, [r["v"] for r in S.mean_vectors(v, ["spk"]).orderBy("spk").collect()], 5), "mu", "sd")
 
 
 @query("a09_cohort_statistics_blocks", f"WITH {_COHORT} SELECT utt, round(mu, 6) AS mu, round(sd, 6) AS sd FROM tn")
 def _(spark, d):
-    cohort = R.vectors(spark, d).where("utt between 100 and 139").select(F.col("utt").alias("cohort"), "v")
-    return r6(S.cohort_statistics_join(R.vectors(spark, d, 60), cohort, 10), "mu", "sd")
+    return r6(_statistics(spark, d, 5), "mu", "sd")
+
+
+def _normalised(spark, d, top_n):
+    v = R.vectors(spark, d)
+    stats = _statistics(spark, d, top_n)
+    out = S.normalise_scores(S.score_queries(v.where(R.QUERY), v), stats, stats)
+    return out.select("enroll", "test", F.round("norm_score", 5).alias("norm_score"))
 
 
 @query("b02_asnorm", f"WITH {_COHORT} SELECT enroll, test, round(0.5 * ((list_cosine_similarity(x, y) - a.mu) / a.sd + (list_cosine_similarity(x, y) - b.mu) / b.sd), 5) AS norm_score FROM pr JOIN tn a ON enroll = a.utt JOIN tn b ON test = b.utt")
 def _(spark, d):
-    v = R.vectors(spark, d, 60)
-    stats = S.cohort_statistics(v, _cohort(spark, d), 10)
-    out = S.normalise_scores(S.score(S.pairs(v, "utt", "spk"), v), stats, stats)
-    return out.select("enroll", "test", F.round("norm_score", 5).alias("norm_score"))
+    return _normalised(spark, d, 5)
 
 
 @query("b02_snorm", f"WITH {_COHORT}, al AS (SELECT utt, avg(s) AS mu, stddev_pop(s) AS sd FROM cs GROUP BY utt) SELECT enroll, test, round(0.5 * ((list_cosine_similarity(x, y) - a.mu) / a.sd + (list_cosine_similarity(x, y) - b.mu) / b.sd), 5) AS norm_score FROM pr JOIN al a ON enroll = a.utt JOIN al b ON test = b.utt")
 def _(spark, d):
-    v = R.vectors(spark, d, 60)
-    stats = S.cohort_statistics(v, _cohort(spark, d), None)
-    out = S.normalise_scores(S.score(S.pairs(v, "utt", "spk"), v), stats, stats)
-    return out.select("enroll", "test", F.round("norm_score", 5).alias("norm_score"))
+    return _normalised(spark, d, None)
 
 
 @query("b03_calibration_factors", f"WITH {_COHORT}, ft AS (SELECT utt, mu, least(utt * 1.5, 40.0)::DOUBLE AS dur FROM tn) SELECT enroll, test, round(least(a.dur, b.dur), 6) AS dur_min, round(greatest(a.dur, b.dur), 6) AS dur_max, round(abs(a.dur - b.dur), 6) AS dur_diff, round(greatest(a.dur, b.dur) / nullif(least(a.dur, b.dur), 0), 6) AS dur_ratio, round(abs(a.mu - b.mu), 6) AS mu_diff FROM pr JOIN ft a ON enroll = a.utt JOIN ft b ON test = b.utt")
 def _(spark, d):
-    v = R.vectors(spark, d, 60)
-    feats = S.cohort_statistics(v, _cohort(spark, d), 10).withColumn("dur", F.col("utt") * 1.5)
-    out = S.calibration_factors(S.pairs(v, "utt", "spk"), feats, ["dur", "mu"], caps={"dur": 40.0})
+    feats = _statistics(spark, d, 5).withColumn("dur", F.col("utt") * 1.5)
+    out = S.calibration_factors(_pairs(spark, d).select("enroll", "test", "target"), feats, ["dur", "mu"], caps={"dur": 40.0})
     return r6(out.select("enroll", "test", "dur_min", "dur_max", "dur_diff", "dur_ratio", "mu_diff"), "dur_min", "dur_max", "dur_diff", "dur_ratio", "mu_diff")
 
 
@@ -723,14 +724,15 @@ def _(spark, d):
     return r6(M.min_dcf(M.det_sweep(R.target_scores(spark, d), ["key"])), "min_dcf_raw", "min_dcf")
 
 
-@query("entry_verification_eer", f"""WITH {R.VEC}, pr AS (SELECT a.utt * 1000 + b.utt AS key, list_cosine_similarity(a.v, b.v) AS score, a.spk = b.spk AS target FROM vec a JOIN vec b ON a.utt < b.utt AND a.utt < 200 AND b.utt < 200),
-dt AS (SELECT row_number() OVER w AS pos, score, sum(target::INT) OVER w / sum(target::INT) OVER () AS fnr, 1 - sum(1 - target::INT) OVER w / sum(1 - target::INT) OVER () AS fpr FROM pr WINDOW w AS (ORDER BY score, target, key ROWS UNBOUNDED PRECEDING)),
+@query("entry_verification_eer", f"""WITH {R.VEC}, pr AS (SELECT a.utt AS enroll, b.utt AS test, round(list_cosine_similarity(a.v, b.v), 9) AS score, a.spk = b.spk AS target FROM vec a JOIN vec b ON a.utt % 50 = 0 AND a.utt <> b.utt),
+dt AS (SELECT row_number() OVER w AS pos, score, sum(target::INT) OVER w / sum(target::INT) OVER () AS fnr, 1 - sum(1 - target::INT) OVER w / sum(1 - target::INT) OVER () AS fpr FROM pr WINDOW w AS (ORDER BY score, target, enroll, test ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT arg_min((fnr, fpr), pos) FILTER (WHERE fnr - fpr >= 0) AS a, arg_max((fnr, fpr), pos) FILTER (WHERE fnr - fpr < 0) AS b, min(0.01 * fnr + 0.99 * fpr) / 0.01 AS dcf FROM dt)
 SELECT round(a[1] + (a[1] - a[2]) / (b[2] - a[2] - (b[1] - a[1])) * (b[1] - a[1]), 4) AS eer, round(dcf, 4) AS min_dcf FROM p""")
 def verification(spark, d):
-    """The flagship: trials among the first 200 vectors, cosine scores, error sweep, EER and detection cost."""
-    v = R.vectors(spark, d, 200)
-    sweep = M.det_sweep(S.score(S.pairs(v, "utt", "spk"), v), ["enroll", "test"])
+    """The flagship: every 50th vector against all others, cosine scores, error sweep, EER and detection cost."""
+    v = R.vectors(spark, d)
+    scores = S.score_queries(v.where(R.QUERY), v).select("enroll", "test", "target", F.round("score", 9).alias("score"))
+    sweep = M.det_sweep(scores.persist(), ["enroll", "test"])  # scored once for the sweep's passes
     return M.eer(sweep).join(M.min_dcf(sweep), F.lit(True)).select(F.round("eer", 4).alias("eer"), F.round("min_dcf", 4).alias("min_dcf"))
 
 
@@ -744,18 +746,20 @@ def _(spark, d):
     return r6(M.equalised_weights(R.target_scores(spark, d), "cond").select("key", "weight"), "weight")
 
 
-_ID = f"""{R.VEC}, tr AS (SELECT utt AS trial, utt AS probe, spk AS true_spk FROM vec WHERE utt < 40), en AS (SELECT trial, vec.spk, vec.utt FROM tr, vec WHERE vec.utt BETWEEN 200 AND 259),
-gs AS (SELECT trial, en.spk, max(list_cosine_similarity(p.v, g.v)) AS mx FROM en JOIN vec g ON g.utt = en.utt JOIN vec p ON p.utt = trial GROUP BY trial, en.spk),
+_ID = f"""{R.VEC}, tr AS (SELECT utt AS trial, spk AS true_spk, v FROM vec WHERE utt % 50 = 0),
+gs AS (SELECT trial, g.spk, max(list_cosine_similarity(tr.v, g.v)) AS mx FROM tr JOIN vec g ON g.utt % 50 <> 0 GROUP BY trial, g.spk),
 rk AS (SELECT trial, true_spk, spk, mx, row_number() OVER (PARTITION BY trial ORDER BY round(mx, 9) DESC, spk) AS rank FROM gs JOIN tr USING (trial))"""
 
 
 def _identify(spark, d, strategy):
+    """Every 50th vector against the gallery of all others: their means by speaker, or the best of them."""
     v = R.vectors(spark, d)
-    trials = v.where("utt < 40").select(F.col("utt").alias("trial"), F.col("utt").alias("probe"), F.col("spk").alias("true_spk"))
-    gallery = v.where("utt between 200 and 259").select("spk", "utt")
-    enrolments = trials.select("trial").join(F.broadcast(gallery), F.lit(True))
-    scores = S.gallery_scores(trials, enrolments, v, strategy).withColumn("score", F.round("score", 9))
-    return S.rank_gallery(scores, "trial").join(trials.select("trial", "true_spk"), "trial")
+    probes, gallery = v.where(R.QUERY), v.where(R.GALLERY)
+    if strategy == "mean":
+        gallery = S.mean_vectors(gallery, ["spk"]).withColumn("utt", -1 - F.col("spk"))
+    scores = S.score_queries(probes, gallery).groupBy(F.col("enroll").alias("trial"), "spk").agg(F.max("score").alias("score"))
+    ranked = S.rank_gallery(scores.withColumn("score", F.round("score", 9)), "trial")
+    return ranked.join(probes.select(F.col("utt").alias("trial"), F.col("spk").alias("true_spk")), "trial")
 
 
 @query("b14_gallery_max", f"WITH {_ID} SELECT trial, spk, round(mx, 6) AS score, rank::INT AS rank FROM rk")
@@ -763,8 +767,8 @@ def _(spark, d):
     return r6(_identify(spark, d, "max").select("trial", "spk", "score", "rank"), "score")
 
 
-@query("b14_gallery_mean", f"""WITH {R.VEC}, g AS (SELECT spk, list(m ORDER BY i) AS g FROM (SELECT spk, i, avg(v[i]) AS m FROM vec, range(1, 65) r(i) WHERE utt BETWEEN 200 AND 259 GROUP BY spk, i) GROUP BY spk)
-SELECT utt AS trial, g.spk, round(list_cosine_similarity(v, g), 6) AS score FROM vec, g WHERE utt < 40""")
+@query("b14_gallery_mean", f"""WITH {R.VEC}, g AS (SELECT spk, list(m ORDER BY i) AS g FROM (SELECT spk, i, avg(v[i]) AS m FROM vec, range(1, 65) r(i) WHERE utt % 50 <> 0 GROUP BY spk, i) GROUP BY spk)
+SELECT utt AS trial, g.spk, round(list_cosine_similarity(v, g), 6) AS score FROM vec, g WHERE utt % 50 = 0""")
 def _(spark, d):
     return r6(_identify(spark, d, "mean").select("trial", "spk", "score"), "score")
 
@@ -935,11 +939,10 @@ def _(spark, d):
 
     v = R.vectors(spark, d)
     m = B.fit_plda(v, 3)
-    t = B.transform_vectors(R.vectors(spark, d, 60), m["mu"], m["transform"].T)
+    t = B.transform_vectors(v, m["mu"], m["transform"].T)
     psi = F.array(*[F.lit(float(p)) for p in m["psi"]])
-    trials = S.pairs(R.vectors(spark, d, 60), "utt", "spk")
-    e, p = t.select(F.col("utt").alias("enroll"), F.col("v").alias("x")), t.select(F.col("utt").alias("test"), F.col("v").alias("y"))
-    return trials.join(e, "enroll").join(p, "test").select("enroll", "test", "target", V.plda_llr(F.col("x"), F.col("y"), psi, F.lit(1.0)).alias("llr"))
+    trials = S.query_pairs(t.where(R.QUERY), t)
+    return trials.select("enroll", "test", "target", V.plda_llr(F.col("x"), F.col("y"), psi, F.lit(1.0)).alias("llr"))
 
 
 @query("st01_hopping_counts", "SELECT epoch_us(time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES) // 1000000 AS begin, event_type, count(*) AS n FROM events, range(0, 2) r(k) GROUP BY ALL")
@@ -1125,11 +1128,19 @@ def _(spark, d):
     return r6(R.utterances(spark, d).agg(F.sum("dur").alias("total"), F.count("*").alias("n")), "total")
 
 
-@query("b11_multisession", f"WITH {R.VEC}, e AS (SELECT spk, count(*) AS n FROM vec WHERE utt >= 100 GROUP BY spk) SELECT utt, spk, n FROM e JOIN (SELECT utt FROM vec WHERE utt < 20) t ON true")
+@query("b11_multisession", f"""
+WITH {R.VEC}, e AS (SELECT spk, i, avg(v[i]) AS u, count(*) AS n FROM vec, range(1, 65) r(i) WHERE utt % 50 <> 0 GROUP BY spk, i),
+t AS (SELECT utt, e.spk, u, v[i] AS v, n, 1.0 / i AS p FROM vec, e WHERE utt % 50 = 0)
+SELECT utt, spk, round(sum(-0.5 * (ln(1 + p / (n * p + 1)) + (v - n * p / (n * p + 1) * u) ** 2 / (1 + p / (n * p + 1))) + 0.5 * (ln(1 + p) + v ** 2 / (1 + p))), 5) AS llr FROM t GROUP BY utt, spk""")
 def _(spark, d):
+    """PLDA scores of every 50th vector against each speaker's mean of all others, by the number of those."""
     v = R.vectors(spark, d)
-    e = v.where("utt >= 100").groupBy("spk").agg(F.count("*").alias("n"))
-    return v.where("utt < 20").select("utt").join(F.broadcast(e), F.lit(True)).select("utt", "spk", "n")
+    gallery = v.where(R.GALLERY)
+    sessions = gallery.groupBy("spk").agg(F.count("*").cast("double").alias("n"))
+    means = S.mean_vectors(gallery, ["spk"]).withColumn("utt", -1 - F.col("spk"))
+    psi = F.array(*[F.lit(1.0 / i) for i in range(1, 65)])
+    scored = S.query_pairs(v.where(R.QUERY), means).join(sessions, "spk")
+    return scored.select(F.col("enroll").alias("utt"), "spk", F.round(V.plda_llr(F.col("y"), F.col("x"), psi, F.col("n")), 5).alias("llr"))
 
 
 @query("b16_two_speaker_sweep", f"WITH {R.VEC}, p AS (SELECT a.spk AS s1, b.spk AS s2 FROM (SELECT DISTINCT spk FROM vec) a JOIN (SELECT DISTINCT spk FROM vec) b ON a.spk < b.spk) SELECT s1, s2, e AS enrol_dur, q AS probe_dur FROM p, (VALUES (2), (5)) x(e), (VALUES (1), (3)) y(q)")

@@ -19,13 +19,15 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 UTT = "utt AS (SELECT 'u' || doc_id AS utt, source AS spk, lang, n_chars::DOUBLE / 100 AS dur FROM documents)"
 
 
-def vectors(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
-    """utt, spk, v (doubles) from embeddings; limit is the bound of a trial list's utterances."""
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """utt, spk, v (doubles) from embeddings."""
     e = table(spark, sf_dir, "embeddings")
-    e = e.where(F.col("vec_id") < limit) if limit is not None else e
     return e.select(F.col("vec_id").alias("utt"), F.col("label").alias("spk"), F.col("embedding").cast("array<double>").alias("v"))
 
 
+#: The queries of a trial list, against all rows; the others are the enrolment side where both should differ.
+QUERY, GALLERY = "utt % 50 = 0", "utt % 50 <> 0"
+
 VEC = "vec AS (SELECT vec_id AS utt, label AS spk, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
