@@ -14,7 +14,7 @@ import heapq
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -84,10 +84,19 @@ def telling_stems(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[str
             into.update({w: min(n, 3) for w, n in Counter(words).items()})  # a word repeated at length says no more
     ratio = sum(counts[0].values()) / max(1, sum(counts[1].values()))
     documents = Counter(w for words in toxic for w in set(words))
-    begun, usual = defaultdict(list), Counter()
+    least = max(3, len(toxic) // 50)
+    begun: dict[str, list[str]] = {}
+    usual = Counter()
+    for n in (*STEMS, None):  # by length, so that the many beginnings of few words are not held all at once
+        held = Counter()
+        for word, k in documents.items():
+            if n is None or n < len(word) + 2:
+                held[f" {word} "[:n]] += k
+        begun.update({stem: [] for stem, k in held.items() if k >= least})
     for word in counts[0]:
         for stem in _stems(word):
-            begun[stem].append(word)
+            if stem in begun:
+                begun[stem].append(word)
     for word, n in counts[1].items():
         for stem in _stems(word):
             if stem in begun:
@@ -95,7 +104,7 @@ def telling_stems(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[str
 
     def telling(stem: str, words: list[str]) -> float:
         n, expected = sum(counts[0][w] for w in words), (usual[stem] + 0.5) * ratio
-        if n < MORE * expected or sum(documents[w] for w in words) < max(3, len(toxic) // 50):
+        if n < MORE * expected or sum(documents[w] for w in words) < least:
             return 0.0
         value = n * math.log(n / expected) - (n - expected)
         return value if value >= LEAST else 0.0
@@ -205,7 +214,8 @@ def _fit_fold(key: tuple, rows: "pandas.DataFrame") -> "pandas.DataFrame":  # no
 
     fold = int(key[0])
     rows = rows.sort_values(["id", "text"])
-    words = [_words(t) for t in rows["text"]]
+    known: dict[str, str] = {}  # one object for each different word
+    words = [[known.setdefault(w, w) for w in _words(t)] for t in rows["text"]]
     parts: list[list] = [[], []]
     mine: list[list] = [[], []]
     for w, toxic, own in zip(words, rows["toxic"], rows["fold"], strict=True):
