@@ -114,3 +114,15 @@ def probit(p: Column) -> Column:
     r = mid * mid
     centre = poly(a, r) * mid / (poly(b, r) * r + 1)
     return F.when(p < 0.02425, tail(F.sqrt(-2 * F.log(p)))).when(p > 1 - 0.02425, -tail(F.sqrt(-2 * F.log(1 - p)))).otherwise(centre)
+
+
+def metrics_by_condition(df: DataFrame, condition: str, key: list[str], score: str = "score", target: str = "target") -> DataFrame:
+    """Condition, n, eer, min_dcf of every condition's trials; a sweep each, as conditions are few and large."""
+    out = None
+    for row in df.groupBy(condition).count().collect():
+        own = df.where(F.col(condition).eqNullSafe(F.lit(row[0])))
+        sweep = det_sweep(own, key, score, target)
+        both = eer(sweep, score).select("eer").join(min_dcf(sweep).select("min_dcf"), F.lit(True))
+        both = both.select(F.lit(row[0]).cast(df.schema[condition].dataType).alias(condition), F.lit(row["count"]).alias("n"), "eer", "min_dcf")
+        out = both if out is None else out.unionByName(both)
+    return out if out is not None else df.groupBy(condition).agg(F.count("*").alias("n")).withColumn("eer", F.lit(None).cast("double")).withColumn("min_dcf", F.lit(None).cast("double"))

@@ -180,7 +180,7 @@ def _(spark, d):
     return spark.range(1).select(F.inline(grid))
 
 
-@query("der_error_rate", f"""WITH {R.IV}, r AS (SELECT rec, label, b, e FROM iv WHERE id % 2 = 0), h AS (SELECT rec, label, b + 300 AS b, e + 900 AS e FROM iv WHERE id % 3 <> 0),
+@query("der_error_rate", f"""WITH {R.IV}, r AS (SELECT rec, label, b, e FROM iv), h AS (SELECT rec, CASE WHEN id % 3 = 0 THEN 'click' ELSE label END AS label, b + 300 AS b, e + 900 AS e FROM iv),
 ev AS (SELECT rec, label, b AS t, 1 AS dr, 0 AS dh FROM r UNION ALL SELECT rec, label, e, -1, 0 FROM r UNION ALL SELECT rec, label, b, 0, 1 FROM h UNION ALL SELECT rec, label, e, 0, -1 FROM h),
 c AS (SELECT DISTINCT rec, t, lead(t) OVER (PARTITION BY rec ORDER BY t) AS t2 FROM (SELECT DISTINCT rec, t FROM ev)),
 s AS (SELECT c.rec, c.t, c.t2, (SELECT count(DISTINCT label) FROM r WHERE r.rec = c.rec AND r.b <= c.t AND c.t < r.e) AS nr, (SELECT count(DISTINCT label) FROM h WHERE h.rec = c.rec AND h.b <= c.t AND c.t < h.e) AS nh,
@@ -188,9 +188,9 @@ s AS (SELECT c.rec, c.t, c.t2, (SELECT count(DISTINCT label) FROM r WHERE r.rec
 SELECT rec, sum(nr * (t2 - t))::BIGINT AS total, sum(greatest(nr - nh, 0) * (t2 - t))::BIGINT AS miss, sum(greatest(nh - nr, 0) * (t2 - t))::BIGINT AS false_alarm, sum((least(nr, nh) - ok) * (t2 - t))::BIGINT AS confusion FROM s GROUP BY rec""")
 def _(spark, d):
     iv = R.intervals(spark, d)
-    ref = iv.where("id % 2 = 0")
-    hyp = iv.where("id % 3 <> 0").withColumn("b", F.col("b") + 300).withColumn("e", F.col("e") + 900)
-    return I.error_rate(ref, hyp, ["rec"])
+    label = F.when(F.col("id") % 3 == 0, "click").otherwise(F.col("label"))
+    hyp = iv.withColumn("label", label).withColumn("b", F.col("b") + 300).withColumn("e", F.col("e") + 900)
+    return I.error_rate(iv, hyp, ["rec"])
 
 
 @query("der_error_rate_whole", f"""WITH {R.IV}, r AS (SELECT rec, label, b, e FROM iv), h AS (SELECT rec, label, b + 300 AS b, e + 900 AS e FROM iv),
@@ -1079,11 +1079,11 @@ def _(spark, d):
     return R.vectors(spark, d).join(need, "utt", "left_semi").select("utt", F.round(F.col("v")[0], 6).alias("first"))
 
 
-@query("u03_segment_rows", f"WITH {R.IV} SELECT rec || '-' || id AS seg, rec, b, e FROM iv WHERE id % 2 = 0 UNION ALL SELECT rec || '-whole', rec, min(b), max(e) FROM iv GROUP BY rec")
+@query("u03_segment_rows", f"WITH {R.IV} SELECT rec || '-' || id AS seg, rec, b, e FROM iv UNION ALL SELECT rec || '-whole', rec, min(b), max(e) FROM iv GROUP BY rec")
 def _(spark, d):
     iv = R.intervals(spark, d)
     rec = F.col("rec").cast("string")
-    own = iv.where("id % 2 = 0").select(F.concat_ws("-", rec, F.col("id").cast("string")).alias("seg"), "rec", "b", "e")
+    own = iv.select(F.concat_ws("-", rec, F.col("id").cast("string")).alias("seg"), "rec", "b", "e")
     whole = iv.groupBy("rec").agg(F.min("b").alias("b"), F.max("e").alias("e")).select(F.concat(rec, F.lit("-whole")).alias("seg"), "rec", "b", "e")
     return own.unionByName(whole)
 
@@ -1097,10 +1097,10 @@ def _(spark, d):
     return own.unionByName(whole)
 
 
-@query("u09_shard_union", "SELECT count(*) AS n FROM orders")
+@query("u09_shard_union", "SELECT o_orderkey, o_custkey FROM orders")
 def _(spark, d):
-    o = R.table(spark, d, "orders").select("o_orderkey")
-    return T.combine([o.where(F.col("o_orderkey") % 4 == k) for k in range(4)], "o_orderkey").agg(F.count("*").alias("n"))
+    o = R.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return T.combine([o.where(F.col("o_orderkey") % 4 == k) for k in range(4)], "o_orderkey")
 
 
 @query("a04_global_mean", f"WITH {R.VEC} SELECT i::INT AS i, round(avg(v[i + 1]), 6) AS x FROM vec, range(0, 64) r(i) GROUP BY i")
@@ -1161,10 +1161,13 @@ def _(spark, d):
     return R.table(spark, d, "documents").agg(F.expr("count(*) div 4 div 16").alias("batches"))
 
 
-@query("w13_metrics_by_condition", f"WITH {R.SCORES} SELECT cond, count(*) AS n, sum(target::INT)::BIGINT AS n_target, round(avg(score) FILTER (WHERE target), 6) AS mean_target FROM sc GROUP BY cond")
+@query("w13_metrics_by_condition", f"""
+WITH {R.SCORES}, dt AS (SELECT cond, row_number() OVER w AS pos, sum(target::INT) OVER w / sum(target::INT) OVER c AS fnr, 1 - sum(1 - target::INT) OVER w / sum(1 - target::INT) OVER c AS fpr
+  FROM sc WINDOW c AS (PARTITION BY cond), w AS (PARTITION BY cond ORDER BY score, target, key ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT cond, count(*) AS n, arg_min((fnr, fpr), pos) FILTER (WHERE fnr - fpr >= 0) AS a, arg_max((fnr, fpr), pos) FILTER (WHERE fnr - fpr < 0) AS b, min(0.01 * fnr + 0.99 * fpr) / 0.01 AS dcf FROM dt GROUP BY cond)
+SELECT cond, n, round(a[1] + (a[1] - a[2]) / (b[2] - a[2] - (b[1] - a[1])) * (b[1] - a[1]), 6) AS eer, round(nullif(dcf, 'nan'::DOUBLE), 6) AS min_dcf FROM p""")
 def _(spark, d):
-    s = R.target_scores(spark, d)
-    return r6(s.groupBy("cond").agg(F.count("*").alias("n"), F.sum(F.col("target").cast("long")).alias("n_target"), F.avg(F.when(F.col("target"), F.col("score"))).alias("mean_target")), "mean_target")
+    return r6(M.metrics_by_condition(R.target_scores(spark, d), "cond", ["key"]), "eer", "min_dcf")
 
 
 @query("w19_best_ranges", f"""WITH {_TURNS}, s AS (SELECT conv_id, turn AS pos, onset AS b, onset + n AS e FROM tu), r AS (SELECT x.conv_id, x.pos AS i, y.pos AS j, y.e - x.b AS len FROM s x JOIN s y ON x.conv_id = y.conv_id AND x.pos <= y.pos)
