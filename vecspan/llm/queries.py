@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspan.llm import exact_dedup, language, licenses, mixing, near_dedup, packing, quality, substring_dedup, toxicity, training_order
+from vecspan.llm import exact_dedup, language, licenses, mixing, near_dedup, packing, quality, spelling, substring_dedup, toxicity, training_order, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +187,52 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
+OP11_SQL = """
+WITH RECURSIVE table_of AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents
+  ) GROUP BY doc_id, run
+), coded AS (
+  SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM coded, table_of
+), cut AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), less AS (
+  SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS form_n FROM near GROUP BY word
+), forms AS (
+  SELECT b.word, min(e.other) AS form, b.form_n FROM best b JOIN words w ON b.word = w.word JOIN near e ON e.word = b.word AND e.other_n = b.form_n
+  WHERE b.form_n >= 5 * w.n GROUP BY b.word, b.form_n
+), steps AS (
+  SELECT word, form AS root FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON s.root = f.word
+), roots AS (
+  SELECT s.word, s.root FROM steps s LEFT JOIN forms f ON s.root = f.word WHERE f.word IS NULL
+)
+SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, f.form_n
+FROM words w LEFT JOIN best b ON w.word = b.word LEFT JOIN forms f ON w.word = f.word LEFT JOIN roots r ON w.word = r.word
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
@@ -198,6 +244,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_near_dedup": op10_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_whitening": op12_whitening,
 }
 SQL: dict[str, str] = {
     "op1_source_mixing": OP1_SQL,
@@ -205,4 +253,5 @@ SQL: dict[str, str] = {
     "op5_license_scan": _op5_sql(),
     "op6_exact_dedup": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
