@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspan.llm import exact_dedup, language, licenses, mixing, near_dedup, packing, quality, spelling, substring_dedup, toxicity, training_order, whitening
+from vecspan.llm import exact_dedup, language, licenses, mixing, near_dedup, packing, quality, shortest_pack, spelling, substring_dedup, toxicity, training_order, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,6 +233,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors))
 
 
+def op13_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shortest_pack.pack(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
@@ -246,6 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_whitening": op12_whitening,
+    "op13_shortest_pack": op13_shortest_pack,
 }
 SQL: dict[str, str] = {
     "op1_source_mixing": OP1_SQL,

@@ -94,3 +94,41 @@ def encoder(name: str = TOKENIZER) -> TextEncoder:
     import public_tokenizers
 
     return TextEncoder(name if os.path.isabs(name) else public_tokenizers.path(name))
+
+
+class WordEncoder:
+    """encode(text) -> ids as bytes, for a tokenizer file that drops white space before it merges.
+
+    Such a tokenizer's ids of a text are those of its parts between spaces and newlines, one after the other; a
+    bounded cache of parts saves most of the work, and a text's unknown parts are encoded in one call.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+        self._known: dict[str, bytes] = {}
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        parts = text.replace("\n", " ").split(" ")
+        if len(self._known) >= CACHE_PARTS:
+            self._known = {}
+        known = self._known
+        new = list(set(parts).difference(known))
+        for part, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = found.ids
+            known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(known.__getitem__, parts))
+
+
+@lru_cache(maxsize=2)
+def word_encoder(name: str) -> WordEncoder:
+    """The encoder of an installed tokenizer file (by name) or of one at a path."""
+    import os
+
+    import public_tokenizers
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return WordEncoder(name if os.path.isabs(name) else public_tokenizers.path(name))
