@@ -49,8 +49,28 @@ SCRIPTS = {
 _BOUNDS = sorted((lo, hi, k + 1) for k, ranges in enumerate(SCRIPTS.values()) for lo, hi in ranges)
 _LO, _HI, _ID = (np.array(x) for x in zip(*_BOUNDS))
 
-#: Runs of letters: of what counts as a word character, all numbers (also fractions, powers, Roman ones) are left out.
-_WORD = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
+#: Runs of what counts as a word character, but for decimal digits; some numbers are among it (see letter_runs).
+_WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile("a+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters of a text; all numbers (also fractions, powers, Roman ones) end a run."""
+    words = _WORD.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    return [text[begin:end] for begin, end in _run_places(text)]
+
+
+def _run_places(text: str) -> Iterator[tuple[int, int]]:
+    """Begin and end of each of letter_runs."""
+    for m in _WORD.finditer(text):
+        if m.group().isalpha():
+            yield m.span()
+        else:
+            kinds = "".join("a" if c.isalpha() else "0" for c in m.group())
+            for part in _LETTERS.finditer(kinds):
+                yield m.start() + part.start(), m.start() + part.end()
 
 
 def script_of(code_points: np.ndarray) -> np.ndarray:
@@ -166,7 +186,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         total = np.zeros((len(languages), n_buckets + len(SCRIPTS) + 1), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = _WORD.findall(text.as_py().lower())
+                words = letter_runs(text.as_py().lower())
                 if words:
                     buckets, _, _ = _trigrams(words, n_buckets)
                     total[number[lang], :n_buckets] += np.bincount(buckets, minlength=n_buckets)
@@ -206,7 +226,7 @@ def language_spans(docs: DataFrame, model: LanguageModel | None, id_col: str = "
                 docs, texts, total, hi = [], [], 0, lo
                 while hi < n and (hi == lo or total < block_words):
                     texts.append(column[hi].as_py() or "")
-                    docs.append(_WORD.findall(texts[-1]) if model else [])
+                    docs.append(letter_runs(texts[-1]) if model else [])
                     total += len(docs[-1])
                     hi += 1
                 preds, scores, spans = [], [], []
@@ -236,8 +256,8 @@ def _spans(text: str, labels: np.ndarray, languages: list[str]) -> list[tuple[in
     begins = [0]
     wanted = iter(turns.tolist())
     turn = next(wanted)
-    for k, m in enumerate(_WORD.finditer(text)):
+    for k, (begin, _) in enumerate(_run_places(text)):
         if k == turn:
-            begins.append(m.start())
+            begins.append(begin)
             turn = next(wanted, -1)
     return [{"begin": b, "end": e, "lang": languages[labels[k]]} for b, e, k in zip(begins, [*begins[1:], len(text)], [0, *turns.tolist()], strict=True)]
