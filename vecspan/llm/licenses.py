@@ -6,8 +6,9 @@ first. A block that reaches the overlap o = ceil(THRESHOLD * |template|) must ho
 first |template| - o + 1 tokens in that order (prefix filter), must have o tokens (length filter), and from a
 shared token on both must have enough tokens left (positional filter). What remains is verified exactly.
 
-Notices that are wrapped over lines are found by windows of as many words as the template has, at every start that
-holds one of its tokens, in texts that as a whole hold o tokens of it.
+Notices that are wrapped over lines are found by windows of as many words as the template has, in texts that as a
+whole hold o tokens of it: a window that reaches o holds a prefix token, so only windows about these are tried.
+Texts are tokenised once; of those that hold enough for some template the words are kept with their line numbers.
 """
 
 from __future__ import annotations
@@ -72,6 +73,11 @@ def _literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def _part(array: str, first: Column, last: Column) -> Column:
+    """Elements first .. last (from 0), in time of their number; slice() copies the whole array."""
+    return F.transform(F.sequence(first, last), lambda i: F.get(array, i))
+
+
 def token_documents(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many documents of (words) each token of the vocabulary stands; all documents count."""
     held = docs.select(F.explode(F.array_intersect("words", _literal(vocabulary))).alias("token"))
@@ -113,89 +119,106 @@ def prefix_tokens(documents: dict[str, int], templates: dict[str, str] = TEMPLAT
     return sorted(out)
 
 
-def template_windows(rows: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """row, line, last_line, begin_word, template, label, containment of windows over two or more lines that meet the threshold.
+def template_windows(rows: DataFrame, documents: dict[str, int], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """row, line, last_line, begin_word, template, label, containment of windows that meet the threshold.
 
-    rows has row, words, ends (words up to the end of each line) and held (the templates to look for). A window
-    of the template's number of words that meets the threshold still does when it begins at its first token of
-    the template, so only these starts are tried. Of windows that overlap the first of the best stays.
+    rows has row, words, line_of (the line of each word) and held (the templates to look for). A window of the
+    template's number of words that meets the threshold still does when it begins at its first token of the template,
+    and it holds a prefix token, so only such starts are tried. Windows that overlap are joined to one place, which
+    has the first begin, the last line and the best containment.
     """
-    sets = {t: sorted(set(t.split())) for t in templates}
-    fixed = [(t, s, len(t.split()), math.ceil(threshold * len(s) - 1e-9), templates[t]) for t, s in sets.items()]
-    fixed = F.broadcast(rows.sparkSession.createDataFrame(fixed, "template string, tokens array<string>, n int, need int, label string"))
-    near = rows.select("row", "words", "ends", F.explode("held").alias("template")).join(fixed, "template")
-    starts = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("tokens", w), i)), lambda i: i.isNotNull())
+    fixed = []
+    for template, label in templates.items():
+        tokens = sorted(set(template.split()), key=lambda w: (documents.get(w, 0), w))
+        need = math.ceil(threshold * len(tokens) - 1e-9)
+        fixed.append((template, tokens, tokens[: len(tokens) - need + 1], len(template.split()), need, label))
+    kind = "template string, tokens array<string>, prefix array<string>, n int, need int, label string"
+    fixed = F.broadcast(rows.sparkSession.createDataFrame(fixed, kind))
+    near = rows.select("row", "words", "line_of", F.explode("held").alias("template")).join(fixed, "template")
+    places = F.array_compact(F.transform("words", lambda w, i: F.when(F.array_contains("prefix", w), i)))
+    tried = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(p - F.col("n") + 1, F.lit(0)), p))))
+    starts = F.array_sort(F.filter(tried, lambda i: F.array_contains("tokens", F.get("words", i))))
 
     def window(i: Column) -> Column:
         last = F.least(i + F.col("n"), F.size("words")) - 1
         return F.struct(
             i.alias("begin_word"),
-            F.size(F.array_intersect(F.slice("words", i + 1, F.col("n")), "tokens")).alias("overlap"),
-            F.size(F.filter("ends", lambda e: e <= i)).alias("line"),
-            F.size(F.filter("ends", lambda e: e <= last)).alias("last_line"),
+            F.size(F.array_intersect(_part("words", i, last), "tokens")).alias("overlap"),
+            F.get("line_of", i).alias("line"),
+            F.get("line_of", last).alias("last_line"),
         )
 
-    def best(found: Column, w: Column) -> Column:
+    def joined(found: Column, w: Column) -> Column:
         last = F.get(found, F.size(found) - 1)
-        apart = last.isNull() | (w["begin_word"] >= last["begin_word"] + F.col("n"))
-        better = F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(w))
-        return F.when(apart, F.concat(found, F.array(w))).when(w["overlap"] > last["overlap"], better).otherwise(found)
+        apart = last.isNull() | (w["begin_word"] >= last["end"])
+        wider = F.struct(
+            last["begin_word"].alias("begin_word"),
+            F.greatest(last["overlap"], w["overlap"]).alias("overlap"),
+            last["line"].alias("line"),
+            w["last_line"].alias("last_line"),
+            (w["begin_word"] + F.col("n")).alias("end"),
+        )
+        own = F.struct(w["begin_word"].alias("begin_word"), w["overlap"].alias("overlap"), w["line"].alias("line"), w["last_line"].alias("last_line"), (w["begin_word"] + F.col("n")).alias("end"))
+        return F.when(apart, F.concat(found, F.array(own))).otherwise(F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(wider)))
 
-    near = near.withColumn("hits", F.filter(F.transform(starts, window), lambda w: (w["overlap"] >= F.col("need")) & (w["line"] < w["last_line"])))
-    none = F.array().cast("array<struct<begin_word:int,overlap:int,line:int,last_line:int>>")
-    near = near.select("row", "template", "label", F.size("tokens").alias("size"), F.explode(F.aggregate("hits", none, best)).alias("w"))
+    near = near.withColumn("hits", F.filter(F.transform(starts, window), lambda w: w["overlap"] >= F.col("need")))
+    none = F.array().cast("array<struct<begin_word:int,overlap:int,line:int,last_line:int,end:int>>")
+    near = near.where(F.size("hits") > 0).select("row", "template", "label", F.size("tokens").alias("size"), F.explode(F.aggregate("hits", none, joined)).alias("w"))
     return near.select("row", "w.line", "w.last_line", "w.begin_word", "template", "label", (F.col("w.overlap") / F.col("size")).alias("containment"))
 
 
+def _line_blocks(candidates: DataFrame, prefix: list[str]) -> DataFrame:
+    """row and blocks (line, begin_word, words) of the lines that hold a prefix token."""
+    first = F.transform("line_of", lambda x, i: F.when((i == 0) | (F.get("line_of", i - 1) != x), i))
+    firsts = candidates.select("row", "words", "line_of", F.array_compact(first).alias("firsts"))
+    ends = F.concat(F.slice("firsts", F.lit(2), F.greatest(F.size("firsts"), F.lit(1))), F.array(F.size("words")))
+
+    def block(begin: Column, end: Column) -> Column:
+        return F.struct(F.get("line_of", begin).alias("line"), begin.alias("begin_word"), _part("words", begin, end - 1).alias("words"))
+
+    lines = F.zip_with("firsts", ends, block)  # a lambda over firsts would work them out anew for each line
+    return firsts.select("row", F.filter(lines, lambda b: F.arrays_overlap(b["words"], _literal(prefix))).alias("blocks"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     n_base counts the places of all phrases; first_word and last_word are the smallest and largest of their
-    starts. blocks lists the matched lines (line, begin_word, template, label, containment), and the windows over
-    several lines none of which matches the template by itself, under their first line. score is 1 with a phrase, else the largest containment, else 0. Null text is empty; it and texts without a word have no
+    starts. blocks lists the matched lines (line, begin_word, template, label, containment), and the places of windows
+    over lines none of which matches the template by itself, under their first line. score is 1 with a phrase, else
+    the largest containment of a line or window, else 0. Null text is empty; it and texts without a word have no
     place and no label (empty strings). Repeated rows each give a row; an empty table gives an empty result.
     Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    worded = texts.withColumn("words", words_of(F.col("text")))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = texts.withColumn("words", words_of(F.col("text")))
     vocabulary = sorted({w for t in templates for w in t.split()})
-    documents = token_documents(worded, vocabulary)
-    prefix = prefix_tokens(documents, templates, threshold)
     starts = {p: F.col(f"_{k}") for k, p in enumerate(phrases)}
-    rows = worded.withColumn("row", F.monotonically_increasing_id())
     for k, p in enumerate(phrases):
         rows = rows.withColumn(f"_{k}", _phrase_starts(F.col("words"), p))
     places = F.concat(*starts.values())
     labels = F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(phrases[p])) for p, c in starts.items()]))
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("int").alias("line"), words_of(x).alias("words")))
-    near = F.filter(lines, lambda b: F.arrays_overlap(b["words"], _literal(prefix)))
-    begin = F.transform(
-        near,
-        lambda b: F.struct(
-            b["line"].alias("line"),
-            F.size(words_of(F.array_join(F.slice(F.split("text", "\n"), 1, b["line"]), "\n"))).alias("begin_word"),
-            b["words"].alias("words"),
-        ),
-    )
-    blocks = F.when(F.arrays_overlap("words", _literal(prefix)), begin).otherwise(F.array().cast("array<struct<line:int,begin_word:int,words:array<string>>>"))
-    rows = rows.withColumn("_held", F.array_intersect(_literal(vocabulary), "words"))
+    rows = rows.withColumn("tokens", F.array_intersect(_literal(vocabulary), "words"))
     needs = {t: math.ceil(threshold * len(set(t.split())) - 1e-9) for t in templates}
-    held = F.array_compact(F.array(*[F.when(F.size(F.array_intersect("_held", _literal(sorted(set(t.split()))))) >= need, F.lit(t)) for t, need in needs.items()]))
-    counts = F.transform(F.split("text", "\n"), lambda x: F.size(words_of(x)))
-    ends = F.transform(counts, lambda _, i: F.aggregate(F.slice(counts, 1, i + 1), F.lit(0), lambda a, b: a + b))
-    wide = F.when((F.size("_wide") > 0) & F.contains("text", F.lit("\n")), F.struct(F.col("words").alias("words"), ends.alias("ends"), F.col("_wide").alias("held")))
-    rows = rows.withColumn("_wide", held)
-    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.sort_array(places).alias("places"), F.array_sort(F.array_distinct(labels)).alias("base"), blocks.alias("near"), wide.alias("wide"))
+    held = F.array_compact(F.array(*[F.when(F.size(F.array_intersect("tokens", _literal(sorted(set(t.split()))))) >= need, F.lit(t)) for t, need in needs.items()]))
+    rows = rows.withColumn("held", held)
+    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.sort_array(places).alias("places"), F.array_sort(F.array_distinct(labels)).alias("base"), "tokens", "held", F.when(F.size("held") > 0, F.col("text")).alias("text"))
     rows = materialize(rows, "scanned")
-    found = template_blocks(rows.select("row", F.col("near").alias("blocks")), documents, templates, threshold)
-    windows = template_windows(rows.where("wide is not null").select("row", "wide.*"), templates, threshold)
-    lines = found.select("row", "template", F.col("line").alias("at"))
-    same = (windows["row"] == lines["row"]) & (windows["template"] == lines["template"]) & lines["at"].between(windows["line"], windows["last_line"])
-    found = found.unionByName(windows.join(lines, same, "left_anti").drop("last_line"))
-    found = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("line", "begin_word", "template", "label", "containment"))).alias("blocks"))
-    out = rows.join(found, "row", "left").withColumn("blocks", F.coalesce("blocks", F.array()))
-    own = F.transform("blocks", lambda b: b["label"])
-    best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))
+    documents = token_documents(rows.select(F.col("tokens").alias("words")), vocabulary)
+
+    lines = rows.where("text is not null").select("row", "held", F.transform(F.split("text", "\n"), words_of).alias("lines"))
+    placed = F.flatten(F.transform("lines", lambda ws, i: F.transform(ws, lambda _: i.cast("int"))))
+    candidates = materialize(lines.select("row", "held", F.flatten("lines").alias("words"), placed.alias("line_of")), "candidates")
+    found = materialize(template_blocks(_line_blocks(candidates, prefix_tokens(documents, templates, threshold)), documents, templates, threshold), "lines")
+    windows = materialize(template_windows(candidates, documents, templates, threshold), "windows")
+    best = found.select("row", "label", "containment").unionByName(windows.select("row", "label", "containment"))
+    best = best.groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("own"), F.max("containment").alias("best"))
+    same = found.select("row", "template", F.col("line").alias("at"))
+    wraps = windows.where("line < last_line")
+    over = (wraps["row"] == same["row"]) & (wraps["template"] == same["template"]) & same["at"].between(wraps["line"], wraps["last_line"])
+    blocks = found.unionByName(wraps.join(same, over, "left_anti").drop("last_line"))
+    blocks = blocks.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("line", "begin_word", "template", "label", "containment"))).alias("blocks"))
+    out = rows.drop("text", "tokens", "held").join(best, "row", "left").join(blocks, "row", "left")
     return out.select(
         "doc_id",
         "n_words",
@@ -203,7 +226,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         F.get("places", F.lit(0)).cast("long").alias("first_word"),
         F.get("places", F.size("places") - 1).cast("long").alias("last_word"),
         F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("base", own))), ",").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
-        "blocks",
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.coalesce("own", F.array())))), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.coalesce("blocks", F.array()).alias("blocks"),
     )

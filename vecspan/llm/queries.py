@@ -119,7 +119,17 @@ l AS (SELECT row, list_distinct(regexp_extract_all(line, '{word}')) AS words FRO
 m AS (
   SELECT row, tpl.label, len(list_intersect(l.words, tpl.words)) / len(list_distinct(tpl.words)) AS containment FROM l, tpl
   WHERE len(list_intersect(l.words, tpl.words)) >= ceil(0.8 * len(list_distinct(tpl.words)) - 1e-9)
-), method AS (SELECT row, list(label) AS labels, max(containment) AS best FROM m GROUP BY row)
+), h AS (
+  SELECT row, w.words AS words, tpl.words AS tokens, label, len(tpl.words) AS n, len(list_distinct(tpl.words)) AS size FROM w, tpl
+  WHERE len(list_intersect(w.words, tpl.words)) >= ceil(0.8 * len(list_distinct(tpl.words)) - 1e-9)
+), s AS (
+  SELECT row, label, len(list_intersect(words[i:i + n - 1], tokens)) / size AS containment FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM h)
+  WHERE list_contains(tokens, words[i])
+), method AS (
+  SELECT row, list(label) AS labels, max(containment) AS best FROM (
+    SELECT row, label, containment FROM m UNION ALL SELECT row, label, containment FROM s WHERE containment >= 0.8 - 1e-9
+  ) GROUP BY row
+)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word,
        array_to_string(coalesce(base.labels, []), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(method.labels, [])))), ',') AS labels,
