@@ -9,6 +9,7 @@ bounded cache of parts saves most of the work. Every other text is encoded in on
 from __future__ import annotations
 
 import json
+import re
 import struct
 from functools import lru_cache
 
@@ -96,31 +97,76 @@ def encoder(name: str = TOKENIZER) -> TextEncoder:
     return TextEncoder(name if os.path.isabs(name) else public_tokenizers.path(name))
 
 
+#: Parts that need no Unicode normalisation, and how the tokenizer cuts them once they are lower-cased.
+_PLAIN = re.compile("[!-~¡-ÿ]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
+#: Stands for the end of a word; no byte of UTF-8 is like it.
+_WORD_END = b"\xff"
+
+
 class WordEncoder:
-    """encode(text) -> ids as bytes, for a tokenizer file that drops white space before it merges.
+    """encode(text) -> ids as bytes, for a lower-casing BPE with word ends that drops white space.
 
-    Such a tokenizer's ids of a text are those of its parts between spaces and newlines, one after the other; a
-    bounded cache of parts saves most of the work, and a text's unknown parts are encoded in one call.
+    Such a tokenizer's ids of a text are those of its parts between spaces and newlines, one after the other, and
+    a part's those of its pieces; bounded caches of both save most of the work. A piece is merged by ranks, with a
+    byte of its own for the end of a word. Parts beyond Latin-1, with control characters or with special tokens are left to
+    the tokenizer itself. The ids are those of `Tokenizer.encode(text, add_special_tokens=False)`.
     """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self._special = [t["content"] for t in spec.get("added_tokens", [])]
+        suffix = spec["model"]["end_of_word_suffix"]
+        letters = _byte_letters()
+        ranks = {}
+        for token, number in spec["model"]["vocab"].items():
+            if token not in self._special:
+                whole = token.removesuffix(suffix)
+                ranks[bytes(map(letters.__getitem__, whole)) + _WORD_END * (whole != token)] = number
+        self._merge = tiktoken.Encoding("pieces", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self._pieces = _Cache(lambda piece: self._pack(self._merge(piece.encode() + _WORD_END)))
+        self._parts = _Cache(self._part)
+
+    def _part(self, part: str) -> bytes:
+        if part.isalpha() and part.isascii():
+            return self._pieces[part.lower()]
+        if _PLAIN.fullmatch(part) and not ("<" in part and any(s in part for s in self._special)):
+            return b"".join(map(self._pieces.__getitem__, _PIECES.findall(part.lower())))
+        return self._pack(self._tokenizer.encode(part, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = text.replace("\n", " ").split(" ")
-        if len(self._known) >= CACHE_PARTS:
-            self._known = {}
-        known = self._known
-        new = list(set(parts).difference(known))
-        for part, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = found.ids
-            known[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(known.__getitem__, parts))
+        return b"".join(map(self._parts.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Cache(dict):
+    """Key -> what make gives, kept until there are too many."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, key: str) -> bytes:
+        out = self._make(key)
+        if len(self) >= CACHE_PARTS:
+            self.clear()
+        self[key] = out
+        return out
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable Latin-1 as it is, others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
 @lru_cache(maxsize=2)
