@@ -430,6 +430,32 @@ def test_near_groups_among_unlike_texts_with_a_passage_in_common(spark):
     assert {r["doc_id"]: r["group_id"] for r in rows} == dict(enumerate(brute_groups(texts)))
 
 
+def test_near_groups_in_keys_of_many_texts(spark):
+    """2,000 texts with a passage in common; each is similar to one other that shares but five words with it beyond the passage."""
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for t in range(1000):
+        own = [f"b{t}x{i}" for i in range(10)]
+        texts += [" ".join(passage + own), " ".join(passage + [w if i % 2 else f"c{w}" for i, w in enumerate(own)])]
+    rows = near_dedup.near_groups(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["group_id"] for r in rows} == {i: i // 2 * 2 for i in range(len(texts))}
+
+
+def test_pairs_by_words_are_all_similar_pairs(spark):
+    """Words from a small vocabulary, in blocks of few texts, against all pairs."""
+    r = random.Random(6)
+    texts = []
+    for _ in range(60):
+        a = [f"w{int(r.paretovariate(0.7)) % 40}" for _ in range(r.randint(5, 40))]
+        texts += [" ".join(a)] + [" ".join(edited(a, near_dedup._limit(len(a)), r)).replace(".", "") for _ in range(2)]
+    words = [near_dedup.words_of(t) for t in texts]
+    rows = spark.createDataFrame([(i, i % 50, len(w)) for i, w in enumerate(words)], "row long, comp long, n_words long")
+    held = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {tuple(p) for p in near_dedup._pairs_by_words(rows, held, block=4).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i % 50 != j % 50]
+    assert {(i, j) for i, j in pairs if near_dedup.similar(words[i], words[j])} <= got <= set(pairs)
+
+
 def test_pairs_apart_are_all_pairs(spark):
     rows = [(k, r, 100 if r else 10, r // 3) for k in (1, 2) for r in range(20)] + [(3, 30, 5, 30), (3, 31, 5, 30)]
     members = spark.createDataFrame(rows, "key long, row long, n_words long, comp long")

@@ -4,10 +4,11 @@ A text's k-mers of words are labelled with their occurrence number. Each band ha
 PICK smallest and keeps these in text order; two texts of high edit similarity agree in some band as a whole
 with high probability, texts that share words in another order do not. Short texts have too few k-mers for that
 and are found exactly, by a segment that the edits leave whole. Texts that agree in a band or segment are linked
-through centres, which joins a large group without its pairs; every round takes other centres among the groups that a
-key still holds apart. All pairs that are then still apart are tried in the keys of at most SMALL_KEY texts; keys of
-more take further rounds until one finds no new link. Each link is verified by the edit distance within a band around the diagonal, and connected
-components of the verified links are the groups.
+through centres, which joins a large group without its pairs; every round takes other centres and deals anew. Then all
+pairs that a key still holds apart are found: in keys of at most SMALL_KEY texts all are compared, and the texts of
+larger keys, which mostly have a passage in common, by an exact join on their words: texts this similar share one of
+their rarest words among these texts, so those that share the passage alone never meet. Each link is verified by the
+edit distance within a band around the diagonal, and connected components of the verified links are the groups.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspan.llm.common import BROADCAST_ROWS, bounded_join, fresh_names, materialize, sqrt_buckets
@@ -35,10 +36,14 @@ SHORT_WORDS = 24
 LENGTH_CLASS = 1.6
 #: Words a task keeps the hashes of.
 KNOWN_WORDS = 200_000
-#: Rounds of linking through centres of all keys, and rounds at most if those of large keys keep finding links.
-ROUNDS, MOST_ROUNDS = 2, 8
-#: Texts of a key up to which all its pairs that are still apart are compared.
-SMALL_KEY = 256
+#: Rounds of linking through centres.
+ROUNDS = 2
+#: Texts of a key up to which all its pairs that are still apart are compared, and texts of a block of them.
+SMALL_KEY, PAIR_BLOCK = 256, 64
+#: Texts that hold one word among their rarest, up to which they are compared in one task.
+WORD_BLOCK = 2048
+#: Counts of words by hash, whose sum of differences is at most twice the edits.
+COUNTS = 64
 
 _WORD = re.compile(r"\w+")
 
@@ -268,36 +273,130 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _star_pairs(members: DataFrame, salts: int) -> DataFrame:
+def _star_pairs(members: DataFrame, salts: int, turn: int = 0) -> DataFrame:
     """Distinct pairs (a, b), a < b, that link the members (key, pick, row, n_words) of every key.
 
-    Members are dealt over salts and linked to the first of their salt; the firsts are linked to the first
+    Members are dealt over salts, anew each turn, and linked to the first of their salt; the firsts are linked to the first
     of the key. A key with a third of all rows so has groups of about the square root of their number.
     Pairs whose lengths alone rule out the similarity are left out.
     """
-    dealt = members.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).withColumn("mark", F.struct("pick", "row", "n_words"))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(salts)).cast("int")).withColumn("mark", F.struct("pick", "row", "n_words"))
     dealt = dealt.withColumn("first", F.min("mark").over(Window.partitionBy("key", "salt")))
     near = dealt.where("mark <> first").select("mark", "first")
     firsts = dealt.where("mark = first").select("key", "mark")
     firsts = firsts.withColumn("first", F.min("mark").over(Window.partitionBy("key")))
     both = near.unionByName(firsts.where("mark <> first").select("mark", "first"))
-    shorter, longer = F.least("mark.n_words", "first.n_words"), F.greatest("mark.n_words", "first.n_words")
-    both = both.where(longer - shorter <= F.floor((1 - SIMILARITY) * longer + 1e-9))
+    both = both.where(_alike_in_length(F.col("mark.n_words"), F.col("first.n_words")))
     return both.select(F.least("mark.row", "first.row").alias("a"), F.greatest("mark.row", "first.row").alias("b")).distinct()
 
 
-def _pairs_apart(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of the members (key, row, n_words, comp) of a small key that are in different comps.
+def _alike_in_length(n: Column, m: Column) -> Column:
+    """Whether texts of n and m words can be similar."""
+    longer = F.greatest(n, m)
+    return longer - F.least(n, m) <= F.floor((1 - SIMILARITY) * longer + 1e-9)
 
-    Pairs whose lengths alone rule out the similarity are left out.
+
+def _pairs_apart(members: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of all members (key, row, n_words, comp) of a key that are in different comps.
+
+    A key's members are dealt over blocks, and every two of these are a cell of the join, so no task needs all
+    pairs of a key. Pairs whose lengths alone rule out the similarity are left out.
     """
-    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    keys = keys.where((F.col("low") < F.col("high")) & (F.col("n") <= SMALL_KEY)).select("key")
-    apart = materialize(members.join(keys, "key").select("key", F.struct("row", "n_words", "comp").alias("x")), "apart")
-    both = apart.join(apart.withColumnRenamed("x", "y"), "key").where("x.row < y.row and x.comp <> y.comp")
-    shorter, longer = F.least("x.n_words", "y.n_words"), F.greatest("x.n_words", "y.n_words")
-    both = both.where(longer - shorter <= F.floor((1 - SIMILARITY) * longer + 1e-9))
-    return both.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
+    keys = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    dealt = members.join(materialize(keys.where("low < high").select("key", "n"), "keys"), "key")
+    dealt = materialize(dealt.withColumn("at", F.pmod(F.xxhash64("row"), F.col("n")).cast("int")), "apart")
+    mark = F.struct("row", "n_words", "comp")
+    left = dealt.select("key", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("n") - 1)).alias("j"), mark.alias("x"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), mark.alias("y"))
+    both = left.join(right, ["key", "i", "j"]).where("(i < j or x.row < y.row) and x.comp <> y.comp")
+    both = both.where(_alike_in_length(F.col("x.n_words"), F.col("y.n_words")))
+    return both.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+
+
+def _labelled_words(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """row, comp, n_words, counts (of its words by hash, a byte each) and words (hashes, each with its occurrence number)."""
+
+    def label(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known = _WordHash()
+        for batch in batches:
+            counts, labelled = [], []
+            for text in batch.column(3):
+                words = words_of(text.as_py())
+                ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                counts.append(np.minimum(np.bincount((ids % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes())
+                labelled.append(kmer_hashes(ids, 1).view(np.int64))
+            columns = [pa.array(counts, pa.binary()), pa.array(labelled, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["row", "comp", "n_words", "counts", "words"])
+
+    held = texts.join(rows, "row").select("row", "comp", "n_words", "text")
+    return held.mapInArrow(label, "row long, comp long, n_words long, counts binary, words array<long>")
+
+
+def _pairs_by_words(rows: DataFrame, texts: DataFrame, block: int = WORD_BLOCK) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows (row, comp, n_words) in different comps, among which are all similar ones.
+
+    Similar texts differ in at most _limit words, counted with their occurrences, so in any order of all words they
+    share one of their first _limit + 1. Words are ordered by the number of texts that hold them, rarest first, and words
+    that one text holds are gone before texts meet. Texts that share such a word are compared by length, component
+    and counts, in sorted order, where they are few; many are dealt over blocks, and every two of these are a cell.
+    """
+    held = materialize(_labelled_words(rows, texts), "held")
+    words = held.select("row", "n_words", F.explode("words").alias("word"))
+    number = materialize(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word_counts")
+    shared = words.join(number, "word").groupBy("row", "n_words").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("shared"))
+    first = F.floor((1 - SIMILARITY) * F.col("n_words") + 1e-9).cast("int") + 1 - (F.col("n_words").cast("int") - F.size("shared"))
+    posted = shared.select("row", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)))).alias("at")).select("row", "at.word")
+    posted = materialize(posted, "posted")
+    sizes = posted.groupBy("word").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.count("*").alias("size")).where("size > 1")
+    posted = posted.join(materialize(sizes.select("word", "n"), "sizes"), "word").join(held.drop("words"), "row")
+    posted = posted.withColumn("own", F.pmod(F.xxhash64("row"), F.col("n")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    cells = posted.withColumn("cell", F.explode(cells)).select("word", "cell.i", "cell.j", "own", "row", "comp", "n_words", "counts")
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def near(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+            """Pairs of a member of x and one of y; if these are one, of each two once."""
+            out = []
+            cx, cy = (np.stack(list(z["counts"])).astype(np.int16) for z in (x, y))
+            for k, (row, comp, n, _) in enumerate(x):
+                rest = slice(k + 1 if x is y else 0, None)
+                longer = np.maximum(y["n_words"][rest], n)
+                limit = np.floor((1 - SIMILARITY) * longer + 1e-9)
+                ok = (y["comp"][rest] != comp) & (np.abs(y["n_words"][rest] - n) <= limit)
+                at = np.flatnonzero(ok)
+                at = at[np.abs(cy[rest][at] - cx[k]).sum(axis=1) <= 2 * limit[at]]
+                out += [(min(row, r), max(row, r)) for r in y["row"][rest][at].tolist()]
+            return out
+
+        def pairs(cell: tuple, members: list) -> list[tuple[int, int]]:
+            kind = [("row", np.int64), ("comp", np.int64), ("n_words", np.int64), ("counts", object)]
+            x, y = (np.array([(r, c, n, np.frombuffer(b, np.uint8)) for own, r, c, n, b in members if own == side], kind) for side in cell[1:])
+            return near(x, x if cell[1] == cell[2] else y) if len(x) and len(y) else []
+
+        def packed(found: list) -> pa.RecordBatch:
+            columns = list(zip(*found)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+        held, cell, out = [], None, []
+        for batch in batches:
+            for word, i, j, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (word, i, j) != cell:
+                    if len(held) > 1:
+                        out += pairs(cell, held)
+                    held, cell = [], (word, i, j)
+                    if len(out) > 50_000:
+                        yield packed(out)
+                        out = []
+                held.append(member)
+        out += pairs(cell, held) if len(held) > 1 else []
+        yield packed(out)
+
+    cells = cells.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j")
+    return cells.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _shared_keys(unique: DataFrame) -> DataFrame:
@@ -359,15 +458,16 @@ def _unseen(pairs: DataFrame, seen: DataFrame | None) -> DataFrame:
     return pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, pick: int = PICK, rounds: int = MOST_ROUNDS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, pick: int = PICK, small: int = SMALL_KEY) -> DataFrame:
     """One row per input row: doc_id, group_id, group_size, kept.
 
     group_id is the smallest id of the group and its row is the one that stays (one of them, if rows repeat).
     Texts without a word (also null and empty ones) are groups of their own, row by row, as nothing says that
     they are alike; their group_id is their id. Null ids come after all others. An empty table gives an empty
-    result. Other columns are ignored.
+    result. Other columns are ignored. Of the texts that agree in a band or segment all similar ones are linked, however
+    many agree; texts of over SHORT_WORDS words that are similar agree in none with the chance that the README states.
     """
-    return _groups(_numbered(docs, id_col, text_col), bands, pick, rounds).drop("row")
+    return _groups(_numbered(docs, id_col, text_col), bands, pick, small).drop("row")
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -375,7 +475,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(rows, "numbered", "zstd")
 
 
-def _groups(numbered: DataFrame, bands: int, pick: int, rounds: int) -> DataFrame:
+def _groups(numbered: DataFrame, bands: int, pick: int, small: int) -> DataFrame:
     """row, doc_id, group_id, group_size, kept."""
     sketches = materialize(_sketches(numbered, bands, pick), "sketches")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("mark")
@@ -387,20 +487,24 @@ def _groups(numbered: DataFrame, bands: int, pick: int, rounds: int) -> DataFram
     shared = materialize(_shared_keys(unique), "shared")
     salts = sqrt_buckets(top.count())
     texts = materialize(numbered.select("row", "text").join(shared.select("row").distinct(), "row", "left_semi"), "candidates", "zstd")
-    large = materialize(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_KEY).select("key"), "large")
-    any_large = not large.isEmpty()
-    labels, seen, links, turn, new = None, None, None, 0, True
-    while turn < ROUNDS or (any_large and new and turn < rounds):
-        members = shared if turn < ROUNDS else bounded_join(shared, large, "key", "left_semi")
-        pairs = materialize(_unseen(_star_pairs(_representatives(_members(members, labels), turn), salts), seen), "pairs")
+    labels, seen, links = None, None, None
+    for turn in range(ROUNDS):
+        pairs = materialize(_unseen(_star_pairs(_representatives(_members(shared, labels), turn), salts, turn), seen), "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        turn, new = turn + 1, False
         if not pairs.isEmpty():
             found = materialize(_verified(pairs, texts), "links")
-            if new := not found.isEmpty():
+            if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = components(links)
-    pairs = materialize(_unseen(_pairs_apart(_members(shared, labels)), seen), "pairs")
+    members = materialize(_members(shared, labels), "members")
+    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    keys = materialize(keys.where("low < high").select("key", "n"), "keys_apart")
+    pairs = _pairs_apart(members.join(keys.where(F.col("n") <= small), "key").drop("n"))
+    large = keys.where(F.col("n") > small).select("key")
+    if not large.isEmpty():
+        hot = bounded_join(members, large, "key", "left_semi").select("row", "comp", "n_words").distinct()
+        pairs = pairs.unionByName(_pairs_by_words(materialize(hot, "hot_rows"), texts)).distinct()
+    pairs = materialize(_unseen(pairs, seen), "pairs")
     if not pairs.isEmpty():
         found = materialize(_verified(pairs, texts), "links")
         if not found.isEmpty():
@@ -420,10 +524,10 @@ def _groups(numbered: DataFrame, bands: int, pick: int, rounds: int) -> DataFram
     return out.unionByName(alone)
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, pick: int = PICK, rounds: int = MOST_ROUNDS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, pick: int = PICK, small: int = SMALL_KEY) -> DataFrame:
     """docs with one row of each group of near_groups; all columns stay as they are."""
     (row,) = fresh_names(docs, "row_number")
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     numbered = rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kept = _groups(numbered, bands, pick, rounds).where("kept").select(F.col("row").alias(row))
+    kept = _groups(numbered, bands, pick, small).where("kept").select(F.col("row").alias(row))
     return rows.join(kept, row, "left_semi").drop(row)
