@@ -13,10 +13,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspan.llm.common import materialize, running_offset, sqrt_buckets
+from vecspan.llm.common import join_ranks, materialize, running_offset, sqrt_buckets
 from vecspan.llm.tokens import END_ID, TOKENIZER, encoder
 
 CAPACITY = 1024
@@ -183,26 +183,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
             used[length] += repeats * times
             offset += length * times
         base += repeats
-    # per length its ranges of ranks: as many rows as lengths in the plan's patterns, which the capacity bounds
-    schema = "length long, lo long, hi long, times long, base long, first long"
-    by_length = spark.createDataFrame(places, schema).groupBy("length").agg(F.sort_array(F.collect_list(F.struct("hi", "lo", "times", "base", "first"))).alias("ranges"))
+    ranges = spark.createDataFrame(places, "length long, lo long, hi long, times long, base long, first long")
     total = int(histogram.sum())
     ranked = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(sqrt_buckets(total))).cast("int"))
     ranked = running_offset(ranked, ["length"], "bucket", ["row"], F.lit(1), "rank")
-    out = ranked.join(F.broadcast(by_length), "length")
-    out = out.withColumn("at", _range_of(F.col("ranges"), F.col("rank"))).drop("ranges")
-    turn = F.col("rank") - F.col("at.lo")
+    out = join_ranks(ranked, ranges, "length")
+    turn = F.col("rank") - F.col("lo")
     return out.select(
         "doc_id",
         "piece",
         "start",
         "length",
         "ids_crc32",
-        (F.col("at.base") + F.floor(turn / F.col("at.times"))).cast("long").alias("sequence_id"),
-        (F.col("at.first") + turn % F.col("at.times") * F.col("length")).cast("long").alias("offset"),
+        (F.col("base") + F.floor(turn / F.col("times"))).cast("long").alias("sequence_id"),
+        (F.col("first") + turn % F.col("times") * F.col("length")).cast("long").alias("offset"),
     )
-
-
-def _range_of(ranges: Column, rank: Column) -> Column:
-    """The range with lo <= rank < hi."""
-    return F.element_at(F.filter(ranges, lambda r: (r["lo"] <= rank) & (rank < r["hi"])), 1)
