@@ -1,54 +1,56 @@
-"""Interval algebra: rows of (group, begin, end[, label]) with times as whole milliseconds or frames."""
+"""Interval algebra: rows of (group, begin, end[, label]) with times as whole milliseconds or frames.
+
+What runs along a group's time does so in slices (see plans/slices.py), so one long recording is no single task.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecspan.plans import slices
+from vecspan.plans.slices import GROUP, SLICE
+
 
-def merge_labels(df: DataFrame, group: list[str], seq: list[str], begin: str = "b", end: str = "e", label: str = "label") -> DataFrame:
+def merge_labels(df: DataFrame, group: list[str], seq: list[str], begin: str = "b", end: str = "e", label: str = "label", rows: int = slices.SLICE_ROWS) -> DataFrame:
     """Merge overlapping sub-windows in arrival order: group, label, b, e.
 
     Neighbours of one label that touch or overlap are one piece; where the label changes within an overlap
-    both pieces end at its middle.
+    both pieces end at its middle. The first of seq is a number along which rows come, null in none that counts.
     """
-    w = Window.partitionBy(*group).orderBy(*seq)
     order = [f"_s{k}" for k in range(len(seq))]
-    cur = df.select(
-        *group, *[F.col(c).alias(o) for c, o in zip(seq, order, strict=True)], F.col(begin).alias("b"), F.col(end).alias("e"), F.col(label).alias("label"),
-        F.lag(end).over(w).alias("pe"), F.lag(label).over(w).alias("pl"), F.lead(begin).over(w).alias("nb"), F.lead(label).over(w).alias("nl"),
-    )
-    opens = F.col("pe").isNull() | (F.col("b") > F.col("pe"))
-    w = Window.partitionBy(*group).orderBy(*order)
+    keys = [F.col(c).alias(o) for c, o in zip(seq, order, strict=True)]
+    cur = slices.sliced(df, group, seq[0], [*keys, F.col(begin).alias("b"), F.col(end).alias("e"), F.col(label).alias("label")], rows)
+    cur = slices.neighbours(cur, order, ["b", "e", "label"])
+    opens = F.col("before.e").isNull() | (F.col("b") > F.col("before.e"))
+    turns, turned = F.col("label") != F.col("before.label"), F.col("after.label") != F.col("label")
     cur = cur.select(
-        *group, *order, "label",
-        (opens | (F.col("label") != F.col("pl"))).cast("int").alias("start"),
-        F.when(opens, F.col("b").cast("double")).when(F.col("label") != F.col("pl"), (F.col("b") + F.col("pe")) / 2).alias("ib"),
-        F.when(F.col("nb").isNull() | (F.col("nb") > F.col("e")), F.col("e").cast("double")).when(F.col("nl") != F.col("label"), (F.col("nb") + F.col("e")) / 2).alias("ie"),
+        GROUP, SLICE, *order, "label",
+        F.coalesce(opens | turns, F.lit(False)).cast("int").alias("start"),
+        F.when(opens, F.col("b").cast("double")).when(turns, (F.col("b") + F.col("before.e")) / 2).alias("ib"),
+        F.when(F.col("after.b").isNull() | (F.col("after.b") > F.col("e")), F.col("e").cast("double")).when(turned, (F.col("after.b") + F.col("e")) / 2).alias("ie"),
     )
-    cur = cur.withColumn("piece", F.sum("start").over(w))
-    return cur.groupBy(*group, "piece").agg(F.first("label").alias("label"), F.max("ib").alias("b"), F.max("ie").alias("e")).drop("piece")
+    cur = slices.sums(cur, order, {"piece": F.col("start")})
+    return cur.groupBy(GROUP, "piece").agg(F.first("label").alias("label"), F.max("ib").alias("b"), F.max("ie").alias("e")).select(f"{GROUP}.*", "label", "b", "e")
 
 
-def union(df: DataFrame, group: list[str], begin: str = "b", end: str = "e", min_length: int = 0) -> DataFrame:
+def union(df: DataFrame, group: list[str], begin: str = "b", end: str = "e", min_length: int = 0, rows: int = slices.SLICE_ROWS) -> DataFrame:
     """The union of each group's intervals as disjoint ones of at least min_length; touching ones are joined."""
-    w = Window.partitionBy(*group).orderBy(begin, end)
-    far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cur = df.withColumn("_new", (far.isNull() | (F.col(begin) > far)).cast("int"))
-    cur = cur.withColumn("_island", F.sum("_new").over(w))
-    out = cur.groupBy(*group, "_island").agg(F.min(begin).alias("b"), F.max(end).alias("e")).drop("_island")
+    cur = slices.sliced(df, group, begin, [F.col(begin).alias("b"), F.col(end).alias("e")], rows)
+    cur = slices.max_before(cur, ["b", "e"], "e", "far")
+    cur = slices.sums(cur, ["b", "e"], {"island": (F.col("far").isNull() | (F.col("b") > F.col("far"))).cast("int")})
+    out = cur.groupBy(GROUP, "island").agg(F.min("b").alias("b"), F.max("e").alias("e")).select(f"{GROUP}.*", "b", "e")
     return out.where(F.col("e") - F.col("b") >= min_length)
 
 
-def overlap_regions(df: DataFrame, group: list[str], begin: str = "b", end: str = "e", depth: int = 2) -> DataFrame:
+def overlap_regions(df: DataFrame, group: list[str], begin: str = "b", end: str = "e", depth: int = 2, rows: int = slices.SLICE_ROWS) -> DataFrame:
     """Stretches covered by at least `depth` intervals; at equal times ends come first."""
     events = df.select(*group, F.col(begin).alias("t"), F.lit(1).alias("d")).unionByName(df.select(*group, F.col(end).alias("t"), F.lit(-1).alias("d")))
-    w = Window.partitionBy(*group).orderBy("t", "d")
-    run = events.withColumn("n", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = slices.sums(slices.sliced(events, group, "t", ["t", "d"], rows), ["t", "d"], {"n": F.col("d")})
     n, before = F.col("n"), F.col("n") - F.col("d")
-    edges = run.where(((before < depth) & (n >= depth)) | ((before >= depth) & (n < depth)))
-    edges = edges.withColumn("e", F.lead("t").over(w))
-    return edges.where(F.col("n") >= depth).select(*group, F.col("t").alias("b"), "e")
+    edges = run.where(((before < depth) & (n >= depth)) | ((before >= depth) & (n < depth))).select(GROUP, SLICE, "t", "d")
+    edges = slices.sums(edges, ["t", "d"], {"k": F.lit(1)})  # they rise and fall by turns
+    return edges.groupBy(GROUP, F.floor((F.col("k") - 1) / 2)).agg(F.min("t").alias("b"), F.max("t").alias("e")).select(f"{GROUP}.*", "b", "e")
 
 
 def subtract(segments: DataFrame, holes: DataFrame, group: list[str], seg_id: str = "id") -> DataFrame:
@@ -62,11 +64,12 @@ def subtract(segments: DataFrame, holes: DataFrame, group: list[str], seg_id: st
     return pieces.select(*group, seg_id, "p.b", "p.e").where("b < e")
 
 
-def runs(df: DataFrame, group: list[str], frame: str = "frame", label: str = "cls") -> DataFrame:
+def runs(df: DataFrame, group: list[str], frame: str = "frame", label: str = "cls", rows: int = slices.SLICE_ROWS) -> DataFrame:
     """Contiguous frames of one class: group, class, first and last frame (the end is exclusive)."""
-    w = Window.partitionBy(*group, label).orderBy(frame)
-    cur = df.withColumn("_k", F.col(frame) - F.row_number().over(w))
-    return cur.groupBy(*group, label, "_k").agg(F.min(frame).alias("b"), (F.max(frame) + 1).alias("e")).drop("_k")
+    cur = slices.sliced(df, [*group, label], frame, [F.col(frame).alias("at")], rows)
+    cur = slices.sums(cur, ["at"], {"k": F.lit(1)})
+    out = cur.groupBy(GROUP, (F.col("at") - F.col("k")).alias("run")).agg(F.min("at").alias("b"), (F.max("at") + 1).alias("e"))
+    return out.select(f"{GROUP}.*", "b", "e")
 
 
 def bursts(df: DataFrame, group: list[str], seq: str, flag: str, begin: str = "b", end: str = "e") -> DataFrame:
@@ -174,7 +177,7 @@ def growing_windows(df: DataFrame, size: int, stride: int, length: str = "n", wa
     return out.drop("_k")
 
 
-def error_rate(reference: DataFrame, hypothesis: DataFrame, group: list[str], label: str = "label") -> DataFrame:
+def error_rate(reference: DataFrame, hypothesis: DataFrame, group: list[str], label: str = "label", rows: int = slices.SLICE_ROWS) -> DataFrame:
     """Diarization error per group: total, miss, false_alarm, confusion (times), with labels already mapped.
 
     Time is cut at every border; in each stretch the larger of the speaker counts minus the agreeing
@@ -188,16 +191,15 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, group: list[str], la
     for m in marks[1:]:
         events = events.unionByName(m)
     per = events.groupBy(*group, "label", "t").agg(F.sum("dr").alias("dr"), F.sum("dh").alias("dh"))
-    w = Window.partitionBy(*group, "label").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn("nr", (F.sum("dr").over(w) > 0).cast("int")).withColumn("nh", (F.sum("dh").over(w) > 0).cast("int"))
-    prev = Window.partitionBy(*group, "label").orderBy("t")
-    both = (F.col("nr") * F.col("nh")).alias("both")
-    step = per.select(*group, "label", "t", "nr", "nh", both)
-    step = step.select(*group, "t", *[(F.col(c) - F.coalesce(F.lag(c).over(prev), F.lit(0))).alias(c) for c in ("nr", "nh", "both")])
-    step = step.groupBy(*group, "t").agg(*[F.sum(c).alias(c) for c in ("nr", "nh", "both")])
-    g = Window.partitionBy(*group).orderBy("t")
-    run = g.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = step.select(*group, (F.lead("t").over(g) - F.col("t")).alias("d"), *[F.sum(c).over(run).alias(c) for c in ("nr", "nh", "both")]).where("d > 0")
+    per = slices.sliced(per, [*group, "label"], "t", ["t", "dr", "dh"], rows)
+    per = slices.sums(per, ["t"], {"ref": F.col("dr"), "hyp": F.col("dh")})
+    now = [(F.col(x) > 0).cast("int") for x in ("ref", "hyp")]
+    past = [(F.col(x) - F.col(y) > 0).cast("int") for x, y in (("ref", "dr"), ("hyp", "dh"))]
+    change = [now[0] - past[0], now[1] - past[1], now[0] * now[1] - past[0] * past[1]]
+    step = per.groupBy(*[F.col(f"{GROUP}.{g}").alias(g) for g in group], "t").agg(*[F.sum(c).alias(x) for c, x in zip(change, ("nr", "nh", "both"))])
+    step = slices.sliced(step, group, "t", ["t", "nr", "nh", "both"], rows)
+    step = slices.neighbours(slices.sums(step, ["t"], {"r": F.col("nr"), "h": F.col("nh"), "c": F.col("both")}), ["t"], ["t"])
+    step = step.select(*[F.col(f"{GROUP}.{g}").alias(g) for g in group], (F.col("after.t") - F.col("t")).alias("d"), F.col("r").alias("nr"), F.col("h").alias("nh"), F.col("c").alias("both")).where("d > 0")
     r, h, c, d = (F.col(x) for x in ("nr", "nh", "both", "d"))
     return step.groupBy(*group).agg(
         F.sum(r * d).alias("total"),
