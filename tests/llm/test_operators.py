@@ -437,8 +437,10 @@ def test_near_groups_in_keys_of_many_texts(spark):
     for t in range(1000):
         own = [f"b{t}x{i}" for i in range(10)]
         texts += [" ".join(passage + own), " ".join(passage + [w if i % 2 else f"c{w}" for i, w in enumerate(own)])]
-    rows = near_dedup.near_groups(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
-    assert {r["doc_id"]: r["group_id"] for r in rows} == {i: i // 2 * 2 for i in range(len(texts))}
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    for small in (near_dedup.SMALL_KEY, 100):
+        rows = near_dedup.near_groups(docs, small=small).collect()
+        assert {r["doc_id"]: r["group_id"] for r in rows} == {i: i // 2 * 2 for i in range(len(texts))}
 
 
 def test_pairs_by_words_are_all_similar_pairs(spark):
@@ -451,6 +453,7 @@ def test_pairs_by_words_are_all_similar_pairs(spark):
     words = [near_dedup.words_of(t) for t in texts]
     rows = spark.createDataFrame([(i, i % 50, len(w)) for i, w in enumerate(words)], "row long, comp long, n_words long")
     held = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    rows = rows.join(near_dedup._sketches(held.withColumn("doc_id", F.col("row")), 4, 2).select("row", "counts"), "row")
     got = {tuple(p) for p in near_dedup._pairs_by_words(rows, held, block=4).collect()}
     pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i % 50 != j % 50]
     assert {(i, j) for i, j in pairs if near_dedup.similar(words[i], words[j])} <= got <= set(pairs)

@@ -5,7 +5,7 @@ PICK smallest and keeps these in text order; two texts of high edit similarity a
 with high probability, texts that share words in another order do not. Short texts have too few k-mers for that
 and are found exactly, by a segment that the edits leave whole. Texts that agree in a band or segment are linked
 through centres, which joins a large group without its pairs; every round takes other centres and deals anew. Then all
-pairs that a key still holds apart are found: in keys of at most SMALL_KEY texts all are compared, and the texts of
+pairs that a key still holds apart are found: in keys of at most SMALL_KEY texts all are compared by counts of words, and the texts of
 larger keys, which mostly have a passage in common, by an exact join on their words: texts this similar share one of
 their rarest words among these texts, so those that share the passage alone never meet. Each link is verified by the
 edit distance within a band around the diagonal, and connected components of the verified links are the groups.
@@ -38,12 +38,10 @@ LENGTH_CLASS = 1.6
 KNOWN_WORDS = 200_000
 #: Rounds of linking through centres.
 ROUNDS = 2
-#: Texts of a key up to which all its pairs that are still apart are compared, and texts of a block of them.
-SMALL_KEY, PAIR_BLOCK = 256, 64
-#: Texts that hold one word among their rarest, up to which they are compared in one task.
-WORD_BLOCK = 2048
+#: Texts of a key up to which all pairs that are still apart are compared in one task.
+SMALL_KEY = 2048
 #: Counts of words by hash, whose sum of differences is at most twice the edits.
-COUNTS = 64
+COUNTS = 256
 
 _WORD = re.compile(r"\w+")
 
@@ -235,7 +233,7 @@ def similar(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
 
 
 def _sketches(numbered: DataFrame, n_bands: int, pick: int) -> DataFrame:
-    """row, doc_id, digest (two hashes of the word sequence), n_words, bands."""
+    """row, doc_id, digest (two hashes of the word sequence), n_words, counts (of the words by hash, a byte each), bands."""
 
     def sketch(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -243,19 +241,20 @@ def _sketches(numbered: DataFrame, n_bands: int, pick: int) -> DataFrame:
 
         known = _WordHash()
         for batch in batches:
-            digests, counts, bands = [], [], []
+            digests, sizes, counts, bands = [], [], [], []
             for text in batch.column(2):
                 words = words_of(text.as_py() or "")
                 ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
                 digests.append(xxh3_128_digest(ids.tobytes()))
-                counts.append(len(words))
+                sizes.append(len(words))
+                counts.append(np.minimum(np.bincount((ids % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes())
                 bands.append(sketch_keys(ids, n_bands, pick))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "digest", "n_words", "bands"],
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "digest", "n_words", "counts", "bands"],
             )
 
-    return numbered.select("row", "doc_id", "text").mapInArrow(sketch, "row long, doc_id long, digest binary, n_words long, bands array<long>")
+    return numbered.select("row", "doc_id", "text").mapInArrow(sketch, "row long, doc_id long, digest binary, n_words long, counts binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -296,85 +295,40 @@ def _alike_in_length(n: Column, m: Column) -> Column:
     return longer - F.least(n, m) <= F.floor((1 - SIMILARITY) * longer + 1e-9)
 
 
-def _pairs_apart(members: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of all members (key, row, n_words, comp) of a key that are in different comps.
+def _pairs_apart(members: DataFrame, block: int = SMALL_KEY) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of all members (key, row, n_words, comp[, counts]) of a key that are in different comps.
 
-    A key's members are dealt over blocks, and every two of these are a cell of the join, so no task needs all
-    pairs of a key. Pairs whose lengths alone rule out the similarity are left out.
+    A key's members are dealt over blocks of about `block`, and every two blocks are a cell that is compared in one
+    task, in sorted order. Pairs whose lengths or counts alone rule out the similarity are left out there, so only
+    pairs that may well be similar leave a task.
     """
+    if "counts" not in members.columns:
+        members = members.withColumn("counts", F.lit(b""))
     keys = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     dealt = members.join(materialize(keys.where("low < high").select("key", "n"), "keys"), "key")
-    dealt = materialize(dealt.withColumn("at", F.pmod(F.xxhash64("row"), F.col("n")).cast("int")), "apart")
-    mark = F.struct("row", "n_words", "comp")
-    left = dealt.select("key", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("n") - 1)).alias("j"), mark.alias("x"))
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), mark.alias("y"))
-    both = left.join(right, ["key", "i", "j"]).where("(i < j or x.row < y.row) and x.comp <> y.comp")
-    both = both.where(_alike_in_length(F.col("x.n_words"), F.col("y.n_words")))
-    return both.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
-
-
-def _labelled_words(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """row, comp, n_words, counts (of its words by hash, a byte each) and words (hashes, each with its occurrence number)."""
-
-    def label(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        known = _WordHash()
-        for batch in batches:
-            counts, labelled = [], []
-            for text in batch.column(3):
-                words = words_of(text.as_py())
-                ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                counts.append(np.minimum(np.bincount((ids % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes())
-                labelled.append(kmer_hashes(ids, 1).view(np.int64))
-            columns = [pa.array(counts, pa.binary()), pa.array(labelled, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["row", "comp", "n_words", "counts", "words"])
-
-    held = texts.join(rows, "row").select("row", "comp", "n_words", "text")
-    return held.mapInArrow(label, "row long, comp long, n_words long, counts binary, words array<long>")
-
-
-def _pairs_by_words(rows: DataFrame, texts: DataFrame, block: int = WORD_BLOCK) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows (row, comp, n_words) in different comps, among which are all similar ones.
-
-    Similar texts differ in at most _limit words, counted with their occurrences, so in any order of all words they
-    share one of their first _limit + 1. Words are ordered by the number of texts that hold them, rarest first, and words
-    that one text holds are gone before texts meet. Texts that share such a word are compared by length, component
-    and counts, in sorted order, where they are few; many are dealt over blocks, and every two of these are a cell.
-    """
-    held = materialize(_labelled_words(rows, texts), "held")
-    words = held.select("row", "n_words", F.explode("words").alias("word"))
-    number = materialize(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word_counts")
-    shared = words.join(number, "word").groupBy("row", "n_words").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("shared"))
-    first = F.floor((1 - SIMILARITY) * F.col("n_words") + 1e-9).cast("int") + 1 - (F.col("n_words").cast("int") - F.size("shared"))
-    posted = shared.select("row", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)))).alias("at")).select("row", "at.word")
-    posted = materialize(posted, "posted")
-    sizes = posted.groupBy("word").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.count("*").alias("size")).where("size > 1")
-    posted = posted.join(materialize(sizes.select("word", "n"), "sizes"), "word").join(held.drop("words"), "row")
-    posted = posted.withColumn("own", F.pmod(F.xxhash64("row"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("row"), F.col("n")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    cells = posted.withColumn("cell", F.explode(cells)).select("word", "cell.i", "cell.j", "own", "row", "comp", "n_words", "counts")
+    cells = dealt.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "own", "row", "comp", "n_words", "counts")
+
+    def near(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs of a member of x and one of y; if these are one, of each two once."""
+        out = []
+        cx, cy = (np.stack(list(z["counts"])).astype(np.int16) for z in (x, y))
+        for k, (row, comp, n, _) in enumerate(x):
+            rest = slice(k + 1 if x is y else 0, None)
+            limit = np.floor((1 - SIMILARITY) * np.maximum(y["n_words"][rest], n) + 1e-9)
+            at = np.flatnonzero((y["comp"][rest] != comp) & (np.abs(y["n_words"][rest] - n) <= limit))
+            at = at[np.abs(cy[rest][at] - cx[k]).sum(axis=1) <= 2 * limit[at]]
+            out += [(min(row, r), max(row, r)) for r in y["row"][rest][at].tolist()]
+        return out
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def near(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-            """Pairs of a member of x and one of y; if these are one, of each two once."""
-            out = []
-            cx, cy = (np.stack(list(z["counts"])).astype(np.int16) for z in (x, y))
-            for k, (row, comp, n, _) in enumerate(x):
-                rest = slice(k + 1 if x is y else 0, None)
-                longer = np.maximum(y["n_words"][rest], n)
-                limit = np.floor((1 - SIMILARITY) * longer + 1e-9)
-                ok = (y["comp"][rest] != comp) & (np.abs(y["n_words"][rest] - n) <= limit)
-                at = np.flatnonzero(ok)
-                at = at[np.abs(cy[rest][at] - cx[k]).sum(axis=1) <= 2 * limit[at]]
-                out += [(min(row, r), max(row, r)) for r in y["row"][rest][at].tolist()]
-            return out
-
-        def pairs(cell: tuple, members: list) -> list[tuple[int, int]]:
-            kind = [("row", np.int64), ("comp", np.int64), ("n_words", np.int64), ("counts", object)]
-            x, y = (np.array([(r, c, n, np.frombuffer(b, np.uint8)) for own, r, c, n, b in members if own == side], kind) for side in cell[1:])
+        kind = [("row", np.int64), ("comp", np.int64), ("n_words", np.int64), ("counts", object)]
+
+        def pairs(cell: tuple, held: list) -> list[tuple[int, int]]:
+            x, y = (np.array([(r, c, n, np.frombuffer(b, np.uint8)) for own, r, c, n, b in held if own == side], kind) for side in cell[1:])
             return near(x, x if cell[1] == cell[2] else y) if len(x) and len(y) else []
 
         def packed(found: list) -> pa.RecordBatch:
@@ -383,11 +337,11 @@ def _pairs_by_words(rows: DataFrame, texts: DataFrame, block: int = WORD_BLOCK)
 
         held, cell, out = [], None, []
         for batch in batches:
-            for word, i, j, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (word, i, j) != cell:
+            for key, i, j, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != cell:
                     if len(held) > 1:
                         out += pairs(cell, held)
-                    held, cell = [], (word, i, j)
+                    held, cell = [], (key, i, j)
                     if len(out) > 50_000:
                         yield packed(out)
                         out = []
@@ -395,8 +349,41 @@ def _pairs_by_words(rows: DataFrame, texts: DataFrame, block: int = WORD_BLOCK)
         out += pairs(cell, held) if len(held) > 1 else []
         yield packed(out)
 
-    cells = cells.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j")
-    return cells.mapInArrow(compare, "a long, b long").distinct()
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _labelled_words(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """row, n_words, words (hashes, each with its occurrence number) of the rows' texts."""
+
+    def label(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known = _WordHash()
+        for batch in batches:
+            labelled = []
+            for text in batch.column(2):
+                words = words_of(text.as_py())
+                labelled.append(kmer_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(labelled, pa.list_(pa.int64()))], names=["row", "n_words", "words"])
+
+    held = texts.join(rows, "row").select("row", "n_words", "text")
+    return held.mapInArrow(label, "row long, n_words long, words array<long>")
+
+
+def _pairs_by_words(rows: DataFrame, texts: DataFrame, block: int = SMALL_KEY) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows (row, comp, n_words[, counts]) in different comps, among which are all similar ones.
+
+    Similar texts differ in at most _limit words, counted with their occurrences, so in any order of all words they
+    share one of their first _limit + 1. Words are ordered by the number of texts that hold them, rarest first, and words
+    that one text holds are gone before texts meet. Texts that share such a word are compared as in _pairs_apart.
+    """
+    words = materialize(_labelled_words(rows, texts).select("row", "n_words", F.explode("words").alias("word")), "words")
+    number = materialize(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word_counts")
+    shared = words.join(number, "word").groupBy("row", "n_words").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("shared"))
+    first = F.floor((1 - SIMILARITY) * F.col("n_words") + 1e-9).cast("int") + 1 - (F.col("n_words").cast("int") - F.size("shared"))
+    posted = shared.select("row", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)))).alias("at")).select("row", F.col("at.word").alias("key"))
+    return _pairs_apart(materialize(posted.join(rows, "row"), "posted"), block)
 
 
 def _shared_keys(unique: DataFrame) -> DataFrame:
@@ -499,10 +486,12 @@ def _groups(numbered: DataFrame, bands: int, pick: int, small: int) -> DataFrame
     members = materialize(_members(shared, labels), "members")
     keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     keys = materialize(keys.where("low < high").select("key", "n"), "keys_apart")
-    pairs = _pairs_apart(members.join(keys.where(F.col("n") <= small), "key").drop("n"))
-    large = keys.where(F.col("n") > small).select("key")
+    counts = sketches.select("row", "counts")
+    apart = members.join(keys, "key")
+    pairs = _pairs_apart(materialize(apart.where(F.col("n") <= small).drop("n").join(counts, "row"), "apart"), small)
+    large = apart.where(F.col("n") > small)
     if not large.isEmpty():
-        hot = bounded_join(members, large, "key", "left_semi").select("row", "comp", "n_words").distinct()
+        hot = large.select("row", "comp", "n_words").distinct().join(counts, "row")
         pairs = pairs.unionByName(_pairs_by_words(materialize(hot, "hot_rows"), texts)).distinct()
     pairs = materialize(_unseen(pairs, seen), "pairs")
     if not pairs.isEmpty():
