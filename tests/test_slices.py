@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 
 from vecspan.operators import intervals as I
+from vecspan.operators.clustering import hysteresis
+from vecspan.operators.speech import speech_segments
 
 LABELS = "ab"
 
@@ -111,3 +113,15 @@ def test_no_window_over_a_whole_recording(spark):
         for k, line in enumerate(plan):
             if "Window [" in line and "_slice" not in line.split("], [")[1]:
                 assert "Aggregate [_group" in plan[k + 1] or "Project" in plan[k + 1] and "Aggregate [_group" in plan[k + 2], plan[k : k + 3]
+
+
+@pytest.mark.parametrize("pad, least", [(0, 0), (3, 0), (2, 9)])
+def test_speech_of_a_hot_recording(spark, pad, least):
+    """Slices against the state machine that goes from frame to frame."""
+    r = random.Random(pad)
+    recs = {rec: [r.choice([0.1, 0.1, 0.4, 0.9]) if k // 15 % 3 else r.choice([0.1, 0.9, 0.9]) for k in range(n)] for rec, n in ((7, 900), (1, 40), (2, 1), (None, 60))}
+    recs[3] = [0.1] * 30
+    df = spark.createDataFrame([(rec, k, p) for rec, found in recs.items() for k, p in enumerate(found)], "rec int, frame long, p double").repartition(3)
+    want = [(rec, *x) for rec, found in recs.items() for x in hysteresis(found, silence=4, speech=3, pad=pad, least=least)]
+    out = speech_segments(df, ["rec"], silence=4, speech=3, pad=pad, least=least, rows=50)
+    assert len(want) > 20 and got(out, "rec", "b", "e") == sorted(want, key=str)

@@ -953,18 +953,24 @@ def _(spark, d):
     return out.select(F.unix_seconds("window.start").alias("begin"), "event_type", "n")
 
 
-@query("w09_speech_hysteresis")
-def _(spark, d):
-    from vecspan.operators.clustering import hysteresis
-
-    def run(pdf):
-        import pandas as pd
-
-        found = hysteresis(pdf.sort_values("frame")["p"].tolist(), silence=2, speech=3)
-        return pd.DataFrame([(pdf["rec"].iloc[0], s, e) for s, e in found], columns=["rec", "b", "e"])
+@query("w09_speech_hysteresis", f"""
+WITH RECURSIVE {_FRAMES}, p AS (SELECT rec, frame, CASE cls WHEN 0 THEN 0.1 WHEN 1 THEN 0.8 ELSE 0.45 END AS p, count(*) OVER (PARTITION BY rec) AS n FROM fr),
+st AS (
+  SELECT DISTINCT rec, -1::BIGINT AS frame, n, NULL::BIGINT AS s, NULL::BIGINT AS e, NULL::BIGINT AS found_b, NULL::BIGINT AS found_e FROM p
+  UNION ALL
+  SELECT st.rec, p.frame, st.n,
+    CASE WHEN p.p >= 0.5 THEN coalesce(s, p.frame) WHEN p.p < 0.35 AND s IS NOT NULL AND p.frame - coalesce(e, p.frame) >= 2 THEN NULL ELSE s END,
+    CASE WHEN p.p >= 0.5 THEN NULL WHEN p.p < 0.35 AND s IS NOT NULL THEN CASE WHEN p.frame - coalesce(e, p.frame) >= 2 THEN NULL ELSE coalesce(e, p.frame) END ELSE e END,
+    CASE WHEN p.p < 0.35 AND s IS NOT NULL AND p.frame - coalesce(e, p.frame) >= 2 AND e - s > 3 THEN s END,
+    CASE WHEN p.p < 0.35 AND s IS NOT NULL AND p.frame - coalesce(e, p.frame) >= 2 AND e - s > 3 THEN e END
+  FROM st JOIN p ON st.rec = p.rec AND p.frame = st.frame + 1
+)
+SELECT rec, found_b AS b, found_e AS e FROM st WHERE found_b IS NOT NULL UNION ALL SELECT rec, s, n FROM st WHERE frame = n - 1 AND s IS NOT NULL""")
+def _(spark, d):
+    from vecspan.operators.speech import speech_segments
 
     p = _frames(spark, d).withColumn("p", F.when(F.col("cls") == 0, 0.1).when(F.col("cls") == 1, 0.8).otherwise(0.45))
-    return p.groupBy("rec").applyInPandas(run, "rec long, b long, e long")
+    return speech_segments(p, ["rec"], silence=2, speech=3)
 
 
 @query("w18_balanced_groups")
