@@ -116,13 +116,44 @@ def probit(p: Column) -> Column:
     return F.when(p < 0.02425, tail(F.sqrt(-2 * F.log(p)))).when(p > 1 - 0.02425, -tail(F.sqrt(-2 * F.log(1 - p)))).otherwise(centre)
 
 
-def metrics_by_condition(df: DataFrame, condition: str, key: list[str], score: str = "score", target: str = "target") -> DataFrame:
-    """Condition, n, eer, min_dcf of every condition's trials; a sweep each, as conditions are few and large."""
-    out = None
-    for row in df.groupBy(condition).count().collect():
-        own = df.where(F.col(condition).eqNullSafe(F.lit(row[0])))
-        sweep = det_sweep(own, key, score, target)
-        both = eer(sweep, score).select("eer").join(min_dcf(sweep).select("min_dcf"), F.lit(True))
-        both = both.select(F.lit(row[0]).cast(df.schema[condition].dataType).alias(condition), F.lit(row["count"]).alias("n"), "eer", "min_dcf")
-        out = both if out is None else out.unionByName(both)
-    return out if out is not None else df.groupBy(condition).agg(F.count("*").alias("n")).withColumn("eer", F.lit(None).cast("double")).withColumn("min_dcf", F.lit(None).cast("double"))
+def score_counts(df: DataFrame, condition: str, score: str = "score", target: str = "target", rows: int = 50_000) -> DataFrame:
+    """Of every condition and score: targets and non-targets there (t, u), below (t0, u0) and in all (nt, nu).
+
+    Equal scores are counted before anything is sorted, so ties of any size are one row. Scores are dealt into ranges
+    of about `rows` of them, each is sorted in its own task, for all conditions at once. Trials without a score are left out.
+    """
+    t = F.col(target).cast("int")
+    cells = df.where(F.col(score).isNotNull()).groupBy(F.struct(condition).alias("_c"), F.col(score).cast("double").alias("_score"))
+    cells = cells.agg(F.sum(t).alias("t"), F.sum(1 - t).alias("u"))
+    cells = range_bucket(cells, "_score", max(1, -(-cells.count() // rows)), "_b")
+    run = running_sums(cells, "_b", ["_score"], {"t0": F.col("t"), "u0": F.col("u")}, ["_c"])
+    total = cells.groupBy("_c").agg(F.sum("t").alias("nt"), F.sum("u").alias("nu"))
+    run = run.withColumns({"t0": F.col("t0") - F.col("t"), "u0": F.col("u0") - F.col("u")})
+    return run.join(total, "_c").select(F.col(f"_c.{condition}").alias(condition), F.col("_score").alias(score), "t", "u", "t0", "u0", "nt", "nu")
+
+
+def metrics_by_condition(df: DataFrame, condition: str, key: list[str], score: str = "score", target: str = "target", p_target: float = 0.01, c_miss: float = 1.0, c_fa: float = 1.0) -> DataFrame:
+    """Condition, n, eer, min_dcf of every condition's trials, as W10 to W12 give them, in one plan for all conditions.
+
+    Along the trials of one score, non-targets first, the rates change evenly, so the trials at which the miss rate
+    passes the false alarm rate, and those of least cost, follow from the counts. key orders trials that are alike, on
+    which nothing depends. Conditions without targets or non-targets have null metrics.
+    """
+    c = score_counts(df, condition, score, target)
+    t, u, t0, u0, nt, nu = (F.col(x) for x in ("t", "u", "t0", "u0", "nt", "nu"))
+
+    def at(targets: Column, others: Column) -> Column:
+        return F.struct((t0 + targets + u0 + others).alias("pos"), ((t0 + targets) / F.nullif(nt, F.lit(0))).alias("fnr"), (1 - (u0 + others) / F.nullif(nu, F.lit(0))).alias("fpr"))
+
+    # the first trial of this score at which fnr >= fpr: among its non-targets, or else among its targets
+    others = F.greatest(F.ceil((nu * (nt - t0) - u0 * nt) / F.nullif(nt, F.lit(0))), F.lit(1)).cast("long")
+    targets = F.greatest(F.ceil(((nu - u0 - u) * nt - t0 * nu) / F.nullif(nu, F.lit(0))), F.lit(1)).cast("long")
+    whole = (nt > 0) & (nu > 0)
+    first = F.when(whole & (u > 0) & (others <= u), at(F.lit(0), others)).when(whole & (t > 0) & (targets <= t), at(targets, u))
+    low = F.when(~whole, None).when((u > 0) & (others <= u), F.when(others > 1, at(F.lit(0), others - 1)))
+    low = low.when((t > 0) & (targets <= t), F.when(targets > 1, at(targets - 1, u)).when(u > 0, at(F.lit(0), u))).otherwise(at(t, u))
+    least = F.when(u > 0, at(F.lit(0), u)).otherwise(at(F.lit(1), F.lit(0)))
+    cost = (c_miss * p_target * least["fnr"] + c_fa * (1 - p_target) * least["fpr"]) / min(c_miss * p_target, c_fa * (1 - p_target))
+    ends = c.groupBy(condition).agg(F.sum(t + u).alias("n"), F.min(first).alias("x1"), F.max(low).alias("x2"), F.min(cost).alias("min_dcf"))
+    a = (F.col("x1.fnr") - F.col("x1.fpr")) / (F.col("x2.fpr") - F.col("x2.fnr") - (F.col("x1.fpr") - F.col("x1.fnr")))
+    return ends.select(condition, "n", (F.col("x1.fnr") + a * (F.col("x2.fnr") - F.col("x1.fnr"))).alias("eer"), "min_dcf")
