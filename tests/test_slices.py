@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 import pytest
 
 from vecspan.operators import intervals as I
+from vecspan.operators.clustering import hold_filter as held_classes
 from vecspan.operators.clustering import hysteresis
-from vecspan.operators.speech import speech_segments
+from vecspan.operators.speech import hold_filter, speech_segments
 
 LABELS = "ab"
 
@@ -125,3 +126,14 @@ def test_speech_of_a_hot_recording(spark, pad, least):
     want = [(rec, *x) for rec, found in recs.items() for x in hysteresis(found, silence=4, speech=3, pad=pad, least=least)]
     out = speech_segments(df, ["rec"], silence=4, speech=3, pad=pad, least=least, rows=50)
     assert len(want) > 20 and got(out, "rec", "b", "e") == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("hold", [0, 1, 4])
+def test_held_classes_of_a_hot_recording(spark, hold):
+    r = random.Random(hold)
+    recs = {}
+    for rec, n in ((7, 700), (1, 30), (2, 1), (None, 60)):
+        recs[rec] = [c for _ in range(n) for c in [r.randrange(3)] * r.choice([1, 1, 2, 6])][:n]
+    df = spark.createDataFrame([(rec, k, c) for rec, found in recs.items() for k, c in enumerate(found)], "rec int, frame long, cls int").repartition(3)
+    want = [(rec, k, c) for rec, found in recs.items() for k, c in enumerate(held_classes(found, hold))]
+    assert got(hold_filter(df, ["rec"], hold=hold, rows=40), "rec", "frame", "held") == sorted(want, key=str)

@@ -973,6 +973,21 @@ def _(spark, d):
     return speech_segments(p, ["rec"], silence=2, speech=3)
 
 
+@query("w08_hold_filter", f"""
+WITH RECURSIVE {_FRAMES}, st AS (
+  SELECT rec, frame, cls, cls AS held, 0 AS against FROM fr WHERE frame = 0
+  UNION ALL
+  SELECT fr.rec, fr.frame, fr.cls, CASE WHEN fr.cls <> held AND against + 1 > 2 THEN fr.cls ELSE held END,
+         CASE WHEN fr.cls = held OR against + 1 > 2 THEN 0 ELSE against + 1 END
+  FROM st JOIN fr ON st.rec = fr.rec AND fr.frame = st.frame + 1
+)
+SELECT rec, frame::BIGINT AS frame, cls, held FROM st""")
+def _(spark, d):
+    from vecspan.operators.speech import hold_filter
+
+    return hold_filter(_frames(spark, d), ["rec"], hold=2)
+
+
 @query("w18_balanced_groups")
 def _(spark, d):
     from vecspan.operators.clustering import balance_durations

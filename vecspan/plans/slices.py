@@ -55,3 +55,14 @@ def neighbours(df: DataFrame, order: list[str], values: list[str], before: str =
     both = df.join(cells, [GROUP, SLICE])
     both = both.withColumns({before: F.coalesce(F.lag(own).over(within), "_earlier"), after: F.coalesce(F.lead(own).over(within), "_later")})
     return both.drop("_earlier", "_later")
+
+
+def next_of(df: DataFrame, order: list[str], flag: str, values: list[str], out: str) -> DataFrame:
+    """df with a struct of the values of the next flagged row after each row in its group; null if none follows."""
+    place, own = F.struct(*order), F.struct(*values)
+    cells = df.groupBy(GROUP, SLICE).agg(F.min_by(F.when(F.col(flag), own), F.when(F.col(flag), place)).alias("_first"))
+    later = Window.partitionBy(GROUP).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
+    cells = cells.select(GROUP, SLICE, F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    within = Window.partitionBy(GROUP, SLICE).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    both = df.join(cells, [GROUP, SLICE])
+    return both.withColumn(out, F.coalesce(F.first(F.when(F.col(flag), own), ignorenulls=True).over(within), "_later")).drop("_later")
