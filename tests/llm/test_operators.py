@@ -456,7 +456,13 @@ def test_pairs_by_words_are_all_similar_pairs(spark):
     rows = rows.join(near_dedup._sketches(held.withColumn("doc_id", F.col("row")), 4, 2).select("row", "counts"), "row")
     got = {tuple(p) for p in near_dedup._pairs_by_words(rows, held, block=4).collect()}
     pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i % 50 != j % 50]
-    assert {(i, j) for i, j in pairs if near_dedup.similar(words[i], words[j])} <= got <= set(pairs)
+    similar = {(i, j) for i, j in pairs if near_dedup.similar(words[i], words[j])}
+    assert similar <= got <= set(pairs)
+    members = rows.withColumn("key", F.lit(5).cast("long")).join(near_dedup._short_words(rows.select("row"), held), "row")
+    for block in (7, 1000):
+        kept = {tuple(p) for p in near_dedup._pairs_apart(members, block).collect()}
+        shared = {(i, j): sum((Counter(words[i]) & Counter(words[j])).values()) for i, j in pairs}
+        assert kept == {(i, j) for (i, j), n in shared.items() if n >= max(len(words[i]), len(words[j])) - near_dedup._limit(max(len(words[i]), len(words[j])))} >= similar
 
 
 def test_pairs_apart_are_all_pairs(spark):

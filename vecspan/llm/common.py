@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecspan.plans.prefix import join_ranks  # noqa: F401  (shared by the packing operators)
+
 #: A table of at most this many rows (of a key and a few numbers) may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -90,24 +92,6 @@ def running_offset(df: DataFrame, group: list[str], bucket: str, order: list[str
     return joined.withColumn(out, (F.col("_before") + F.sum(weight).over(within) - weight).cast("long")).drop("_before")
 
 
-def join_ranks(rows: DataFrame, ranges: DataFrame, group: str, cell: int = 50_000) -> DataFrame:
-    """rows (group, rank, ...) with the columns of the range (group, lo, hi, ...) of the group that has lo <= rank < hi.
-
-    Ranges of a group don't overlap; rows outside all of them are left out. Both sides are dealt by group and cells of
-    ranks, sorted there, and each range is carried forward over its rows, so a task holds the rows and ranges of one
-    cell and no side is broadcast.
-    """
-    there = [c for c in ranges.columns if c != group]
-    width = F.lit(cell).cast("long")
-    cells = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))
-    ends = ranges.where("lo < hi").select(group, F.struct(*there).alias("range"), cells.alias("cell"))
-    ends = ends.select(group, "cell", F.greatest("range.lo", F.col("cell") * width).alias("at"), F.lit(0).alias("kind"), "range", F.lit(None).cast(rows.select(F.struct("*").alias("x")).schema["x"].dataType).alias("row"))
-    own = rows.select(group, F.floor(F.col("rank") / width).alias("cell"), F.col("rank").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(ends.schema["range"].dataType).alias("range"), F.struct("*").alias("row"))
-    last = Window.partitionBy(group, "cell").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = ends.unionByName(own).withColumn("range", F.last("range", ignorenulls=True).over(last)).where("kind = 1 and at < range.hi")
-    return found.select("row.*", *[F.col(f"range.{c}").alias(c) for c in there])
-
-
 def hash_bucket(hex_column: str, n: int) -> Column:
     """Bucket 0..n-1 by the first 32 bits of a hex digest; buckets follow the digest's order."""
     return F.floor(F.conv(F.substring(hex_column, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * F.lit(n)).cast("int")
