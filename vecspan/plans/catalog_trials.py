@@ -62,3 +62,23 @@ SELECT e.i, e.kind, e.utt AS enroll, t.utt AS test, t.role = 'target' AS target
 def _(spark, d):
     u = R.utterances(spark, d).where("spk is not null")
     return sampling.labelled_trials(T.bands(u, "spk"), 500, 8)
+
+
+_CONDITIONS = [(2, 1), (5, 4), (20, 10), (40, 30)]
+
+
+@query("b16_duration_sweep", f"""
+WITH {R.VEC}, p AS (SELECT spk, v, row_number() OVER (PARTITION BY spk ORDER BY utt) - 1 AS place, count(*) OVER (PARTITION BY spk) AS n FROM vec WHERE v IS NOT NULL AND spk IS NOT NULL),
+c(enrol, probe) AS (VALUES {', '.join(map(str, _CONDITIONS))}),
+x AS (SELECT spk, enrol, probe, i, sum(v[i]) FILTER (WHERE place < enrol) AS g, sum(v[i]) FILTER (WHERE place >= greatest(n - probe, enrol + 1) AND place < greatest(n - probe, enrol + 1) + probe) AS s
+  FROM p, c, range(1, 65) r(i) WHERE n >= enrol + 1 + probe GROUP BY spk, enrol, probe, i),
+u AS (SELECT spk, enrol, probe, i, g / sqrt(sum(g * g) OVER w) AS g, s / sqrt(sum(s * s) OVER w) AS s FROM x WINDOW w AS (PARTITION BY spk, enrol, probe)),
+k AS (SELECT a.spk AS a, b.spk AS b, enrol, probe FROM (SELECT DISTINCT spk FROM p) a JOIN (SELECT DISTINCT spk FROM p) b ON a.spk < b.spk, c),
+d AS (SELECT k.a, k.b, k.enrol, k.probe, sum(y.s * y.g) >= sum(y.s * z.g) AS ra, sum(z.s * z.g) > sum(z.s * y.g) AS rb
+  FROM k LEFT JOIN u y ON k.a = y.spk AND k.enrol = y.enrol AND k.probe = y.probe LEFT JOIN u z ON k.b = z.spk AND k.enrol = z.enrol AND k.probe = z.probe AND y.i = z.i GROUP BY k.a, k.b, k.enrol, k.probe)
+SELECT enrol, probe, count(*) AS pairs, count(*) FILTER (WHERE ra IS NULL) AS skipped, coalesce(sum(ra::INT + rb::INT), 0)::BIGINT AS correct,
+  coalesce(sum(ra::INT + rb::INT), 0)::DOUBLE / nullif(2 * count(*) FILTER (WHERE ra IS NOT NULL), 0) AS accuracy FROM d GROUP BY enrol, probe""")
+def _(spark, d):
+    from vecspan.operators.durations import two_speaker_sweep
+
+    return two_speaker_sweep(R.vectors(spark, d), _CONDITIONS, 1, 20_000, 4)
