@@ -10,7 +10,7 @@ from vecspan.operators import durations as D
 
 def test_duration_sweep(spark):
     r = random.Random(5)
-    spk = {s: [[r.gauss(m, 1) for m in (s, 1, -s)] for _ in range(n)] for s, n in ((1, 300), (2, 40), (3, 7), (4, 25))}
+    spk = {s: [[r.gauss(m, 1) for m in (s, 1, -s)] for _ in range(n)] for s, n in ((1, 300), (2, 60), (3, 7), (4, 25))}
     rows = [(s, 10 * k, v) for s, vs in spk.items() for k, v in enumerate(vs)] + [(None, 1, [1.0, 1.0, 1.0]), (2, 5, None)]
     frames = spark.createDataFrame(rows, "spk int, utt long, v array<double>").repartition(3)
     conditions, guard = [(2, 1), (10, 5), (30, 12)], 2
