@@ -468,7 +468,10 @@ def test_pairs_by_words_are_all_similar_pairs(spark):
 def test_pairs_apart_are_all_pairs(spark):
     rows = [(k, r, 100 if r else 10, r // 3) for k in (1, 2) for r in range(20)] + [(3, 30, 5, 30), (3, 31, 5, 30)]
     members = spark.createDataFrame(rows, "key long, row long, n_words long, comp long")
+    keys = members.groupBy("row").agg(F.collect_list("key").alias("keys"))
+    again = near_dedup._pairs_apart(members.join(keys, "row"), block=4)
     got = [tuple(p) for p in near_dedup._pairs_apart(members, block=4).collect()]
+    assert sorted(map(tuple, again.collect())) == sorted(got)
     assert sorted(got) == [(a, b) for a in range(1, 20) for b in range(a + 1, 20) if a // 3 != b // 3]
 
 

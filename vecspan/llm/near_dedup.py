@@ -296,27 +296,30 @@ def _alike_in_length(n: Column, m: Column) -> Column:
 
 
 def _pairs_apart(members: DataFrame, block: int = SMALL_KEY) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of all members (key, row, n_words, comp[, counts, words]) of a key that are in different comps.
+    """Distinct pairs (a, b), a < b, of all members (key, row, n_words, comp[, counts, words, keys]) of a key that are in different comps.
 
     A key's members are dealt over blocks of about `block`, and every two blocks are a cell that is compared in one
     task, in sorted order. Pairs whose lengths, counts of words or words (see _short_words) alone rule out the similarity are
-    left out there, so only pairs that may well be similar leave a task.
+    left out there, so only pairs that may well be similar leave a task. keys are all keys of the row: a pair then leaves
+    one of its common keys only.
     """
     if "counts" not in members.columns:
         members = members.withColumn("counts", F.lit(b""))
     if "words" not in members.columns:
         members = members.withColumn("words", F.lit(None).cast("binary"))
+    if "keys" not in members.columns:
+        members = members.withColumn("keys", F.array("key"))
     keys = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     dealt = members.join(materialize(keys.where("low < high").select("key", "n"), "keys"), "key")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("row"), F.col("n")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    cells = dealt.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "own", "row", "comp", "n_words", "counts", "words")
+    cells = dealt.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "own", "row", "comp", "n_words", "counts", "words", "keys")
 
-    def near(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    def near(key: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
         """Pairs of a member of x and one of y; if these are one, of each two once."""
         out = []
         cx, cy = (np.stack(list(z["counts"])).astype(np.int16) for z in (x, y))
-        for k, (row, comp, n, _, words) in enumerate(x):
+        for k, (row, comp, n, _, words, keys) in enumerate(x):
             rest = slice(k + 1 if x is y else 0, None)
             limit = np.floor((1 - SIMILARITY) * np.maximum(y["n_words"][rest], n) + 1e-9)
             at = np.flatnonzero((y["comp"][rest] != comp) & (np.abs(y["n_words"][rest] - n) <= limit))
@@ -324,17 +327,19 @@ def _pairs_apart(members: DataFrame, block: int = SMALL_KEY) -> DataFrame:
             if words is not None and len(at):
                 shared = [int((z[np.minimum(np.searchsorted(z, words), len(z) - 1)] == words).sum()) for z in y["words"][rest][at]]
                 at = at[np.array(shared) >= np.maximum(y["n_words"][rest][at], n) - limit[at]]
-            out += [(min(row, r), max(row, r)) for r in y["row"][rest][at].tolist()]
+            for r, others in zip(y["row"][rest][at].tolist(), y["keys"][rest][at]):
+                if min(keys & others) == key:
+                    out.append((min(row, r), max(row, r)))
         return out
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = [("row", np.int64), ("comp", np.int64), ("n_words", np.int64), ("counts", object), ("words", object)]
+        kind = [("row", np.int64), ("comp", np.int64), ("n_words", np.int64), ("counts", object), ("words", object), ("keys", object)]
 
         def pairs(cell: tuple, held: list) -> list[tuple[int, int]]:
-            x, y = (np.array([(r, c, n, np.frombuffer(b, np.uint8), w and np.frombuffer(w, np.uint32)) for own, r, c, n, b, w in held if own == side], kind) for side in cell[1:])
-            return near(x, x if cell[1] == cell[2] else y) if len(x) and len(y) else []
+            x, y = (np.array([(r, c, n, np.frombuffer(b, np.uint8), w and np.frombuffer(w, np.uint32), frozenset(k)) for own, r, c, n, b, w, k in held if own == side], kind) for side in cell[1:])
+            return near(cell[0], x, x if cell[1] == cell[2] else y) if len(x) and len(y) else []
 
         def packed(found: list) -> pa.RecordBatch:
             columns = list(zip(*found)) or [(), ()]
@@ -516,7 +521,8 @@ def _groups(numbered: DataFrame, bands: int, pick: int, small: int) -> DataFrame
     apart = members.join(keys, "key")
     few = materialize(apart.where(F.col("n") <= small).drop("n"), "few")
     words = materialize(_short_words(materialize(few.select("row").distinct(), "rows_apart"), texts), "short_words")
-    pairs = _pairs_apart(few.join(counts, "row").join(words, "row"), small)
+    of_row = few.groupBy("row").agg(F.collect_list("key").alias("keys"))
+    pairs = _pairs_apart(few.join(counts, "row").join(words, "row").join(of_row, "row"), small)
     large = apart.where(F.col("n") > small)
     if not large.isEmpty():
         hot = large.select("row", "comp", "n_words").distinct().join(counts, "row")
