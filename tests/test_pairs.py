@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import DATA
 from vecspan.functions import vectors as V
+from vecspan.operators import metrics as M
 from vecspan.operators import scoring as S
 from vecspan.plans import catalog
 
@@ -48,3 +49,16 @@ def test_margins_are_the_column_function(spark):
     got = S.query_pairs(q, df, {"c": "double", "am": "double", "aam": "double"}, S.cosines(lambda c, s, cos: {"c": cos, **S.margins(c, s, cos, 0.2, 32.0, 4)}), "target")
     for kind in ("am", "aam"):
         assert got.where(F.abs(F.col(kind) - V.margin_logits(F.col("c"), F.col("target"), kind, 0.2, 32.0)) > 0.000051).isEmpty()
+
+
+@pytest.mark.parametrize("seed,places", [(1, 9), (2, 1), (3, 0), (4, 2)])
+def test_query_metrics_are_those_of_the_sweep(spark, seed, places):
+    """Few and many equal scores, in bins of all sizes, against the sweep over rows of pairs."""
+    r = random.Random(seed)
+    df = spark.createDataFrame([(i, i % 4, [r.gauss(i % 4 == k, 0.7) for k in range(4)]) for i in range(240)], "utt long, spk int, v array<double>")
+    q = df.where("utt % 5 = 0")
+    sweep = M.det_sweep(S.score_queries(q, df, places=places), ["enroll", "test"])
+    want = M.eer(sweep).first()["eer"], M.min_dcf(sweep).first()["min_dcf"]
+    for bins in (2, 64, 4096):
+        got = M.query_metrics(q, df, places, bins=bins).first()
+        assert [got["n"], round(got["eer"], 9), round(got["min_dcf"], 9)] == [48 * 239, *[round(x, 9) for x in want]]

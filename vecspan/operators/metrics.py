@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecspan.operators import scoring
 from vecspan.plans.prefix import range_bucket, running_sums
+from vecspan.sources.storage import kept
 
 
 def det_sweep(df: DataFrame, key: list[str], score: str = "score", target: str = "target", weight: Column | None = None, buckets: int = 64) -> DataFrame:
@@ -139,7 +142,13 @@ def metrics_by_condition(df: DataFrame, condition: str, key: list[str], score: s
     passes the false alarm rate, and those of least cost, follow from the counts. key orders trials that are alike, on
     which nothing depends. Conditions without targets or non-targets have null metrics.
     """
-    c = score_counts(df, condition, score, target)
+    return metrics_of_counts(score_counts(df, condition, score, target), condition, p_target, c_miss, c_fa)
+
+
+def metrics_of_counts(c: DataFrame, condition: str, p_target: float = 0.01, c_miss: float = 1.0, c_fa: float = 1.0, exact: Column | None = None) -> DataFrame:
+    """metrics_by_condition of score_counts' rows. Rows that are not exact hold many scores in one, of which only the last trial is looked at,
+    and not for the cost: the scores at which the rates cross and the cost is least must be rows of their own."""
+    exact = F.lit(True) if exact is None else exact
     t, u, t0, u0, nt, nu = (F.col(x) for x in ("t", "u", "t0", "u0", "nt", "nu"))
 
     def at(targets: Column, others: Column) -> Column:
@@ -154,6 +163,73 @@ def metrics_by_condition(df: DataFrame, condition: str, key: list[str], score: s
     low = low.when((t > 0) & (targets <= t), F.when(targets > 1, at(targets - 1, u)).when(u > 0, at(F.lit(0), u))).otherwise(at(t, u))
     least = F.when(u > 0, at(F.lit(0), u)).otherwise(at(F.lit(1), F.lit(0)))
     cost = (c_miss * p_target * least["fnr"] + c_fa * (1 - p_target) * least["fpr"]) / min(c_miss * p_target, c_fa * (1 - p_target))
-    ends = c.groupBy(condition).agg(F.sum(t + u).alias("n"), F.min(first).alias("x1"), F.max(low).alias("x2"), F.min(cost).alias("min_dcf"))
+    ends = c.groupBy(condition).agg(F.sum(t + u).alias("n"), F.min(F.when(exact, first)).alias("x1"), F.max(low).alias("x2"), F.min(F.when(exact, cost)).alias("min_dcf"))
     a = (F.col("x1.fnr") - F.col("x1.fpr")) / (F.col("x2.fpr") - F.col("x2.fnr") - (F.col("x1.fpr") - F.col("x1.fnr")))
     return ends.select(condition, "n", (F.col("x1.fnr") + a * (F.col("x2.fnr") - F.col("x1.fnr"))).alias("eer"), "min_dcf")
+
+
+def query_metrics(queries: DataFrame, rows: DataFrame, places: int = 9, p_target: float = 0.01, c_miss: float = 1.0, c_fa: float = 1.0, bins: int = 4096, key: str = "utt", spk: str = "spk", vec: str = "v") -> DataFrame:
+    """W11, W12 of the rounded cosines of every query against every other row: n, eer, min_dcf, exact, without a row per pair.
+
+    Pairs are counted by bins of the score in the tasks that score them. The bin in which the rates cross is known then, and so are
+    the bins whose cost can't be the least (by the miss rate at their begin and the false alarm rate at their end). Only
+    the pairs of the others are scored once more and counted by score. Scores that are null come last.
+    """
+
+    def tally(wanted: np.ndarray | None):
+        def run(c) -> list:
+            import pyarrow as pa
+
+            u, w = c.units()
+            total, scores, targets = np.zeros(2 * (bins + 1), np.int64), [], []
+            for start in range(0, len(c.a), step := max(1, (1 << 16) // len(c.b))):
+                part = slice(start, start + step)
+                s = scoring.rounded(u[part] @ w.T, places)
+                s[np.isnan(s)] = 2.0
+                if c.apart is not None:
+                    s[c.apart[part]] = 3.0
+                at = np.where(s > 1.5, bins, np.clip((s + 1) * (bins / 2), 0, bins - 1)).astype(np.int64)
+                target = c.a[part, None] == c.b
+                valid = (c.a[part, None] >= 0) & (c.b >= 0)
+                valid = valid if c.same is None else valid & ~c.same[part]
+                if wanted is None:
+                    total += np.bincount((2 * at + target)[valid], minlength=2 * (bins + 1))
+                else:
+                    valid &= wanted[at]
+                    scores.append(s[valid])
+                    targets.append(target[valid])
+            if wanted is None:
+                found = np.flatnonzero(total.reshape(-1, 2).any(axis=1))
+                cells = total.reshape(-1, 2)[found]
+            else:
+                found, of = np.unique(np.concatenate(scores), return_inverse=True)
+                hit = np.concatenate(targets)
+                cells = np.stack([np.bincount(of[~hit], minlength=len(found)), np.bincount(of[hit], minlength=len(found))], axis=1).astype(np.int64)
+            return [pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.ascontiguousarray(cells[:, 1])), pa.array(np.ascontiguousarray(cells[:, 0]))], ["at", "t", "u"])]
+
+        return run
+
+    def counted(wanted: np.ndarray | None) -> DataFrame:
+        kind = "long" if wanted is None else "double"
+        cells = scoring.query_cells(queries, rows, tally(wanted), f"at {kind}, t long, u long", key, spk, vec)
+        return cells.groupBy("at").agg(F.sum("t").alias("t"), F.sum("u").alias("u"))
+
+    got = sorted(counted(None).collect())  # a row per bin
+    at, t, u = (np.array([r[k] for r in got], np.int64) for k in range(3))
+    nt, nu = int(t.sum()), int(u.sum())
+    wanted = np.zeros(bins + 1, bool)
+    if nt and nu:
+        fnr, fpr = t.cumsum() / nt, 1 - u.cumsum() / nu
+        cost = lambda miss, alarm: c_miss * p_target * miss + c_fa * (1 - p_target) * alarm
+        lowest = cost(fnr - t / nt, fpr)
+        wanted[at[lowest <= cost(fnr, fpr).min() * (1 + 1e-9) + 1e-12]] = True
+        # one bin more on either side, should the rates be equal at a bin's end but for the last digit
+        wanted[at[np.abs(np.arange(len(at)) - np.argmax(fnr >= fpr)) <= 1]] = True
+    spark = queries.sparkSession
+    rest = [(float((a + 0.5) * 2 / bins - 1 if a < bins else 2.5), int(x), int(y), False) for a, x, y in zip(at, t, u) if not wanted[a]]
+    cells = counted(wanted).withColumn("exact", F.lit(True)).unionByName(spark.createDataFrame(rest, "at double, t long, u long, exact boolean"))
+    cells = kept(cells, "score_counts")
+    cells = range_bucket(cells, "at", max(1, -(-cells.count() // 50_000)), "_b")
+    run = running_sums(cells, "_b", ["at"], {"t0": F.col("t"), "u0": F.col("u")})
+    run = run.withColumns({"t0": F.col("t0") - F.col("t"), "u0": F.col("u0") - F.col("u"), "nt": F.lit(nt).cast("long"), "nu": F.lit(nu).cast("long"), "all": F.lit(0)})
+    return metrics_of_counts(run, "all", p_target, c_miss, c_fa, F.col("exact")).drop("all")

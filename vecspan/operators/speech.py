@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vecspan.operators.intervals import runs
 from vecspan.plans import slices
 from vecspan.plans.slices import GROUP, SLICE
-from vecspan.sources.storage import scratch_uri
+from vecspan.sources.storage import kept
 
 
 def speech_segments(df: DataFrame, group: list[str], frame: str = "frame", p: str = "p", on: float = 0.5, off: float = 0.35, silence: int = 10, speech: int = 25, pad: int = 0, least: int = 0, rows: int = slices.SLICE_ROWS) -> DataFrame:
@@ -48,13 +48,6 @@ def speech_segments(df: DataFrame, group: list[str], frame: str = "frame", p: st
     return found.select(f"{GROUP}.*", b.cast("long").alias("b"), e.cast("long").alias("e")).where(F.col("e") - F.col("b") >= least)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared scratch folder and read back."""
-    uri = scratch_uri(df.sparkSession, name)
-    df.write.parquet(uri)
-    return df.sparkSession.read.schema(df.schema).parquet(uri)
-
-
 def hold_filter(df: DataFrame, group: list[str], frame: str = "frame", cls: str = "cls", hold: int = 75, rows: int = slices.SLICE_ROWS) -> DataFrame:
     """Group, frame, cls, held: the class stays until more than `hold` frames in a row have disagreed.
 
@@ -77,20 +70,20 @@ def hold_filter(df: DataFrame, group: list[str], frame: str = "frame", cls: str
     both = slices.sliced(first.unionByName(asked).unionByName(nodes), [GROUP, "of"], "t", ["t", "node", "s"], rows)
     both = slices.next_of(both, ["t", "node"], "node", ["s"], "next").where("not node and next is not null")
     # s is a node's place and so its name within a group: no two stretches of a group that are met begin at one frame
-    jump = _kept(both.select(F.col(f"{GROUP}.{GROUP}").alias(GROUP), "s", F.col(f"{GROUP}.of").alias("of"), F.col("next.s").alias("to")), "jumps")
+    jump = kept(both.select(F.col(f"{GROUP}.{GROUP}").alias(GROUP), "s", F.col(f"{GROUP}.of").alias("of"), F.col("next.s").alias("to")), "jumps")
     names = gaps.select(GROUP, F.col("s").alias("to"), F.col("old").alias("of"), "at", "new")
     jump = jump.join(names, [GROUP, "to", "of"]).select(GROUP, "s", "of", "to", "at", "new")
     starts = jump.where("s = -1").select(GROUP, F.col("to").alias("s"), F.col("of").alias("old"), "at", "new")
     links = jump.where("s <> -1").select(GROUP, "s", F.col("of").alias("new"), "to", F.col("at").alias("to_at"), F.col("new").alias("to_new"))
     links = gaps.join(links, [GROUP, "s", "new"]).select(GROUP, "s", "old", F.col("to").alias("s2"), F.col("new").alias("old2"), F.col("to_at").alias("at2"), F.col("to_new").alias("new2"))
-    met, links = _kept(starts, "met"), _kept(links, "links")
+    met, links = kept(starts, "met"), kept(links, "links")
     while not links.isEmpty():
         far = met.join(links, [GROUP, "s", "old"]).select(GROUP, F.col("s2").alias("s"), F.col("old2").alias("old"), F.col("at2").alias("at"), F.col("new2").alias("new"))
         if far.isEmpty():
             break
-        met = _kept(met.unionByName(far), "met")
+        met = kept(met.unionByName(far), "met")
         ahead = links.select(GROUP, F.col("s").alias("s2"), F.col("old").alias("old2"), F.col("s2").alias("s3"), F.col("old2").alias("old3"), F.col("at2").alias("at3"), F.col("new2").alias("new3"))
-        links = _kept(links.join(ahead, [GROUP, "s2", "old2"]).select(GROUP, "s", "old", F.col("s3").alias("s2"), F.col("old3").alias("old2"), F.col("at3").alias("at2"), F.col("new3").alias("new2")), "links")
+        links = kept(links.join(ahead, [GROUP, "s2", "old2"]).select(GROUP, "s", "old", F.col("s3").alias("s2"), F.col("old3").alias("old2"), F.col("at3").alias("at2"), F.col("new3").alias("new2")), "links")
     turns = met.select(GROUP, "at", F.lit(1).alias("turn"))
     counted = slices.sums(frames.join(turns, [GROUP, "at"], "left"), ["at"], {"turns": F.coalesce("turn", F.lit(0))})
     classes = slices.sums(slices.sliced(met, [GROUP], "at", ["at", "new"], rows), ["at"], {"turns": F.lit(1)}).select(F.col(f"{GROUP}.{GROUP}").alias(GROUP), "turns", F.col("new").alias("held"))

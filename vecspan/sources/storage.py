@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def storage(uri: str):
@@ -91,3 +91,10 @@ def published(uri: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
         return [("", info.size)]
     found = fs.get_file_info(FileSelector(path, allow_not_found=True))
     return sorted((f.base_name, f.size) for f in found if f.type == FileType.File and f.base_name.endswith(suffixes) and f.base_name[0] not in "_.")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared scratch folder and read back."""
+    uri = scratch_uri(df.sparkSession, name)
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
