@@ -85,6 +85,50 @@ def average_linkage(dist: np.ndarray, threshold: float) -> np.ndarray:
     return first_seen(out)
 
 
+def cosine_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
+    """average_linkage of 1 - (1 + cosine) / 2 by chains of nearest neighbours, without a matrix of distances.
+
+    The mean cosine of two clusters is the product of their means. Two that are each other's nearest are merged whatever else
+    is nearer elsewhere, which gives the same clusters, as merging brings none nearer to a third than its nearer half was; so one that
+    has none within the threshold is done. Memory grows with the rows, time with their square.
+    """
+    n = len(x)
+    mean = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    size, owner, place, joined = np.ones(n), np.arange(n), np.arange(n), np.arange(n)
+    alive, chain = n, []
+
+    def drop(k: int) -> None:
+        nonlocal alive
+        alive -= 1
+        mean[k], size[k], owner[k] = mean[alive], size[alive], owner[alive]
+        place[owner[k]] = k
+
+    while alive:
+        if not chain:
+            chain.append(int(owner[0]))
+        tip = place[chain[-1]]
+        sim = mean[:alive] @ mean[tip]
+        sim[tip] = -np.inf
+        near = int(sim.argmax())
+        before = place[chain[-2]] if len(chain) > 1 else None
+        if before is not None and sim[before] >= sim[near] - 1e-12:
+            near = before
+        if not 1 - 0.5 * (1 + sim[near]) <= threshold:
+            chain.pop()
+            drop(tip)
+        elif near == before:
+            mean[near] = (size[near] * mean[near] + size[tip] * mean[tip]) / (size[near] + size[tip])
+            size[near] += size[tip]
+            joined[owner[tip]] = owner[near]
+            del chain[-2:]
+            drop(tip)
+        else:
+            chain.append(int(owner[near]))
+    while (joined[joined] != joined).any():
+        joined = joined[joined]
+    return first_seen(joined)
+
+
 def absorb_small(x: np.ndarray, labels: np.ndarray, merge: float = 0.3, smallest: int = 3, absorb: float = 0.0) -> np.ndarray:
     """Points without a cluster (-1) and what they form are merged, best mean cosine first, into others while
     it is at least `merge`; clusters below `smallest` go to the best large one if that is at least `absorb`."""
@@ -150,8 +194,7 @@ def cluster_groups(df: DataFrame, group: str, key: str, method: str = "spectral"
         if method == "spectral":
             labels = spectral(x, **options)
         elif method == "linkage":
-            u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            labels = average_linkage(1 - 0.5 * (1 + u @ u.T), **options)
+            labels = cosine_linkage(x, **options)
         elif method == "online":
             state = OnlineClusters(**options)
             labels = np.array([state.add(v)[0] for v in x])
