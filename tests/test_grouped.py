@@ -1,5 +1,6 @@
 """Clusters and groups of large recordings and speakers: as the plain methods, without their matrices and searches."""
 
+import random
 import time
 import tracemalloc
 
@@ -27,3 +28,12 @@ def test_cosine_linkage_has_no_matrix():
     assert tracemalloc.get_traced_memory()[1] < 20e6 and time.time() - began < 60
     tracemalloc.stop()
     assert len(set(labels.tolist())) > 1
+
+
+def test_balance_of_many_durations():
+    """100,000 utterances of a speaker, in time that grows with their number."""
+    r = random.Random(0)
+    began = time.time()
+    groups = C.balance_durations([r.uniform(0, 9) for _ in range(100_000)], 20.0)
+    assert time.time() - began < 10
+    assert [s for s, _ in groups] == [0] + [e for _, e in groups[:-1]] and groups[-1][1] == 100_000

@@ -264,31 +264,38 @@ def balance_durations(durations: list[float], least: float, tolerance: float = 1
     nothing; else the short one; with two short neighbours the shorter. A group of two joined ones waits again
     if it still is too short.
     """
-    groups: list[list] = [[i, i + 1, d] for i, d in enumerate(durations)]
-    short = lambda g: g[2] < least - tolerance
-    waiting = [g for g in groups if short(g)]
+    n = len(durations)
+    begin, end, total = list(range(n)), list(range(1, n + 1)), list(durations)
+    before, after, there = [i - 1 for i in range(n)], [*range(1, n), -1][:n], [True] * n  # neighbours; -1: none
+    count = n
+    short = lambda g: total[g] < least - tolerance
+    waiting = [g for g in range(n) if short(g)]
     while waiting:
         g = waiting.pop()
-        if g not in groups or not short(g) or len(groups) == 1:
+        if not there[g] or count == 1:
             continue
-        k = groups.index(g)
-        left = groups[k - 1] if k else None
-        right = groups[k + 1] if k + 1 < len(groups) else None
-        if left is None or right is None:
-            other = left or right
+        left, right = before[g], after[g]
+        if left < 0 or right < 0:
+            other = max(left, right)
         elif short(left) and short(right):
-            other = left if left[2] <= right[2] + tolerance else right
+            other = left if total[left] <= total[right] + tolerance else right
         elif short(right):
             other = right
         else:
             other = left
-        a, b = (other, g) if other is left else (g, other)
-        joined = [a[0], b[1], a[2] + b[2]]
-        groups[groups.index(a)] = joined
-        groups.remove(b)
-        if short(joined):
-            waiting.append(joined)
-    return [(s, e) for s, e, _ in groups]
+        a, b = (other, g) if other == left else (g, other)
+        # the joined group is a new one at the end of the lists
+        new, count = len(begin), count - 1
+        there[a] = there[b] = False
+        for column, value in ((begin, begin[a]), (end, end[b]), (total, total[a] + total[b]), (before, before[a]), (after, after[b]), (there, True)):
+            column.append(value)
+        if before[new] >= 0:
+            after[before[new]] = new
+        if after[new] >= 0:
+            before[after[new]] = new
+        if short(new):
+            waiting.append(new)
+    return sorted((begin[g], end[g]) for g in range(len(begin)) if there[g])
 
 
 def hold_filter(classes: list[int], hold: int = 75) -> list[int]:
