@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vecspan.plans import slices
 from vecspan.plans.slices import GROUP, SLICE
@@ -103,27 +104,111 @@ def range_join(left: DataFrame, right: DataFrame, group: list[str], a: tuple[str
     return pairs.unionByName(lonely, allowMissingColumns=True)
 
 
-def overlap_totals(left: DataFrame, right: DataFrame, group: list[str], label: str = "label") -> DataFrame:
-    """Total overlap of every pair of labels of two interval lists."""
+def overlap_totals(left: DataFrame, right: DataFrame, group: list[str], label: str = "label", rows: int = slices.SLICE_ROWS) -> DataFrame:
+    """Total overlap of every pair of labels of two interval lists.
+
+    A slice of time knows how many intervals of each label are open at its begin, and its stretches between borders add the
+    product of both sides' counts and their length: no pair of intervals is made. Intervals without length add nothing, but
+    a row for each label that is open before and after them.
+    """
+
+    def sided(df: DataFrame, side: int) -> DataFrame:
+        return _grouped(df, group).select(F.struct(*group).alias("_g"), F.lit(side).alias("side"), F.col(label).cast("string").alias("label"), "b", "e")
+
+    iv = sided(left, 0).unionByName(sided(right, 1)).where("b <= e")
+    marks = F.array(*[F.struct(F.col(x).alias("t"), d.alias("d"), end.alias("ends"), at.alias("points")) for x, d, end, at in (
+        ("b", F.when(F.col("b") < F.col("e"), 1).otherwise(0), F.lit(0), F.when(F.col("b") < F.col("e"), 0).otherwise(1)),
+        ("e", F.when(F.col("b") < F.col("e"), -1).otherwise(0), F.when(F.col("b") < F.col("e"), 1).otherwise(0), F.lit(0)),
+    )])
+    events = iv.select("_g", "side", "label", F.inline(marks)).groupBy("_g", "side", "label", "t").agg(*[F.sum(c).alias(c) for c in ("d", "ends", "points")])
+    events = slices.sliced(events, ["_g"], "t", ["side", "label", "t", "d", "ends", "points"], rows)
+    cells = events.groupBy(GROUP, SLICE).agg(F.min("t").alias("t"))
+    cells = cells.select(GROUP, SLICE, F.lead("t").over(Window.partitionBy(GROUP).orderBy(SLICE)).alias("until"))
+    sums = events.groupBy(GROUP, SLICE, "side", "label").agg(F.sum("d").alias("d")).withColumn("label", F.struct("label"))
+    grid = cells.join(sums.select(GROUP, "side", "label").distinct(), GROUP).join(sums, [GROUP, SLICE, "side", "label"], "left")
+    earlier = Window.partitionBy(GROUP, "side", "label").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.select(F.col(GROUP).alias(GROUP), F.col(SLICE).alias(SLICE), "until", F.col("side").alias("side"), F.col("label.label").alias("label"), F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("open"))
+
+    def add(df, before):
+        import numpy as np
+        import pyarrow as pa
+
+        out = pa.schema([("label_a", pa.string()), ("label_b", pa.string()), ("overlap", pa.int64())])
+        if not len(df):
+            return pa.Table.from_batches([], out.insert(0, before.schema.field(GROUP)))
+        column = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
+        t, at = np.unique(column(df, "t"), return_inverse=True)
+        until = before["until"][0].as_py()
+        length = np.diff(np.append(t, t[-1] if until is None else until))
+        labels = pa.chunked_array([*before["label"].chunks, *df["label"].chunks]).combine_chunks().dictionary_encode(null_encoding="encode")
+        codes, side, own = labels.indices.to_numpy(), column(df, "side"), column(before, "side")
+        known, new = codes[: len(before)], codes[len(before) :]
+        here = [np.unique(np.concatenate([known[own == k], new[side == k]])) for k in (0, 1)]
+        total, strict = np.zeros((len(here[0]), len(here[1])), np.int64), np.zeros((len(here[0]), len(here[1])), bool)
+        step = max(1, (1 << 22) // max(1, len(here[0]) + len(here[1])))
+        count = [np.zeros(len(h), np.int64) for h in here]
+        for k in (0, 1):
+            np.add.at(count[k], np.searchsorted(here[k], known[own == k]), column(before, "open")[own == k])
+        for start in range(0, len(t), step):
+            n = min(step, len(t) - start)
+            opened, ends, points = ([np.zeros((n, len(h)), np.int64) for h in here] for _ in range(3))
+            for k in (0, 1):
+                pick = (side == k) & (at >= start) & (at < start + n)
+                for table, c in ((opened[k], "d"), (ends[k], "ends"), (points[k], "points")):
+                    np.add.at(table, (at[pick] - start, np.searchsorted(here[k], new[pick])), column(df, c)[pick])
+            now = [count[k] + opened[k].cumsum(axis=0) for k in (0, 1)]
+            total += (now[0] * length[start : start + n, None]).T @ now[1]
+            held = [np.concatenate([count[k][None], now[k][:-1]]) - ends[k] > 0 for k in (0, 1)]
+            for k in (0, 1):
+                r = points[k].any(axis=1)
+                met = ((points[k][r] > 0).astype(np.int64).T @ held[1 - k][r].astype(np.int64)) > 0
+                strict |= met if k == 0 else met.T
+            count = [now[k][-1] for k in (0, 1)]
+        a, b = np.nonzero((total > 0) | strict)
+        same = before[GROUP].combine_chunks().take(pa.array(np.zeros(len(a), np.int64)))
+        name = lambda k, x: labels.dictionary.take(pa.array(here[k][x])).cast(pa.string())
+        return pa.table({GROUP: same, "label_a": name(0, a), "label_b": name(1, b), "overlap": pa.array(total[a, b])})
+
+    schema = StructType([events.schema[GROUP], *StructType.fromDDL("label_a string, label_b string, overlap long").fields])
+    found = events.groupBy(GROUP, SLICE).cogroup(grid.groupBy(GROUP, SLICE)).applyInArrow(add, schema)
+    found = found.select(f"{GROUP}._g.*", "label_a", "label_b", "overlap")
+    if not (left.where("e < b").isEmpty() and right.where("e < b").isEmpty()):  # ends before begins: as the sum over pairs has it
+        found = found.unionByName(_reversed_overlaps(left, right, group, label))
+    return found.groupBy(*group, "label_a", "label_b").agg(F.sum("overlap").alias("overlap"))
+
+
+def _reversed_overlaps(left: DataFrame, right: DataFrame, group: list[str], label: str) -> DataFrame:
+    """overlap_totals' summands of the pairs in which an interval ends before it begins."""
     x = left.select(*group, F.col(label).alias("label_a"), F.col("b").alias("ab"), F.col("e").alias("ae"))
     y = right.select(*group, F.col(label).alias("label_b"), F.col("b").alias("bb"), F.col("e").alias("be"))
-    pairs = range_join(x, y, group, ("ab", "ae"), ("bb", "be"))
-    shared = F.least("ae", "be") - F.greatest("ab", "bb")
-    return pairs.groupBy(*group, "label_a", "label_b").agg(F.sum(shared).alias("overlap"))
+    sides = [(x.where("ae < ab"), y), (x.where("ab <= ae"), y.where("be < bb"))]
+    pairs = [range_join(p, q, group, ("ab", "ae"), ("bb", "be")) for p, q in sides]
+    return pairs[0].unionByName(pairs[1]).select(*group, "label_a", "label_b", (F.least("ae", "be") - F.greatest("ab", "bb")).alias("overlap"))
+
+
+def _grouped(df: DataFrame, group: list[str]) -> DataFrame:
+    """Rows whose group has no null: others meet no row of another table."""
+    for g in group:
+        df = df.where(F.col(g).isNotNull())
+    return df
 
 
-def label_at(points: DataFrame, intervals: DataFrame, group: list[str], t: str = "t", label: str = "label", width: int = 1 << 22) -> DataFrame:
+def label_at(points: DataFrame, intervals: DataFrame, group: list[str], t: str = "t", label: str = "label", width: int | None = None, rows: int = slices.SLICE_ROWS) -> DataFrame:
     """The label of the first interval (by begin, end, label) that holds each point, both ends closed; null if none.
 
-    One row per row of points, repeated ones too. A point is in one time bucket, an interval in all that it touches.
+    One row per row of points, repeated ones too. In that order an interval is the first from the end of all before it to its own,
+    so these stretches are apart, and a point looks up the last one that has begun: no pair of both is made.
     """
-    p = points.withColumn("_point", F.monotonically_increasing_id()).withColumn("_bucket", F.floor(F.col(t) / width).cast("long"))
-    i = intervals.select(*group, F.col("b").alias("_ib"), F.col("e").alias("_ie"), F.col(label).alias("_label")).where("_ib <= _ie")
-    i = i.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_ib") / width).cast("long"), F.floor(F.col("_ie") / width).cast("long"))))
-    pairs = p.join(i, [*group, "_bucket"], "left")
-    inside = (F.col("_ib") <= F.col(t)) & (F.col(t) <= F.col("_ie"))
-    found = F.min(F.when(inside, F.struct("_ib", "_ie", "_label")))
-    return pairs.groupBy("_point", *points.columns).agg(found.alias("_f")).select(*points.columns, F.col("_f._label").alias("label"))
+    i = _grouped(intervals, group).where("b <= e")
+    i = slices.sliced(i, group, "b", [F.col("b").alias("b"), F.col("e").alias("e"), F.col(label).alias("label")], rows, width)
+    i = slices.max_before(i, ["b", "e", "label"], "e", "far").where("far is null or far < e")
+    opens = F.when(F.col("far").isNull() | (F.col("b") > F.col("far")), 0).otherwise(2)  # at an earlier one's end: only after it
+    first = i.select(f"{GROUP}.*", F.greatest("b", "far").alias("_at"), opens.alias("_kind"), F.struct("e", "label").alias("_first"))
+    own = points.select(*group, F.col(t).alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_point"))
+    both = slices.sliced(first.unionByName(own, allowMissingColumns=True), group, "_at", ["_at", "_kind", "_first", "_point"], rows, width)
+    found = slices.last_of(both, ["_at", "_kind"], "_first", "_now").where("_kind = 1")
+    found = found.select("_point.*", F.when(F.col("_at") <= F.col("_now.e"), F.col("_now.label")).alias("label"))
+    return found.unionByName(points.where(F.col(t).isNull()), allowMissingColumns=True)
 
 
 def dominant_label(windows: DataFrame, intervals: DataFrame, group: list[str], min_overlap: int = 100, label: str = "label") -> DataFrame:
@@ -139,12 +224,24 @@ def dominant_label(windows: DataFrame, intervals: DataFrame, group: list[str], m
     return best.select(*keys, F.col("_m._label").alias("label"), (-F.col("_m.o")).alias("overlap")).where(F.col("overlap") >= min_overlap)
 
 
-def active_at(points: DataFrame, intervals: DataFrame, group: list[str], t: str = "t", label: str = "label") -> DataFrame:
-    """Every (point, label) with begin <= t < end."""
-    p = points.withColumn("_pe", F.col(t) + 1)
-    i = intervals.select(*group, F.col("b").alias("ib"), F.col("e").alias("ie"), F.col(label).alias("label"))
-    pairs = range_join(p, i, group, (t, "_pe"), ("ib", "ie"))
-    return pairs.where((F.col("ib") <= F.col(t)) & (F.col(t) < F.col("ie"))).select(*points.columns, "label").distinct()
+def active_at(points: DataFrame, intervals: DataFrame, group: list[str], t: str = "t", label: str = "label", rows: int = slices.SLICE_ROWS) -> DataFrame:
+    """Every (point, label) with begin <= t < end.
+
+    Intervals of one label are united first. A point meets each label that has an interval in its slice of time once, and
+    looks up the last of these that has begun.
+    """
+    islands = union(_grouped(intervals, group).where("b < e").withColumn("_label", F.col(label)), [*group, "_label"], rows=rows)
+    p = _grouped(points, group).where(F.col(t).isNotNull()).distinct()
+    width = slices.slice_width(p, group, t, rows)
+    p = p.select(*group, slices.slice_at(F.col(t), width).alias(SLICE), F.col(t).alias("_at"), F.struct(*points.columns).alias("_point"))
+    ends = p.groupBy(*group).agg(F.min(SLICE).alias("_lo"), F.max(SLICE).alias("_hi"))
+    lo, hi = F.greatest("_lo", slices.slice_at(F.col("b"), width)), F.least("_hi", slices.slice_at(F.col("e"), width))
+    marks = islands.join(ends, group).where(lo <= hi).select(*group, "_label", "b", "e", F.explode(F.sequence(lo, hi)).alias(SLICE))
+    meet = p.join(marks.select(*group, SLICE, "_label").distinct(), [*group, SLICE]).withColumn("_kind", F.lit(1))
+    marks = marks.select(*group, SLICE, "_label", F.col("b").alias("_at"), F.lit(0).alias("_kind"), F.col("e").alias("_e"))
+    last = Window.partitionBy(*group, SLICE, "_label").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = meet.unionByName(marks, allowMissingColumns=True).withColumn("_e", F.last("_e", ignorenulls=True).over(last))
+    return found.where("_kind = 1 and _at < _e").select("_point.*", F.col("_label").alias("label"))
 
 
 def clip(df: DataFrame, lo: int | None, hi: int | None, begin: str = "b", end: str = "e") -> DataFrame:

@@ -18,17 +18,25 @@ SLICE_ROWS = 50_000
 GROUP, SLICE = "_group", "_slice"
 
 
-def sliced(df: DataFrame, group: list[str | Column], time: str, columns: list[str | Column], rows: int = SLICE_ROWS) -> DataFrame:
-    """GROUP, SLICE and the columns; slices are so wide that the largest group has about `rows` rows in each.
+def slice_width(df: DataFrame, group: list[str | Column], time: str, rows: int = SLICE_ROWS) -> int | None:
+    """The width at which the largest group has about `rows` rows in a slice; None if one slice will do."""
+    spans = df.groupBy(F.struct(*group)).agg(F.count(time).alias("n"), (F.max(time) - F.min(time)).alias("span"))
+    top = spans.orderBy(F.desc("n")).first()
+    return max(1, int(float(top["span"]) * rows / top["n"])) if top and top["n"] > rows else None
+
+
+def slice_at(time: Column, width: int | None) -> Column:
+    return F.floor(time / F.lit(width)) if width else F.lit(0).cast("long")
+
+
+def sliced(df: DataFrame, group: list[str | Column], time: str, columns: list[str | Column], rows: int = SLICE_ROWS, width: int | None = None) -> DataFrame:
+    """GROUP, SLICE and the columns; slices are so wide (if no width is given) that the largest group has about `rows` rows in each.
 
     Rows without a time are left out.
     """
-    out = df.where(F.col(time).isNotNull()).select(F.struct(*group).alias(GROUP), F.col(time).alias("_time"), *columns)
-    spans = out.groupBy(GROUP).agg(F.count("*").alias("n"), (F.max("_time") - F.min("_time")).alias("span"))
-    top = spans.orderBy(F.desc("n")).first()
-    width = max(1, int(float(top["span"]) * rows / top["n"])) if top and top["n"] > rows else None
-    place = F.floor(F.col("_time") / F.lit(width)) if width else F.lit(0).cast("long")
-    return out.withColumn(SLICE, place).drop("_time")
+    df = df.where(F.col(time).isNotNull())
+    place = slice_at(F.col(time), width or slice_width(df, group, time, rows))
+    return df.select(F.struct(*group).alias(GROUP), *columns, place.alias(SLICE))
 
 
 def sums(df: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
@@ -66,3 +74,12 @@ def next_of(df: DataFrame, order: list[str], flag: str, values: list[str], out:
     within = Window.partitionBy(GROUP, SLICE).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
     both = df.join(cells, [GROUP, SLICE])
     return both.withColumn(out, F.coalesce(F.first(F.when(F.col(flag), own), ignorenulls=True).over(within), "_later")).drop("_later")
+
+
+def last_of(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """df with the last value that is not null up to each row in its group; null before the first."""
+    cells = df.groupBy(GROUP, SLICE).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    earlier = Window.partitionBy(GROUP).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(GROUP, SLICE, F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    within = Window.partitionBy(GROUP, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.join(cells, [GROUP, SLICE]).withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(within), "_carry")).drop("_carry")
