@@ -68,3 +68,16 @@ def test_work_grows_with_the_rows(spark):
                 rows += [p.metrics().apply("numOutputRows").value()] if p.metrics().contains("numOutputRows") else []
                 plans += [p.children().apply(k) for k in range(p.children().size())]
         assert rows and max(rows) <= 4 * 2000 * 3
+
+
+def test_hold_filter_has_no_rounds(spark):
+    """A recording whose class turns many times: as few jobs as one that does not turn."""
+    from vecspan.operators.speech import hold_filter
+
+    for name, width in (("many turns", 2), ("no turn", 5000)):
+        df = spark.range(3000).select(F.lit(1).alias("rec"), F.col("id").alias("frame"), F.floor(F.col("id") / width).cast("int").alias("cls"))
+        spark.sparkContext.setJobGroup(name, name)
+        assert hold_filter(df, ["rec"], hold=1, rows=300).count() == 3000
+    jobs = [len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)) for name in ("many turns", "no turn")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] <= 12

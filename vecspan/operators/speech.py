@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from vecspan.operators.intervals import runs
 from vecspan.plans import slices
 from vecspan.plans.slices import GROUP, SLICE
-from vecspan.sources.storage import kept
 
 
 def speech_segments(df: DataFrame, group: list[str], frame: str = "frame", p: str = "p", on: float = 0.5, off: float = 0.35, silence: int = 10, speech: int = 25, pad: int = 0, least: int = 0, rows: int = slices.SLICE_ROWS) -> DataFrame:
@@ -48,44 +47,93 @@ def speech_segments(df: DataFrame, group: list[str], frame: str = "frame", p: st
     return found.select(f"{GROUP}.*", b.cast("long").alias("b"), e.cast("long").alias("e")).where(F.col("e") - F.col("b") >= least)
 
 
+def _runs(table) -> tuple[list[int], list[int], list]:
+    """Codes and lengths of a slice's runs in the order of its frames, and the classes by code."""
+    import numpy as np
+
+    classes = table["cls"].combine_chunks().dictionary_encode(null_encoding="encode")
+    codes = classes.indices.to_numpy()
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[first].tolist(), np.diff(np.append(first, len(codes))).tolist(), classes.dictionary.to_pylist()
+
+
 def hold_filter(df: DataFrame, group: list[str], frame: str = "frame", cls: str = "cls", hold: int = 75, rows: int = slices.SLICE_ROWS) -> DataFrame:
     """Group, frame, cls, held: the class stays until more than `hold` frames in a row have disagreed.
 
-    A class can only be left in a stretch of more than `hold` frames of others, at its frame number `hold`, for the class
-    of that frame. So of each class such stretches are listed, and each names the stretch that comes next: the first
-    one of its new class after that frame. The stretches that are in fact met are those on the chain from the first
-    frame on, found by jumps of doubled length. Frames are numbered from 0 without gaps, and have a class.
+    What goes from frame to frame is the class held and how many frames have disagreed. A slice tells to which state each of these
+    leads: of its own classes, and of any other, which all fare alike. From most slices all states come out as one, and then it
+    tells that one only. So states are carried over slices, a few rows each, and then each slice is worked through once.
+    Frames have a class, and follow each other by their numbers.
     """
     frames = slices.sliced(df, group, frame, [F.col(frame).cast("long").alias("at"), F.col(cls).alias("cls")], rows)
-    length = frames.groupBy(GROUP).agg((F.max("at") + 1).alias("n"))
-    of_class = runs(frames.select(GROUP, "at", "cls"), [GROUP], "at", "cls", rows)
-    whole = slices.sliced(of_class, [GROUP, "cls"], "b", ["b", "e"], rows)
-    whole = slices.neighbours(whole, ["b"], ["b"]).select(f"{GROUP}.*", F.col("e").alias("s"), F.col("after.b").alias("back"))
-    gaps = whole.join(length, GROUP).where(F.coalesce("back", "n") - F.col("s") > hold)
-    gaps = gaps.select(GROUP, F.col("cls").alias("old"), "s", (F.col("s") + hold).alias("at"))
-    gaps = gaps.join(frames.select(GROUP, "at", F.col("cls").alias("new")), [GROUP, "at"])
-    first = frames.where("at = 0").select(GROUP, F.col("cls").alias("of"), F.lit(0).cast("long").alias("t"), F.lit(False).alias("node"), F.lit(-1).cast("long").alias("s"))
-    asked = gaps.select(GROUP, F.col("new").alias("of"), F.col("at").alias("t"), F.lit(False).alias("node"), "s")
-    nodes = gaps.select(GROUP, F.col("old").alias("of"), F.col("s").alias("t"), F.lit(True).alias("node"), "s")
-    both = slices.sliced(first.unionByName(asked).unionByName(nodes), [GROUP, "of"], "t", ["t", "node", "s"], rows)
-    both = slices.next_of(both, ["t", "node"], "node", ["s"], "next").where("not node and next is not null")
-    # s is a node's place and so its name within a group: no two stretches of a group that are met begin at one frame
-    jump = kept(both.select(F.col(f"{GROUP}.{GROUP}").alias(GROUP), "s", F.col(f"{GROUP}.of").alias("of"), F.col("next.s").alias("to")), "jumps")
-    names = gaps.select(GROUP, F.col("s").alias("to"), F.col("old").alias("of"), "at", "new")
-    jump = jump.join(names, [GROUP, "to", "of"]).select(GROUP, "s", "of", "to", "at", "new")
-    starts = jump.where("s = -1").select(GROUP, F.col("to").alias("s"), F.col("of").alias("old"), "at", "new")
-    links = jump.where("s <> -1").select(GROUP, "s", F.col("of").alias("new"), "to", F.col("at").alias("to_at"), F.col("new").alias("to_new"))
-    links = gaps.join(links, [GROUP, "s", "new"]).select(GROUP, "s", "old", F.col("to").alias("s2"), F.col("new").alias("old2"), F.col("to_at").alias("at2"), F.col("to_new").alias("new2"))
-    met, links = kept(starts, "met"), kept(links, "links")
-    while not links.isEmpty():
-        far = met.join(links, [GROUP, "s", "old"]).select(GROUP, F.col("s2").alias("s"), F.col("old2").alias("old"), F.col("at2").alias("at"), F.col("new2").alias("new"))
-        if far.isEmpty():
-            break
-        met = kept(met.unionByName(far), "met")
-        ahead = links.select(GROUP, F.col("s").alias("s2"), F.col("old").alias("old2"), F.col("s2").alias("s3"), F.col("old2").alias("old3"), F.col("at2").alias("at3"), F.col("new2").alias("new3"))
-        links = kept(links.join(ahead, [GROUP, "s2", "old2"]).select(GROUP, "s", "old", F.col("s3").alias("s2"), F.col("old3").alias("old2"), F.col("at3").alias("at2"), F.col("new3").alias("new2")), "links")
-    turns = met.select(GROUP, "at", F.lit(1).alias("turn"))
-    counted = slices.sums(frames.join(turns, [GROUP, "at"], "left"), ["at"], {"turns": F.coalesce("turn", F.lit(0))})
-    classes = slices.sums(slices.sliced(met, [GROUP], "at", ["at", "new"], rows), ["at"], {"turns": F.lit(1)}).select(F.col(f"{GROUP}.{GROUP}").alias(GROUP), "turns", F.col("new").alias("held"))
-    classes = classes.unionByName(frames.where("at = 0").select(GROUP, F.lit(0).cast("long").alias("turns"), F.col("cls").alias("held")))
-    return counted.join(classes, [GROUP, "turns"]).select(f"{GROUP}.*", F.col("at").alias("frame"), "cls", "held")
+    kind = frames.schema["cls"].dataType.simpleString()
+
+    def ends(table):
+        import pyarrow as pa
+
+        runs, lengths, classes = _runs(table := table.sort_by("at"))
+        states = {(h, n): [(h, n)] for h in range(-1, len(classes)) for n in range(hold + 1)}  # -1: a class that is not here
+        for c, length in zip(runs, lengths, strict=True):
+            after: dict = {}
+            for (h, n), entered in states.items():
+                to = (c, 0) if h == c or n + length > hold else (h, n + length)
+                if to in after:
+                    after[to] += entered
+                else:
+                    after[to] = entered
+            states = after
+        (every, *_), alike = states, len(states) == 1
+        out = [(-1, 0, *every)] if alike else [(*x, *to) for to, entered in states.items() for x in entered]
+        name = lambda k: pa.array([classes[x[k]] if x[k] >= 0 else None for x in out], table["cls"].type)
+        number = lambda k: pa.array([x[k] for x in out], pa.int64())
+        flag = lambda values: pa.array(values, pa.bool_())
+        many = pa.array([0] * len(out))
+        return pa.table({
+            GROUP: table[GROUP].combine_chunks().take(many), SLICE: table[SLICE].combine_chunks().take(many), "first": table["cls"].combine_chunks().take(many), "alike": flag([alike] * len(out)),
+            "here": flag([x[0] >= 0 for x in out]), "cls": name(0), "n": number(1), "stays": flag([x[2] < 0 for x in out]), "to": name(2), "to_n": number(3),
+        })
+
+    def carry(table):
+        import pyarrow as pa
+
+        rows, entries, state = table.drop_columns([GROUP]).to_pylist(), [], None
+        steps: dict = {}
+        for r in rows:
+            steps.setdefault(r[SLICE], []).append(r)
+        for k in sorted(steps):
+            state = state or (steps[k][0]["first"], 0)
+            entries.append((k, *state))
+            known = any(r["here"] and r["cls"] == state[0] for r in steps[k])
+            for r in steps[k]:
+                if r["alike"] or (r["n"] == state[1] and r["here"] == known and (not known or r["cls"] == state[0])):
+                    state = (state[0] if r["stays"] else r["to"], r["to_n"])
+                    break
+        same = table[GROUP].combine_chunks().take(pa.array([0] * len(entries)))
+        return pa.table({GROUP: same, SLICE: pa.array([e[0] for e in entries], pa.int64()), "held": pa.array([e[1] for e in entries], table["first"].type), "n": pa.array([e[2] for e in entries], pa.int64())})
+
+    def walk(table):
+        import numpy as np
+        import pyarrow as pa
+
+        runs, lengths, classes = _runs(table := table.sort_by("at"))
+        held, n = table["held"][0].as_py(), table["n"][0].as_py()
+        classes = classes if held in classes else [*classes, held]
+        held, out, at = classes.index(held), np.repeat(runs, lengths), 0
+        for c, length in zip(runs, lengths, strict=True):
+            if c == held:
+                n = 0
+            elif n + length > hold:
+                out[at : at + hold - n] = held
+                held, n = c, 0
+            else:
+                out[at : at + length] = held
+                n += length
+            at += length
+        return table.drop_columns(["held", "n", SLICE]).append_column("held", pa.array(classes, table["cls"].type).take(pa.array(out)))
+
+    whole = frames.schema[GROUP]
+    schema = lambda ddl: StructType([whole, *StructType.fromDDL(ddl).fields])
+    states = frames.groupBy(GROUP, SLICE).applyInArrow(ends, schema(f"{SLICE} long, first {kind}, alike boolean, here boolean, cls {kind}, n long, stays boolean, to {kind}, to_n long"))
+    entered = states.groupBy(GROUP).applyInArrow(carry, schema(f"{SLICE} long, held {kind}, n long"))
+    out = frames.join(entered, [GROUP, SLICE]).groupBy(GROUP, SLICE).applyInArrow(walk, schema(f"at long, cls {kind}, held {kind}"))
+    return out.select(f"{GROUP}.*", F.col("at").alias("frame"), "cls", "held")
