@@ -62,3 +62,20 @@ def test_query_metrics_are_those_of_the_sweep(spark, seed, places):
     for bins in (2, 64, 4096):
         got = M.query_metrics(q, df, places, bins=bins).first()
         assert [got["n"], round(got["eer"], 9), round(got["min_dcf"], 9)] == [48 * 239, *[round(x, 9) for x in want]]
+
+
+@pytest.mark.parametrize("same", [None, True, False])
+@pytest.mark.parametrize("on", [[], ["rec"]])
+def test_pairs_of_blocks(spark, same, on):
+    """Blocks smaller than a speaker, against loops; keys, speakers and groups may be null, and keys repeat."""
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b", None]), r.choice([f"u{i}", f"u{i}", f"u{i // 2}", None]), r.choice([1, 1, 1, 2, None])) for i in range(90)]
+    want = []
+    for g, x, s in rows:
+        for h, y, t in rows:
+            target = None if s is None or t is None else s == t
+            if x and y and x < y and (not on or g and g == h) and (same is None or target is same):
+                want.append((*([g] if on else []), x, y, target))
+    out = S.pairs(spark.createDataFrame(rows, "rec string, utt string, spk int"), "utt", "spk", same, on, block=7)
+    assert sorted((tuple(x) for x in out.collect()), key=str) == sorted(want, key=str)
+    assert out.columns == [*on, "enroll", "test", "target"]

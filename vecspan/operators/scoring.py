@@ -14,6 +14,10 @@ from pyspark.sql.types import StructType
 from vecspan.functions import vectors as V
 
 
+#: Tasks that cells of pairs are dealt to at most; by the bytes of the rows they would be few.
+MOST_TASKS = 200
+
+
 def mean_vectors(df: DataFrame, group: list[str], vec: str = "v") -> DataFrame:
     """A4, A5: mean vector of each group (all rows if group is empty), a sum per dimension with map-side combine."""
     long = df.select(*group, F.posexplode(V.as_double(F.col(vec))).alias("i", "x"))
@@ -27,22 +31,57 @@ def enrol(df: DataFrame, spk: str = "spk", vec: str = "v") -> DataFrame:
     return mean_vectors(df, [spk], vec).withColumn(vec, V.l2_normalise(F.col(vec)))
 
 
-def pairs(df: DataFrame, key: str, spk: str, same: bool | None = None, on: list[str] | None = None) -> DataFrame:
+def pairs(df: DataFrame, key: str, spk: str, same: bool | None = None, on: list[str] | None = None, block: int = 2048) -> DataFrame:
     """Unordered pairs enroll < test with target; same keeps target or non-target pairs only.
 
-    This grows with the square of its input: give it the chosen utterances of a trial list, or blocks (on).
+    This grows with the square of its input: give it the chosen utterances of a trial list, or blocks (on). Rows of one group
+    (of on, and of spk for target pairs) are dealt into blocks, and every two blocks, and every block with itself, are a cell
+    of their own, so a large speaker is many tasks and no pair is made twice.
     """
     on = on or []
-    a = df.select(*on, F.col(key).alias("enroll"), F.col(spk).alias("spk_a"))
-    b = df.select(*on, F.col(key).alias("test"), F.col(spk).alias("spk_b"))
-    target = F.col("spk_a") == F.col("spk_b")
-    cond = F.col("enroll") < F.col("test")
-    if same:
-        joined = a.join(b.withColumnRenamed("spk_b", "spk_a2"), [*on, F.col("spk_a") == F.col("spk_a2")] if not on else on).where(cond).withColumnRenamed("spk_a2", "spk_b").where(target)
-    else:
-        joined = (a.join(b, on) if on else a.join(b, cond)).where(cond)
-        joined = joined if same is None else joined.where(~target)
-    return joined.select(*on, "enroll", "test", target.alias("target"))
+    names = [f"_g{k}" for k in range(len(on))]
+    group = [*names, "spk"] if same else names
+    rows = df.where(F.col(key).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(on, names, strict=True)], F.col(key).alias("key"), F.col(spk).alias("spk"))
+    for c in group:
+        rows = rows.where(F.col(c).isNotNull())
+    n = max(1, -(-(rows.groupBy(*group).count().agg(F.max("count").alias("n")).first()["n"] or 0) // block))
+    place = F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    columns = [F.col(c).alias(c) for c in rows.columns]
+    a = rows.select(*columns, place.alias("_i")).withColumn("_j", F.explode(F.sequence(F.col("_i"), F.lit(n - 1))))
+    b = rows.select(*columns, place.alias("_j")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"{g} {kinds[c]}" for c, g in zip(on, names, strict=True)], f"enroll {kinds[key]}", f"test {kinds[key]}", "target boolean"])
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def cell(left, right):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(left) or not len(right):
+            return pa.Table.from_batches([], fields)
+        c, out, m = Cell(left, right, []), [], len(right)
+        x, y = c.keys
+        whole = left["_i"][0].as_py() < left["_j"][0].as_py()
+        step = max(1, (1 << 16) // m)
+        for start in range(0, len(x), step):
+            own = x.slice(start, step)
+            at, of = pa.array(np.repeat(np.arange(len(own)), m)), pa.array(np.tile(np.arange(m), len(own)))
+            p, q = own.take(at), y.take(of)
+            lo, hi = (p, q) if not whole else (pc.if_else(pc.less(p, q), p, q), pc.if_else(pc.less(p, q), q, p))
+            s, t = c.a[start : start + step, None], c.b[None]
+            target = pa.array((s == t).ravel(), mask=((s < 0) | (t < 0)).ravel())
+            batch = pa.RecordBatch.from_arrays([*[left[g].combine_chunks().take(pa.array(np.zeros(len(p), np.int64))) for g in names], lo, hi, target], schema=fields)
+            keep = None if whole else pc.less(p, q)
+            if same is not None:
+                wanted = target if same else pc.invert(target)
+                keep = wanted if keep is None else pc.and_(keep, wanted)
+            out.append(batch if keep is None or same and whole else batch.filter(keep))
+        return pa.Table.from_batches(out, fields)
+
+    cells = [*group, "_i", "_j"]
+    dealt = lambda x: x.repartition(min(MOST_TASKS, n * (n + 1) // 2 * (8 if group else 1)), *cells)  # noqa: E731  # small tables, but many pairs
+    made = dealt(a).groupBy(*cells).cogroup(dealt(b).groupBy(*cells)).applyInArrow(cell, schema)
+    return made.select(*[F.col(g).alias(c) for c, g in zip(on, names, strict=True)], "enroll", "test", "target")
 
 
 def _matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +158,8 @@ def query_cells(queries: DataFrame, rows: DataFrame, run: Callable, schema: str,
         got = run(Cell(left, right, carry)) if len(left) and len(right) else []
         return pa.Table.from_batches(got, fields)
 
-    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(cell, schema)
+    dealt = lambda x: x.repartition(min(MOST_TASKS, n_queries * n_rows), "_i", "_j").groupBy("_i", "_j")  # noqa: E731  # small tables, but many pairs
+    return dealt(a).cogroup(dealt(b)).applyInArrow(cell, schema)
 
 
 def query_pairs(queries: DataFrame, rows: DataFrame, values: dict[str, str], kernel: Callable, columns: str = "enroll test", key: str = "utt", spk: str = "spk", vec: str | None = "v", carry: list[str] | None = None, alone: tuple[str, ...] = (), counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
