@@ -6,11 +6,16 @@ A group is one recording (or one speaker), whose size the recording bounds; corp
 from __future__ import annotations
 
 import itertools
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows up to which spectral holds a matrix of all similarities.
+DENSE_ROWS = 1024
+
 
 def first_seen(labels: np.ndarray) -> np.ndarray:
     """Relabel in the order of first appearance; negative labels stay."""
@@ -23,13 +28,18 @@ def first_seen(labels: np.ndarray) -> np.ndarray:
 
 def _kmeans(x: np.ndarray, k: int, seed: int = 0, starts: int = 10, steps: int = 100) -> np.ndarray:
     rng, best, best_cost = np.random.default_rng(seed), None, np.inf
+
+    def apart(c: np.ndarray) -> np.ndarray:
+        """Squared distances, centre by centre."""
+        return np.stack([((x - y) ** 2).sum(-1) for y in c], axis=1)
+
     for _ in range(starts):
         c = x[[rng.integers(len(x))]]
         while len(c) < k:
-            d = ((x[:, None] - c[None]) ** 2).sum(-1).min(axis=1)
+            d = apart(c).min(axis=1)
             c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
         for _ in range(steps):
-            lab = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(axis=1)
+            lab = apart(c).argmin(axis=1)
             new = np.stack([x[lab == i].mean(axis=0) if (lab == i).any() else c[i] for i in range(k)])
             if np.allclose(new, c):
                 break
@@ -40,28 +50,165 @@ def _kmeans(x: np.ndarray, k: int, seed: int = 0, starts: int = 10, steps: int =
     return best
 
 
-def spectral(x: np.ndarray, num: int | None = None, least: int = 1, most: int = 20, seed: int = 0) -> np.ndarray:
+def spectral(x: np.ndarray, num: int | None = None, least: int = 1, most: int = 20, seed: int = 0, dense: int = DENSE_ROWS) -> np.ndarray:
     """Cosine similarities in [0, 1], all but each row's largest set to 0 and those to 1, the unnormalised
-    Laplacian's smallest eigenvectors by the largest eigengap, k-means. Two rows or fewer are one cluster."""
+    Laplacian's smallest eigenvectors by the largest eigengap, k-means. Two rows or fewer are one cluster.
+
+    Over `dense` rows the neighbours go to a file and only the smallest eigenvectors are computed, so memory grows with the rows
+    (time, and the file, with their square). If more than `most` parts of such a graph have no edge between them, all gaps are 0
+    and `num` is `least`."""
     m = len(x)
     if m <= 2:
         return np.zeros(m, int)
     u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    sim = 0.5 * (1 + u @ u.T)
     keep = max(1, m - (int(0.99 * m) if m >= 1000 else max(m - 10, 2)))
-    order = np.argsort(-sim, axis=1, kind="stable")
-    graph = np.zeros_like(sim)
-    np.put_along_axis(graph, order[:, :keep], 1.0, axis=1)
-    graph = 0.5 * (graph + graph.T)
-    np.fill_diagonal(graph, 0)
-    lap = np.diag(graph.sum(axis=1)) - graph
-    w, v = np.linalg.eigh(lap)
+    wanted = max(most + 1, num or least)
+    if m <= max(dense, 4 * wanted):
+        sim = 0.5 * (1 + u @ u.T)
+        order = np.argsort(-sim, axis=1, kind="stable")
+        graph = np.zeros_like(sim)
+        np.put_along_axis(graph, order[:, :keep], 1.0, axis=1)
+        graph = 0.5 * (graph + graph.T)
+        np.fill_diagonal(graph, 0)
+        lap = np.diag(graph.sum(axis=1)) - graph
+        w, v = np.linalg.eigh(lap)
+    else:
+        with _NeighbourGraph(u, keep) as graph:
+            w, v = smallest_eigenpairs(graph.laplacian, graph.null_vectors(wanted), wanted, graph.widest, seed)
     if num is None:
         gaps = np.diff(w[: min(most + 1, m)])
         num = max(least, int(gaps.argmax()) + 1) if len(gaps) else 1
     return first_seen(_kmeans(v[:, :num], min(num, m), seed))
 
 
+class _NeighbourGraph:
+    """Each row's `keep` most similar rows (of equal ones the first) as a graph whose edges count half from either end.
+
+    Similarities are computed for some rows at a time, and the neighbours are kept in a temporary file that every product reads
+    in pieces.
+    """
+
+    def __init__(self, u: np.ndarray, keep: int, cells: int = 1 << 20) -> None:
+        self.m, self.keep, self.step = len(u), keep, max(1, cells // len(u))
+        self.file = tempfile.TemporaryFile()
+        self.itself = np.zeros(self.m)
+        ends = np.zeros(self.m)
+        for lo in range(0, self.m, self.step):
+            sim = 0.5 * (1 + u[lo : lo + self.step] @ u.T)
+            least = np.partition(sim, self.m - keep, axis=1)[:, self.m - keep, None]
+            near = sim > least
+            ties = sim == least
+            near |= ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= keep - near.sum(axis=1, keepdims=True))
+            to = np.nonzero(near)[1].astype(np.int32).reshape(len(sim), keep)
+            to.tofile(self.file)
+            self.itself[lo : lo + len(sim)] = near[np.arange(len(sim)), np.arange(lo, lo + len(sim))]
+            ends += np.bincount(to.ravel(), minlength=self.m)
+        self.file.flush()
+        self.degree = 0.5 * (keep + ends) - self.itself
+        #: No eigenvalue of the Laplacian is larger.
+        self.widest = 2 * float(self.degree.max())
+
+    def __enter__(self) -> _NeighbourGraph:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
+
+    def pieces(self) -> Iterator[tuple[int, np.ndarray]]:
+        """First row and neighbours of some rows at a time."""
+        self.file.seek(0)
+        step = max(1, (1 << 20) // self.keep)
+        for lo in range(0, self.m, step):
+            rows = min(step, self.m - lo)
+            yield lo, np.fromfile(self.file, np.int32, rows * self.keep).reshape(rows, self.keep)
+
+    def laplacian(self, x: np.ndarray) -> np.ndarray:
+        """The Laplacian times x."""
+        out = (self.degree + self.itself) * x
+        for lo, to in self.pieces():
+            hi = lo + len(to)
+            out[lo:hi] -= 0.5 * x[to].sum(axis=1)
+            out -= 0.5 * np.bincount(to.ravel(), np.repeat(x[lo:hi], self.keep), self.m)
+        return out
+
+    def null_vectors(self, most: int) -> np.ndarray:
+        """Unit vectors of the graph's connected parts, the first rows' parts first, `most` at most."""
+        part = np.arange(self.m)
+        while True:
+            before = part.copy()
+            for lo, to in self.pieces():
+                low = np.minimum(part[to].min(axis=1), part[lo : lo + len(to)])
+                part[lo : lo + len(to)] = low
+                np.minimum.at(part, to.ravel(), np.repeat(low, self.keep))
+            part = part[part]
+            if (part == before).all():
+                break
+        names = np.unique(part)[:most]
+        out = (part[:, None] == names).astype(float)
+        return out / np.sqrt(out.sum(axis=0))
+
+
+def smallest_eigenpairs(product: Callable[[np.ndarray], np.ndarray], null: np.ndarray, k: int, widest: float, seed: int = 0, held: int = 160) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest eigenvalues and vectors of a symmetric matrix without negative ones, by Lanczos with restarts.
+
+    null has all its null vectors, or k of them. Pairs are found among what is orthogonal to those known. One start finds a
+    repeated eigenvalue once, so starts anew follow until one finds nothing below the k-th.
+    """
+    rng, m = np.random.default_rng(seed), len(null)
+    exact = 1e-11 * widest
+    values, known = np.zeros(null.shape[1]), null
+    while null.shape[1] < k and known.shape[1] < m:
+        more = k - len(values)
+        w, v = _lanczos(product, known, min(max(more, 1), m - known.shape[1]), exact, held, rng, values[k - 1] if more <= 0 else np.inf)
+        if not len(w):
+            break
+        values, known = np.r_[values, w], np.hstack([known, v])
+        order = np.argsort(values, kind="stable")
+        values, known = values[order], known[:, order]
+    return values[:k], known[:, :k]
+
+
+def _lanczos(product: Callable, known: np.ndarray, k: int, exact: float, held: int, rng: np.random.Generator, below: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest pairs orthogonal to known, to residuals of `exact`; none if the smallest is certain not to be below `below`."""
+    m = len(known)
+    held = min(max(held, 4 * k), m - known.shape[1])
+    basis, inner = np.empty((held, m)), np.zeros((held, held))
+
+    def free(x: np.ndarray, n: int) -> np.ndarray:
+        for _ in range(2):
+            x = x - known @ (known.T @ x)
+            x = x - basis[:n].T @ (basis[:n] @ x)
+        return x
+
+    def fresh(n: int) -> np.ndarray:
+        x = free(rng.normal(size=m), n)
+        return x / np.linalg.norm(x)
+
+    n, x = 0, fresh(0)
+    while True:
+        basis[n] = x
+        y = product(x)
+        inner[: n + 1, n] = inner[n, : n + 1] = basis[: n + 1] @ y
+        n += 1
+        y = free(y, n)
+        length = float(np.linalg.norm(y))
+        ended = length <= exact
+        if n == held or ended or n % 20 == 0:
+            w, s = np.linalg.eigh(inner[:n, :n])
+            off = np.zeros(n) if ended else np.abs(length * s[-1])
+            # a start sees every eigenvalue but with tiny chance, so its smallest value is certain once its residual is small
+            if n >= k and below < np.inf and off[0] <= max(1e-6 * below, exact) and w[0] >= below - max(1e-5 * below, exact):
+                return w[:0], np.empty((m, 0))
+            if n >= k and (off[:k] <= exact).all() or n == m - known.shape[1]:
+                return w[:k], basis[:n].T @ s[:, :k]
+            if n == held:
+                n = min(held - 1, max(held // 2, 2 * k))
+                basis[:n] = s[:, :n].T @ basis
+                inner[:] = 0
+                inner[np.arange(n), np.arange(n)] = w[:n]
+        x = fresh(n) if ended else y / length
+
+
 def average_linkage(dist: np.ndarray, threshold: float) -> np.ndarray:
     """Merge the closest clusters by mean distance while it is at most the threshold."""
     groups = [[i] for i in range(len(dist))]
