@@ -546,3 +546,17 @@ def test_bad_hosts_are_rejected(spark):
     got = {r["doc_id"]: r for r in quality.quality_verdicts(table(spark, rows)).collect()}
     assert {r["host"] for r in got.values() if not r["host_kept"]} == {"h7"}
     assert not got[709]["kept"] and not got[709]["base_failed"] and got[9002]["kept"] and not got[9001]["kept"] and got[9003]["kept"]
+
+
+def test_keep_rows_moves_no_text(spark):
+    """Rows looked up by bits, repeated ones once, over several blocks; within the limit of blocks the large side is not shuffled."""
+    from vecspan.llm.common import keep_rows
+
+    numbers = [0, 7, 8, 32767, 32768, 40000, (5 << 33) + 3, (5 << 33) + 32767]
+    big = spark.createDataFrame([(n + d, f"t{n + d}") for n in numbers for d in (0, 100_000)], "row long, text string")
+    rows = spark.createDataFrame([(n,) for n in numbers[1:] * 3 + [1, 1 << 40]], "row long")
+    want = sorted((n, f"t{n}") for n in numbers[1:])
+    kept = keep_rows(big, rows)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, keep_rows(big, rows, blocks=1).collect())) == want
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert keep_rows(big, rows.limit(0)).count() == 0

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspan.llm.common import BROADCAST_ROWS, bounded_join, fresh_names, materialize, sqrt_buckets
+from vecspan.llm.common import BROADCAST_ROWS, bounded_join, fresh_names, keep_rows, materialize, sqrt_buckets
 from vecspan.llm.exact_dedup import hand_down, merge_up
 
 #: Edits spread over a text destroy fewer of the shorter k-mers; one more of them per band keeps unlike texts apart.
@@ -42,6 +42,8 @@ ROUNDS = 2
 SMALL_KEY = 2048
 #: Counts of words by hash, whose sum of differences is at most twice the edits.
 COUNTS = 256
+#: Bits of a key that are looked up before its count: 4,096 blocks of keep_rows.
+LOW_BITS = 2**27 - 1
 
 _WORD = re.compile(r"\w+")
 
@@ -97,7 +99,7 @@ def order_minhash(kmers: np.ndarray, n_words: int, bands: int = BANDS, pick: int
     picked = np.empty((bands, take), np.int64)
     step = max(1, 2_000_000 // n)
     for lo in range(0, bands, step):
-        h = _mix(kmers[None, :] ^ seeds[lo : lo + step, None])
+        h = kmers[None, :] * (seeds[lo : lo + step, None] | np.uint64(1))  # k-mers are mixed already; an odd factor orders them anew
         at = np.arange(len(h))
         for k in range(take):
             picked[lo : lo + step, k] = least = h.argmin(axis=1)
@@ -258,7 +260,7 @@ def _sketches(numbered: DataFrame, n_bands: int, pick: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+    """The pairs (a, b), a materialized table, whose texts are similar."""
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -267,8 +269,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = [similar(words_of(x.as_py()), words_of(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
+    x, y = (keep_rows(texts, pairs.select(F.col(c).alias("row"))) for c in ("a", "b"))
+    both = pairs.join(x.select(F.col("row").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(y.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
@@ -399,7 +402,7 @@ def _short_words(rows: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(np.sort((hashes >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["row", "words"])
 
-    return bounded_join(texts, rows, "row", "left_semi").select("row", "text").mapInArrow(hash_words, "row long, words binary")
+    return keep_rows(texts.select("row", "text"), rows).mapInArrow(hash_words, "row long, words binary")
 
 
 def _pairs_by_words(rows: DataFrame, texts: DataFrame, block: int = SMALL_KEY) -> DataFrame:
@@ -420,7 +423,8 @@ def _pairs_by_words(rows: DataFrame, texts: DataFrame, block: int = SMALL_KEY) -
 def _shared_keys(unique: DataFrame) -> DataFrame:
     """(key, row, n_words) of the keys that two or more rows have.
 
-    Keys are counted with partial sums and most, which one row has, are gone before the rows are looked up. Those
+    Keys are counted with partial sums and most, which one row has, are gone before the rows are looked up: rows whose key has
+    low bits that no such key has do not move. Those
     that so many rows have that one task should not hold them are few by their number and are broadcast.
     """
     keys = unique.select("row", "n_words", F.explode("bands").alias("key"))
@@ -428,7 +432,9 @@ def _shared_keys(unique: DataFrame) -> DataFrame:
     total = counted.agg(F.sum("n")).first()[0] or 0
     most = max(10_000, -(-total // BROADCAST_ROWS))
     hot = keys.join(F.broadcast(counted.where(F.col("n") > most)), "key")
-    return hot.unionByName(keys.join(counted.where(F.col("n") <= most), "key")).drop("n")
+    low = F.col("key").bitwiseAND(LOW_BITS).alias("low")
+    likely = keep_rows(keys.select("*", low), counted.select(low), "low").drop("low")
+    return hot.unionByName(likely.join(counted.where(F.col("n") <= most), "key")).drop("n")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -501,10 +507,10 @@ def _groups(numbered: DataFrame, bands: int, pick: int, small: int) -> DataFrame
     key = ["digest", "n_words"]
     top, tables, levels = merge_up(rows, key, F.min)
     top = materialize(top.withColumn("row", F.col("best.row")), "texts")
-    unique = top.select("row").join(sketches.select("row", "n_words", "bands"), "row")
+    unique = keep_rows(sketches.select("row", "n_words", "bands"), top)
     shared = materialize(_shared_keys(unique), "shared")
     salts = sqrt_buckets(top.count())
-    texts = materialize(numbered.select("row", "text").join(shared.select("row").distinct(), "row", "left_semi"), "candidates", "zstd")
+    texts = materialize(keep_rows(numbered.select("row", "text"), shared), "candidates", "zstd")
     labels, seen, links = None, None, None
     for turn in range(ROUNDS):
         pairs = materialize(_unseen(_star_pairs(_representatives(_members(shared, labels), turn), salts, turn), seen), "pairs")
@@ -520,9 +526,9 @@ def _groups(numbered: DataFrame, bands: int, pick: int, small: int) -> DataFrame
     counts = sketches.select("row", "counts")
     apart = members.join(keys, "key")
     few = materialize(apart.where(F.col("n") <= small).drop("n"), "few")
-    words = materialize(_short_words(materialize(few.select("row").distinct(), "rows_apart"), texts), "short_words")
+    words = materialize(_short_words(few, texts), "short_words")
     of_row = few.groupBy("row").agg(F.collect_list("key").alias("keys"))
-    pairs = _pairs_apart(few.join(counts, "row").join(words, "row").join(of_row, "row"), small)
+    pairs = _pairs_apart(few.join(keep_rows(counts, few), "row").join(words, "row").join(of_row, "row"), small)
     large = apart.where(F.col("n") > small)
     if not large.isEmpty():
         hot = large.select("row", "comp", "n_words").distinct().join(counts, "row")
