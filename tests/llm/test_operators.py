@@ -560,3 +560,31 @@ def test_keep_rows_moves_no_text(spark):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, keep_rows(big, rows, blocks=1).collect())) == want
     assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
     assert keep_rows(big, rows.limit(0)).count() == 0
+
+
+def joined_by_row(spark, run):
+    """Rows that joins on [row] make while run() is under way."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    run()
+    bus.waitUntilEmpty()
+    done, made = store.executionsList(), 0
+    for e in (done.apply(i).executionId() for i in range(done.size())):
+        if e in before:
+            continue
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(r"Join \[row#\d+L?\], \[row#\d+L?\], Inner", node.desc()):
+                counts = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in counts if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return made
+
+
+def test_rows_are_looked_up_once_not_for_every_key(spark):
+    """Unlike texts with a passage in common share many keys; what a key's texts are compared by is joined once a text."""
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"a{t}x{i}" for i in range(30)]) for t in range(80)]
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    made = joined_by_row(spark, lambda: near_dedup.near_groups(docs, small=10).collect())
+    assert 0 < made <= 6 * len(texts)

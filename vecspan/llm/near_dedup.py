@@ -405,6 +405,16 @@ def _short_words(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return keep_rows(texts.select("row", "text"), rows).mapInArrow(hash_words, "row long, words binary")
 
 
+def _with_words(members: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members (key, row, comp, n_words) with counts, words and keys for _pairs_apart.
+
+    These are looked up once for a row, and only then is the row repeated for its keys.
+    """
+    rows = members.groupBy("row", "comp", "n_words").agg(F.collect_list("key").alias("keys"))
+    rows = rows.join(keep_rows(counts, members), "row").join(_short_words(members, texts), "row")
+    return materialize(rows, "rows_apart").withColumn("key", F.explode("keys"))
+
+
 def _pairs_by_words(rows: DataFrame, texts: DataFrame, block: int = SMALL_KEY) -> DataFrame:
     """Distinct pairs (a, b), a < b, of rows (row, comp, n_words[, counts]) in different comps, among which are all similar ones.
 
@@ -416,8 +426,8 @@ def _pairs_by_words(rows: DataFrame, texts: DataFrame, block: int = SMALL_KEY) -
     number = materialize(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word_counts")
     shared = words.join(number, "word").groupBy("row", "n_words").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("shared"))
     first = F.floor((1 - SIMILARITY) * F.col("n_words") + 1e-9).cast("int") + 1 - (F.col("n_words").cast("int") - F.size("shared"))
-    posted = shared.select("row", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)))).alias("at")).select("row", F.col("at.word").alias("key"))
-    return _pairs_apart(materialize(posted.join(rows, "row"), "posted"), block)
+    posted = shared.select("row", F.slice("shared", F.lit(1), F.greatest(first, F.lit(0))).getField("word").alias("keys"))
+    return _pairs_apart(materialize(posted.join(rows, "row"), "posted").withColumn("key", F.explode("keys")), block)
 
 
 def _shared_keys(unique: DataFrame) -> DataFrame:
@@ -526,9 +536,7 @@ def _groups(numbered: DataFrame, bands: int, pick: int, small: int) -> DataFrame
     counts = sketches.select("row", "counts")
     apart = members.join(keys, "key")
     few = materialize(apart.where(F.col("n") <= small).drop("n"), "few")
-    words = materialize(_short_words(few, texts), "short_words")
-    of_row = few.groupBy("row").agg(F.collect_list("key").alias("keys"))
-    pairs = _pairs_apart(few.join(keep_rows(counts, few), "row").join(words, "row").join(of_row, "row"), small)
+    pairs = _pairs_apart(_with_words(few, counts, texts), small)
     large = apart.where(F.col("n") > small)
     if not large.isEmpty():
         hot = large.select("row", "comp", "n_words").distinct().join(counts, "row")
