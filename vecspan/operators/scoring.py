@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from vecspan.functions import vectors as V
+from vecspan.sources.storage import kept
 
 
 #: Tasks that cells of pairs are dealt to at most; by the bytes of the rows they would be few.
@@ -36,9 +37,12 @@ def pairs(df: DataFrame, key: str, spk: str, same: bool | None = None, on: list[
 
     This grows with the square of its input: give it the chosen utterances of a trial list, or blocks (on). Rows of one group
     (of on, and of spk for target pairs) are dealt into blocks, and every two blocks, and every block with itself, are a cell
-    of their own, so a large speaker is many tasks and no pair is made twice.
+    of their own, so a large speaker is many tasks and no pair is made twice. Without groups the blocks are ranges of the key.
     """
     on = on or []
+    if not on and not same:
+        out = _pairs_of_ranges(df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(spk).alias("spk")), block)
+        return out if same is None else out.where(~F.col("target"))
     names = [f"_g{k}" for k in range(len(on))]
     group = [*names, "spk"] if same else names
     rows = df.where(F.col(key).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(on, names, strict=True)], F.col(key).alias("key"), F.col(spk).alias("spk"))
@@ -84,6 +88,23 @@ def pairs(df: DataFrame, key: str, spk: str, same: bool | None = None, on: list[
     return made.select(*[F.col(g).alias(c) for c, g in zip(on, names, strict=True)], "enroll", "test", "target")
 
 
+def _pairs_of_ranges(rows: DataFrame, block: int, beside: int = 64) -> DataFrame:
+    """pairs of all rows (key, spk): a row of the second block of a cell stands beside that many rows of the first at a time, so that keys in columnar files cost little.
+
+    The rows of a range of keys are packed into one row, so a cell is a join of few rows, and pairs are listed as they are written.
+    """
+    n = max(1, -(-rows.count() // block))
+    ranges = rows.repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("_b")).agg(F.sort_array(F.collect_list(F.struct("key", "spk"))).alias("right"))
+    ranges = kept(ranges, "ranges")  # the bounds are sampled, so they are drawn once for both sides
+    parts = F.transform(F.sequence(F.lit(0), F.size("right") - 1, F.lit(beside)), lambda k: F.slice("right", k + 1, beside))
+    a = ranges.select(F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.lit(n - 1))).alias("_j"), parts.alias("parts")).select("_i", "_j", F.explode("parts").alias("left"))
+    b = ranges.select(F.explode(F.sequence(F.lit(0), "_b")).alias("_i"), F.col("_b").alias("_j"), "right")
+    dealt = lambda x: x.repartition(min(MOST_TASKS, n * (n + 1) // 2), "_i", "_j")  # noqa: E731  # small tables, but many pairs
+    cells = dealt(a).join(dealt(b).hint("merge"), ["_i", "_j"])
+    listed = cells.select("left", F.explode("right").alias("q")).select(F.explode("left").alias("p"), "q").where("p.key < q.key")
+    return listed.select(F.col("p.key").alias("enroll"), F.col("q.key").alias("test"), (F.col("p.spk") == F.col("q.spk")).alias("target"))
+
+
 def _matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of an Arrow list column as rows of a matrix, filled up with zeros, and their lengths: -1 if null or with a null inside."""
     column = column.combine_chunks()
